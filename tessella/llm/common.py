@@ -32,6 +32,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SEPARATORS}]+")), F.lit(0)).cast("long")
 
 
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
     """Arrow batches through make()(columns as lists) -> columns as lists; make() runs once a task."""
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

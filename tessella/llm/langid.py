@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_columns, table
+from tessella.llm.common import extended, map_columns, table
 
 #: Bytes of text encoded at a time. Each piece is scored against the bare dictionary, so that long texts
 #: keep telling the languages apart instead of compressing against themselves.
@@ -102,7 +102,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], keep: list[str], text: str
 
         return f
 
-    schema = base.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = extended(base.drop("__text"), "lang_pred string, score double, accepted boolean")
     return map_columns(base, make, schema)
 
 

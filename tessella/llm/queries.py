@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessella.llm.langid import op3_language_id
+from tessella.llm.ogg import op6_ogg_media
+from tessella.llm.secret_scan import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op3_language_id,)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_ogg_media, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
