@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ NEARLY, BLOCK, NODE = 16, 200_000, 100_000
 #: A round that leaves more than this share of its bins was the last.
 GAIN = 0.9
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Ids:
@@ -47,21 +48,28 @@ class Ids:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # the model's letters for bytes; a run of small Latin-1 letters needs no more than these and the merges
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.letters = self.tokenizer.model, {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merged(self, stem: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def of(self, text: str) -> bytes:
         if "<|" in text:
             return self.encoded([text])[0]
         try:
             text.encode("latin-1")
-            text = text.lower()  # the tokenizer does so too; only where no table of letters can differ
+            text, latin = text.lower(), True  # the tokenizer does so too; only where no table of letters can differ
         except UnicodeEncodeError:
-            pass
+            latin = False
         parts, known = text.replace("\n", " ").split(" "), self.known
         new = [p for p in set(parts) if p not in known]
         if new:
@@ -70,8 +78,14 @@ class Ids:
                 new = list(set(parts))
             # a letter run and one mark after it are always parted
             stems = [p[:-1] if p[-1:] in (".", ",") and p[:-1].isalpha() else p for p in new]
-            missing = list(dict.fromkeys(s for s in [*stems, ".", ","] if s not in known))
-            known.update(zip(missing, self.encoded(missing), strict=True))
+            rest = {x for x in ".," if x not in known}
+            for s in stems:
+                if s not in known:
+                    if latin and s.isalpha():
+                        known[s] = self.merged(s)
+                    else:
+                        rest.add(s)
+            known.update(zip(rest, self.encoded(list(rest)), strict=True))
             for p, s in zip(new, stems, strict=True):
                 if p is not s:
                     known[p] = known[s] + known[p[-1]]

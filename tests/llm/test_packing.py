@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tessella.llm import packing as P
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " ", "Hello, World.  hello\tworld\n\nÉté İstanbul ΣΑΣ Σ. naïve é don't I'LL 's", "a<|endoftext|>b <|startoftext|>", "x y\x1cz\x85w\x0bv", "...,,, a.. b., .c", "ﬁ ǅ straße STRASSE K", "word " * 9000, "\U0001f600!! ###"]
+TEXTS = [None, "", " ", "Hello, World.  hello\tworld\n\nÉté İstanbul ΣΑΣ Σ. naïve é don't I'LL 's", "a<|endoftext|>b <|startoftext|>", "x y\x1cz\x85w\x0bv", "...,,, a.. b., .c", "ﬁ ǅ straße STRASSE K", "ªº µ ÿ ß ÀÖØÞ÷× naïve", "word " * 9000, "\U0001f600!! ###"]
 
 
 @pytest.fixture(scope="module")
