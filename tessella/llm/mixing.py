@@ -238,7 +238,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHT
     at = F.col("block") * b
     held = held.select("key", "block", "doc_id", "part", "number", F.greatest("start", at).alias("a"), F.least(F.col("start") + F.col("size"), at + b).alias("z"), "start")
     s = slots(spark, [x for x in sources.values() if x.slots], block, shard, seed)
-    joined = s.join(held, ["key", "block"])
+    joined = s.hint("merge").join(held, ["key", "block"])
     z = F.least("z", at + F.col("words"))
     pieces = joined.select("shard", "place", "pass", "key", "block", "doc_id", "part", "number", (F.col("a") - F.col("start")).alias("from_word"), (z - F.col("start")).alias("to_word")).filter("to_word > from_word")
     return Mix(sources, documents, pieces)
