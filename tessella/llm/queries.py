@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from tessella.llm.langid import op3_language_id
 from tessella.llm.mixing import op1_source_mixing
+from tessella.llm.near_dup import op10_minhash_near_dedup
 from tessella.llm.ogg import op6_ogg_media
 from tessella.llm.packing import op5_best_fit_packing
 from tessella.llm.quality import op4_quality_rules
 from tessella.llm.secret_scan import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ogg_media, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ogg_media, op9_secret_scan, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
