@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.html_text import op8_html_extraction
 from tessella.llm.langid import op3_language_id
 from tessella.llm.mixing import op1_source_mixing
 from tessella.llm.near_dup import op10_minhash_near_dedup
@@ -10,5 +11,5 @@ from tessella.llm.packing import op5_best_fit_packing
 from tessella.llm.quality import op4_quality_rules
 from tessella.llm.secret_scan import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ogg_media, op9_secret_scan, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ogg_media, op8_html_extraction, op9_secret_scan, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
