@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tessella.llm import chat, licenses
+from tessella.llm.chat import op7_chat_rotation
 from tessella.llm.html_text import op8_html_extraction
 from tessella.llm.langid import op3_language_id
+from tessella.llm.licenses import op2_license_scan
 from tessella.llm.mixing import op1_source_mixing
 from tessella.llm.near_dup import op10_minhash_near_dedup
 from tessella.llm.ogg import op6_ogg_media
@@ -11,5 +14,9 @@ from tessella.llm.packing import op5_best_fit_packing
 from tessella.llm.quality import op4_quality_rules
 from tessella.llm.secret_scan import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ogg_media, op8_html_extraction, op9_secret_scan, op10_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = (
+    op1_source_mixing, op2_license_scan, op3_language_id, op4_quality_rules, op5_best_fit_packing,
+    op6_ogg_media, op7_chat_rotation, op8_html_extraction, op9_secret_scan, op10_minhash_near_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op2_license_scan": licenses.ORACLE, "op7_chat_rotation": chat.ORACLE}
