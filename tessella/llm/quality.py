@@ -155,9 +155,9 @@ def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source")
     return x.groupBy(lang, source).agg(*[F.max(F.when(F.col("ratio") == r, pair)).alias(f"__{r}") for r in RATIOS])
 
 
-def judged(measures: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def judged(measures: DataFrame, lang: str = "lang", source: str = "source", limits: DataFrame | None = None) -> DataFrame:
     """measures and kept: not base_failed, and every ratio within its group's fences (null fences reject nothing)."""
-    limits = thresholds(measures, lang, source).withColumnsRenamed({lang: "__lang", source: "__source"})
+    limits = (thresholds(measures, lang, source) if limits is None else limits).withColumnsRenamed({lang: "__lang", source: "__source"})
     x = measures.join(limits, measures[lang].eqNullSafe(F.col("__lang")) & measures[source].eqNullSafe(F.col("__source")), "left")
 
     def inside(r: str) -> Column:
@@ -168,6 +168,18 @@ def judged(measures: DataFrame, lang: str = "lang", source: str = "source") -> D
     return x.withColumn("kept", verdict).select(*measures.columns, "kept")
 
 
+def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with all their columns.
+
+    Rows are measured twice, once for the fences and once to be judged as they pass, so that no text is stored or shuffled.
+    """
+    limits = checkpoint(thresholds(checkpoint(measure(docs, [lang, source], text)), lang, source))
+    own = {c: f"__kept{k}" for k, c in enumerate(docs.columns)}
+    x = docs.toDF(*own.values())
+    out = judged(measure(x, list(own.values()), own[text]), own[lang], own[source], limits.withColumnsRenamed({lang: own[lang], source: own[source]}))
+    return out.filter("kept").select(*[F.col(v).alias(k) for k, v in own.items()])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = checkpoint(measure(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]))
     return judged(measures).select("doc_id", *COUNTS, "base_failed", "kept")
