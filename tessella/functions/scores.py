@@ -88,6 +88,22 @@ def ranges(offsets: Column) -> Column:
     return F.aggregate(offsets, F.array().cast(pair), step)
 
 
+def occurrences(column: Column, phrase: str) -> Column:
+    """Byte ranges of a phrase's occurrences in any case, from the left, without overlap."""
+    pair = "array<struct<start:int,end:int>>"
+    if not phrase:
+        return F.array().cast(pair)
+    parts = F.split(F.lower(column), "\\Q" + phrase.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    size = len(phrase.lower().encode())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(pair).alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        begin = acc["at"] + F.octet_length(part)
+        return F.struct((begin + size).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + size).alias("end")))).alias("out"))
+
+    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
+
+
 def merged_ranges(spans: Column, most: Column) -> Column:
     """Overlapping or touching ranges joined, cut to [0, most)."""
     pair = "array<struct<start:int,end:int>>"

@@ -82,6 +82,28 @@ def to_index(files: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame
     return files.filter(F.col("content_hash") == "").select("file_id").union(broken).distinct()
 
 
+def derived(files: DataFrame) -> DataFrame:
+    """files with the columns that follow from the path filled in where an older version lacks them."""
+    parts = path_parts(F.col("path"))
+    have = set(files.columns)
+    return files.withColumns({n: F.coalesce(F.nullif(F.col(n), F.lit("")), parts[n]) if n in have else parts[n] for n in ("basename", "parent", "stem")})
+
+
+def put_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
+    new = settings.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return settings.filter(F.col("key") != key).select("key", "value").union(new)
+
+
+def with_name(names: DataFrame, value: str) -> DataFrame:
+    """A one-column list (folders, excluded patterns) with value, once."""
+    new = names.sparkSession.createDataFrame([(value,)], f"`{names.columns[0]}` string")
+    return names.union(new).distinct()
+
+
+def without_name(names: DataFrame, value: str) -> DataFrame:
+    return names.filter(F.col(names.columns[0]) != value)
+
+
 def has_missing_blobs(chunks: DataFrame) -> bool:
     return not chunks.filter(F.col("embedding").isNull()).isEmpty()
 

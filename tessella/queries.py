@@ -13,6 +13,7 @@ from tessella.operators import filenames, ranking, reports, tables, vectors
 from tessella.plans import parser
 from tessella.plans.clauses import Clause, Spec, chips, merge, refine, where
 from tessella.plans.dates import resolve
+from tessella.sources import embedding
 from tessella.sources import tables as src
 from tessella.streaming import watch
 
@@ -248,6 +249,16 @@ def highlight_ranges(s, d):
     return src.table(s, d, "part").select("p_partkey", shown.alias("spans")).filter("spans != ''")
 
 
+@query("""+
+o AS (SELECT file_id, path, unnest(range(1, length(path))) AS i FROM files),
+h AS (SELECT file_id, i FROM o WHERE lower(substr(path, i::INTEGER, 3)) = 'src')
+SELECT file_id, string_agg((i - 1) || ':' || (i + 2), ',' ORDER BY i) AS spans FROM h GROUP BY file_id""")
+def phrase_highlights(s, d):
+    spans = scores.occurrences(F.col("path"), "SRC")
+    shown = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return src.files(s, d).select("file_id", shown.alias("spans")).filter("spans != ''")
+
+
 # --- fusion
 
 _LEGS = f"""{_BEST},
@@ -445,6 +456,29 @@ def cache_evict(s, d):
     return tables.evict(rows, "created_at", parser.seconds(NOW) - 7 * 86400, False).select("file_id")
 
 
+@query("SELECT file_id, substr(sha256(path), 1, 16) || '.jpg' AS name FROM files")
+def thumbnail_names(s, d):
+    return src.files(s, d).select("file_id", embedding.thumbnail_name(F.col("path")).alias("name"))
+
+
+@query("SELECT vector_id, CAST(len(embedding) * 4 AS INTEGER) AS size, true AS same FROM chunks")
+def vector_blobs(s, d):
+    x = src.chunks(s, d).withColumn("b", embedding.packed("embedding"))
+    return x.select("vector_id", F.octet_length("b").alias("size"), (embedding.unpacked("b") == F.col("embedding")).alias("same"))
+
+
+@query("SELECT file_id, coalesce(nullif(CASE WHEN file_id % 2 = 0 THEN '' ELSE basename END, ''), basename) AS basename, parent FROM files")
+def backfill_paths(s, d):
+    old = src.files(s, d).withColumn("basename", F.when(F.col("file_id") % 2 == 0, "").otherwise(F.col("basename"))).drop("parent")
+    return tables.derived(old).select("file_id", "basename", "parent")
+
+
+@query()
+def embed_batches(s, d):
+    out = embedding.embed(src.files(s, d, text=True).select("file_id", "text"), embedding.stand_in(8))
+    return out.select("file_id", F.transform("embedding", lambda v: F.round(v, 4)).alias("embedding"))
+
+
 # --- reports
 
 _REGISTRY = "reg AS (SELECT path, min(seq) AS seq, arg_max(code, seq) AS code, count(*) AS attempts FROM failures GROUP BY path ORDER BY seq DESC LIMIT 100)"

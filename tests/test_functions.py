@@ -105,3 +105,51 @@ def test_globs_and_ranges(spark):
     assert [tuple(r) for r in one(spark, S.ranges(F.array(*map(F.lit, (0, 1, 2, 5, 7, 8)))))] == [(0, 3), (5, 6), (7, 9)]
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((5, 9), (0, 2), (1, 4), (8, 40), (50, 60))])
     assert [tuple(r) for r in one(spark, S.merged_ranges(spans, F.lit(20)))] == [(0, 4), (5, 20)]
+
+
+def test_occurrences(spark):
+    cases = {"abcABC.ab": [(0, 3), (3, 6)], "éabc": [(2, 5)], "": [], "ab": [], "xxabcxx": [(2, 5)]}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", S.occurrences(F.col("s"), "aBc").alias("r"))
+    assert {r["s"]: [tuple(x) for x in r["r"]] for r in df.collect()} == cases
+
+
+def test_registered(spark):
+    from tessella.functions.registered import register
+
+    register(spark)
+    assert spark.sql("SELECT edits('imgae', 'image') AS e").first()["e"] == 1
+    assert spark.sql("SELECT count(*) AS n FROM chunk_text(repeat('a', 2001))").first()["n"] == 2
+    assert spark.sql("SELECT fuzzy_match('dm', 'demo').matched AS m").first()["m"] == [0, 2]
+
+
+def test_embedding(spark):
+    from tessella.sources import embedding as E
+
+    waits, calls = [], iter([ConnectionError(), ConnectionError(), [[1.0]]])
+
+    def call(_):
+        x = next(calls)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert E.with_retries(call, ["a"], waits.append) == [[1.0]] and waits == [2.0, 4.0]
+    with pytest.raises(E.CountMismatch):
+        E.with_retries(lambda t: [], ["a"])
+    assert E.from_bytes(E.to_bytes([1.5, -2.0])) == [1.5, -2.0]
+    with pytest.raises(ValueError):
+        E.from_bytes(b"abc")
+    df = E.embed(spark.createDataFrame([(k, f"t{k % 3}") for k in range(10)], "k int, text string"), E.stand_in(4), batch=3)
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["text"], set()).add(tuple(r["embedding"]))
+    assert len(by) == 3 and all(len(v) == 1 for v in by.values())
+
+
+def test_settings(spark):
+    from tessella.operators import tables as T
+
+    s = T.put_setting(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), "a", "9")
+    assert {tuple(r) for r in s.collect()} == {("a", "9"), ("b", "2")}
+    n = T.with_name(T.with_name(spark.createDataFrame([("x",)], "pattern string"), "y"), "y")
+    assert sorted(r[0] for r in n.collect()) == ["x", "y"] and T.without_name(n, "x").count() == 1
