@@ -9,7 +9,11 @@
    most bands with among the bands' hubs, then all its hubs outside its component, and only then what is left between
    different components of a band. Pairs that earlier links already connect can't change a component and are left out;
    no pair that could is.
-   In bands of more than SMALL members the last step compares signatures block by block and emits survivors only.
+   Before that last step, the shingles of the classes left are counted: one that no other of them has can't be common
+   to a pair, which bounds the similarity of any pair from its two counts and rules most out, exactly, without meeting.
+   In bands of more than SMALL members the last step compares signatures block by block: first to find each member's
+   best match, then, where components are still apart, all, each pair in the first band that it shares. Survivors whose
+   shingle hashes fall short are dropped there, so that few pairs ever leave a block.
 
 Components come from label propagation with pointer jumping; every round is checkpointed, nothing but counts reaches the
 driver.
@@ -22,6 +26,7 @@ result. Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +45,7 @@ BANDS, ROWS = 50, 5
 #: Signature bytes compared at a time, and the chosen miss probability.
 BATCH, MISS = 50, 1e-7
 #: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members are compared.
-SMALL, CHUNK = 48, 512
+SMALL, CHUNK = 48, 2048
 
 _H = BANDS * ROWS
 _rng = np.random.Generator(np.random.Philox(key=[20, 24]))
@@ -49,6 +54,14 @@ _ODD = _rng.integers(0, 1 << 31, _H, dtype=np.uint32) * np.uint32(2) + np.uint32
 _WORD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed. Spark deletes the shuffles of finished steps when the driver collects garbage, so it does."""
+    out = checkpoint(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -138,8 +151,8 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[tuple[int, int], ..
     return tuple(out)
 
 
-def surviving(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Numbers of the row pairs of two signature matrices that no batch prunes."""
+def surviving(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the row pairs of two signature matrices that no batch prunes, and their matches."""
     alive, seen, matches = np.arange(len(a)), 0, np.zeros(len(a), np.int32)
     for n, least in least_matches(percent):
         matches = matches + (a[alive, seen:n] == b[alive, seen:n]).sum(axis=1)
@@ -147,7 +160,7 @@ def surviving(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         alive, matches, seen = alive[keep], matches[keep], n
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def _matrix(signatures: list[bytes]) -> np.ndarray:
@@ -160,7 +173,7 @@ def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     x = pairs.join(sig.withColumnsRenamed({"class": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"class": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def f(cols):
-        keep = surviving(_matrix(cols["sa"]), _matrix(cols["sb"]), percent)
+        keep, _ = surviving(_matrix(cols["sa"]), _matrix(cols["sb"]), percent)
         return {"a": [cols["a"][i] for i in keep], "b": [cols["b"][i] for i in keep]}
 
     return map_columns(x, lambda: f, "a binary, b binary")
@@ -197,14 +210,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node and its neighbours, then that label's own label; rounds grow with
     the logarithm of a component's diameter.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    labels = checkpoint(labels)
+    labels = settled(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        new = checkpoint(step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")))
+        new = settled(step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")))
         changed = new.filter(F.col("label") != F.col("new")).limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -215,24 +228,26 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(docs: DataFrame, own: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, label) of the classes that have a link."""
+def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, label) of the classes that have a link; classes are (class, place, signature, bands)."""
     spark = docs.sparkSession
     # bands with two members or more, and their members
     member = classes.select(F.explode("bands").alias("band"), F.col("class").alias("m"))
     hubs = member.groupBy("band").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = checkpoint(member.join(hubs, "band"))
-    needed = shared.select(F.col("m").alias("class")).distinct()
-    places = classes.join(needed, "class", "left_semi").select("class", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
+    shared = settled(member.join(hubs, "band"))
+    classes = settled(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
+    del member, hubs
+    places = classes.select("class", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = places.join(source, places["d"].eqNullSafe(source["doc_id"]) & (places["h"] == source["text_hash"])).select("class", "text")
-    texts = checkpoint(texts.dropDuplicates(["class"]))
+    texts = settled(texts.dropDuplicates(["class"]))
+    del places, source
 
     met = spark.createDataFrame([], "a binary, b binary")
     edges, labels = met, spark.createDataFrame([], "node binary, label binary")
 
     def verified(pairs: DataFrame, screen: bool = True) -> DataFrame:
-        return checkpoint(confirmed(checkpoint(screened(pairs, classes, percent)) if screen else pairs, texts, width, percent))
+        return settled(confirmed(settled(screened(pairs, classes, percent)) if screen else pairs, texts, width, percent))
 
     def labelled(x: DataFrame, column: str, name: str) -> DataFrame:
         l = labels.withColumnsRenamed({"node": column, "label": f"__{name}"})
@@ -240,70 +255,159 @@ def links(docs: DataFrame, own: DataFrame, classes: DataFrame, width: int, perce
 
     # each class and the hub that it shares most bands with
     counted = shared.filter("m != hub").groupBy("m", "hub").agg(F.count("*").alias("times"))
-    first = checkpoint(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"))
+    first = settled(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"))
     edges, met = verified(first), first
     labels = components(edges)
 
     # each class and its bands' hubs in other components
     apart = labelled(labelled(shared, "m", "lm"), "hub", "lh")
-    second = checkpoint(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"))
+    second = settled(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"))
     edges, met = edges.union(verified(second)), met.union(second)
     labels = components(edges)
 
     # what is left between components of a band, other than with its hub
     apart = labelled(shared, "m", "lm").select("band", "hub", "n", "m", "lm")
     mixed = apart.groupBy("band").agg(F.min("lm").alias("x"), F.max("lm").alias("y")).filter("x != y").select("band")
-    apart = checkpoint(apart.join(mixed, "band", "left_semi").filter("m != hub"))
-    few = apart.filter(F.col("n") <= SMALL).select("band", "m", "lm")
-    other = few.withColumnsRenamed({"m": "m2", "lm": "lm2"})
-    third = _pairs(few.join(other, "band").filter("m < m2 and lm != lm2"), "m", "m2").join(met, ["a", "b"], "left_anti")
-    found = edges.union(verified(third)).union(verified(_between_blocks(apart.filter(F.col("n") > SMALL), classes, percent), screen=False))
-    return components(checkpoint(found))
-
-
-def _between_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs between components of large bands; members are (band, n, m, lm)."""
-    blocks = F.ceil(F.col("n") / CHUNK).cast("int")
-    block = F.pmod(F.xxhash64("m"), blocks).cast("int")
-    x = members.join(classes.select(F.col("class").alias("m"), "signature"), "m").select("band", "m", "lm", "signature", block.alias("block"), blocks.alias("blocks"))
+    apart = settled(apart.join(mixed, "band", "left_semi").filter("m != hub"))
+    common = settled(_common(apart.select("m").distinct(), texts, width))
+    apart = apart.join(common.filter(F.lit(100) * F.col("common") >= percent * F.col("size")).drop("hashes"), "m")
+    few = apart.filter(F.col("n") <= SMALL).select("band", "m", "lm", "size", "common")
+    other = few.withColumnsRenamed({c: f"{c}2" for c in few.columns if c != "band"})
+    most = F.least("common", "common2")
+    possible = F.lit(100) * most >= percent * (F.col("size") + F.col("size2") - most)
+    third = _pairs(few.join(other, "band").filter("m < m2 and lm != lm2").filter(possible), "m", "m2").join(met, ["a", "b"], "left_anti")
+    edges, met = edges.union(verified(third)), met.union(third)
+    # in large bands, first each class with what matches it best, so that few are left for the rest
+    many = settled(apart.filter(F.col("n") > SMALL))
+    if many.isEmpty():
+        return components(settled(edges))
+    best = _between_blocks(many, classes, percent, best=True).groupBy("m").agg(F.max(F.struct("matches", "other")).alias("x"))
+    fourth = settled(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"))
+    edges, met = edges.union(verified(fourth, screen=False)), met.union(fourth)
+    labels = components(edges)
+    many = labelled(many.drop("lm"), "m", "lm")
+    rest = _between_blocks(many.join(common.select("m", "hashes"), "m"), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
+    return components(settled(edges.union(verified(settled(rest), screen=False))))
+
+
+def _common(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(m, size, common, hashes): the shingles of each member, how many of them another member has too, and their hashes
+    cut to 32 bits."""
+    x = members.join(texts.withColumnRenamed("class", "m"), "m")
+
+    def f(cols):
+        out = {"m": [], "shingle": []}
+        for m, t in zip(cols["m"], cols["text"], strict=True):
+            s = shingles(words_of(t), width).view(np.int64).tolist()
+            out["m"] += [m] * len(s)
+            out["shingle"] += s
+        return out
+
+    each = map_columns(x, lambda: f, "m binary, shingle long")
+    # all shingles count with their holder only if it is the only one
+    alone = each.groupBy("shingle").agg(F.min("m").alias("m"), F.count("*").alias("holders")).filter("holders = 1").groupBy("m").agg(F.count("*").alias("alone"))
+
+    def g(cols):
+        sets = [shingles(words_of(t), width) for t in cols["text"]]
+        return {"m": cols["m"], "size": [len(s) for s in sets], "hashes": [(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets]}
+
+    size = map_columns(x, lambda: g, "m binary, size long, hashes binary")
+    return size.join(alone, "m", "left").select("m", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), "hashes")
+
+
+def _between_blocks(members: DataFrame, classes: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Surviving pairs (m, other, matches) between components of large bands; members are (band, m, lm, size, common).
+
+    For each member of a pair of blocks its best match there; or all of them, m the lesser, once each, whose shingles'
+    hashes reach the threshold: cut hashes can only add to what is common, so no link is lost.
+    """
+    left_ = members.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    x = members.join(left_, "band").join(classes.select(F.col("class").alias("m"), "signature", "bands"), "m")
+    x = x.withColumn("block", F.pmod(F.xxhash64("m"), "blocks").cast("int"))
     # a block meets itself and every other once: as the first of the two or as the second
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    x = x.withColumn("p", F.explode(meets)).select("band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "m", "lm", "signature")
+    x = x.withColumn("p", F.explode(meets)).select("band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "m", "lm", "size", "common", "signature", "bands", *([] if best else ["hashes"]))
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        i, j, band = rows["i"].iloc[0], rows["j"].iloc[0], rows["band"].iloc[0]
         left, right = rows[rows["block"] == i], rows[rows["block"] == j]
         sl, sr = _matrix(left["signature"].tolist()), _matrix(right["signature"].tolist())
-        ml, mr, cl, cr = left["m"].tolist(), right["m"].tolist(), left["lm"].to_numpy(), right["lm"].to_numpy()
-        out: list[tuple[bytes, bytes]] = []
+        bl, br = np.array(left["bands"].tolist(), np.int64).reshape(-1, BANDS), np.array(right["bands"].tolist(), np.int64).reshape(-1, BANDS)
+        ml, mr, cl, cr = left["m"].tolist(), right["m"].tolist(), left["lm"].tolist(), np.array(right["lm"].tolist(), dtype=object)
+        nl, nr, ul, ur = left["size"].tolist(), right["size"].to_numpy(), left["common"].tolist(), right["common"].to_numpy()
+        hl, hr = ([] if best else [np.frombuffer(h, "<u4") for h in side["hashes"]] for side in (left, right))
+        out: list[tuple[bytes, bytes, int]] = []
+        of_right: dict[int, tuple[int, int]] = {}
         for k in range(len(ml)):
-            rest = np.flatnonzero(cr != cl[k])
+            most = np.minimum(ul[k], ur)
+            rest = np.flatnonzero((100 * most >= percent * (nl[k] + nr - most)) & (cr != cl[k]))
             if i == j:
                 rest = rest[rest > k]
-            if len(rest):
-                alive = surviving(np.broadcast_to(sl[k], (len(rest), _H)), sr[rest], percent)
-                out += [(min(ml[k], mr[q]), max(ml[k], mr[q])) for q in rest[alive]]
-        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
-
-    return checkpoint(x.groupBy("band", "i", "j").applyInPandas(f, "a binary, b binary").distinct())
+            at = int(np.flatnonzero(bl[k] == band)[0])
+            if len(rest) and at and not best:
+                rest = rest[~(br[rest, :at] == bl[k, :at]).any(axis=1)]
+            if not len(rest):
+                continue
+            alive, matches = surviving(np.broadcast_to(sl[k], (len(rest), _H)), sr[rest], percent)
+            rest = rest[alive]
+            if not best and len(rest):
+                own = np.sort(hl[k])
+                joint = np.concatenate([hr[q] for q in rest])
+                found = own[np.minimum(np.searchsorted(own, joint), len(own) - 1)] == joint
+                both = np.minimum(np.add.reduceat(found, np.r_[0, np.cumsum([len(hr[q]) for q in rest])[:-1]], dtype=np.int64), nl[k])
+                good = 100 * both >= percent * (nl[k] + nr[rest] - both)
+                rest, matches = rest[good], matches[good]
+            if not best:
+                out += [(min(ml[k], mr[q]), max(ml[k], mr[q]), int(n)) for q, n in zip(rest, matches, strict=True)]
+            elif len(rest):
+                top = int(matches.argmax())
+                out.append((ml[k], mr[rest[top]], int(matches[top])))
+                for q, n in zip(rest.tolist(), matches.tolist(), strict=True):
+                    if n > of_right.get(q, (0, 0))[0]:
+                        of_right[q] = n, k
+        out += [(mr[q], ml[k], n) for q, (n, k) in of_right.items()]
+        return pd.DataFrame({"m": [a for a, *_ in out], "other": [b for _, b, _ in out], "matches": [n for *_, n in out]}).astype({"m": object, "other": object, "matches": "int32"})
+
+    return x.groupBy("band", "i", "j").applyInPandas(f, "m binary, other binary, matches int")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
-    own = checkpoint(signed(docs, width))
-    members = own.filter(F.col("class").isNotNull())
+    """(doc_id, text_hash, n_shingles, component, component_id, kept) of every row of docs (doc_id, text).
+
+    component is the least class of a component, null for an empty set.
+    """
+    heavy = settled(signed(docs, width))
+    own = settled(heavy.select("doc_id", "text_hash", "n_shingles", "class"))
+    members = heavy.filter(F.col("class").isNotNull())
     # the row with the smallest doc_id stands for the class; null only where all are
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     spare = F.min(F.struct("doc_id", "text_hash"))
-    classes = checkpoint(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
-    labels = links(docs, own, classes, width, percent)
-    joined = classes.select("class", "place.doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    full = settled(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
+    classes = settled(full.select("class", "place.doc_id"))
+    del heavy, members
+    steps = [full]
+    del full
+    labels = links(docs, steps.pop(), width, percent)
+    joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = joined.join(least, "label").select("class", "component_id")
+    ids = joined.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
     out = own.select("doc_id", "text_hash", "n_shingles", "class").join(ids, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    own_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.withColumn("component_id", own_id)
+    return out.select("doc_id", "text_hash", "n_shingles", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id, null after all others. Empty texts all stay."""
+    found = near_duplicates(docs, width, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    one = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(place).alias("x")).select("x.__d", "x.__h")
+    own = {c: f"__near{k}" for k, c in enumerate(docs.columns)}
+    x = docs.toDF(*own.values()).withColumn("__t", F.xxhash64(own["text"]))
+    has_words = F.coalesce(F.col(own["text"]).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = x.filter(has_words).join(one, (F.col("__t") == F.col("__h")) & F.col(own["doc_id"]).cast("long").eqNullSafe(F.col("__d")), "left_semi")
+    back = [F.col(v).alias(k) for k, v in own.items()]
+    return chosen.dropDuplicates(["__t", own["doc_id"]]).select(*back).unionByName(x.filter(~has_words).select(*back))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
