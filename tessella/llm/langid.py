@@ -38,11 +38,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
     their texts, each text once. dict_bytes bounds a dictionary, max_languages the languages (the most frequent).
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l")).filter("t is not null and l is not null and t != ''")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    distinct = F.approx_count_distinct(F.xxhash64("t")).alias("texts")
+    counts = rows.groupBy("l").agg(F.count("*").alias("count"), distinct).orderBy(F.desc("count"), "l").limit(max_languages).collect()
     if not counts:
         return {}
     each = max(1, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 2.0 * each / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 2.0 * each / max(1, r["texts"])))])
     place = (F.xxhash64("t").cast("double") / F.lit(2.0**64)) + 0.5
     sample = (
         rows.withColumn("h", place).filter(F.col("h") <= F.coalesce(share[F.col("l")], F.lit(-1.0)))
