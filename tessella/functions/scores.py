@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import struct
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +25,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(usable, F.lit(False)), 1.0 - similarity).otherwise(1.0)
 
 
+def cosine_distance_to(a: Column, vector: list[float]) -> Column:
+    """cosine_distance to one vector, whose norm is a constant of the plan."""
+    v = [struct.unpack("f", struct.pack("f", x))[0] for x in vector]
+    norm = math.sqrt(sum(x * x for x in v))
+    if not v or not norm:
+        return F.lit(1.0)
+    other = F.array(*[F.lit(x) for x in v])
+    add = lambda s, x: s + x
+    dot = F.aggregate(F.zip_with(a, other, lambda x, y: x.cast("double") * y), F.lit(0.0), add)
+    own = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), add))
+    similarity = F.greatest(F.least(dot / (own * norm), F.lit(1.0)), F.lit(-1.0))
+    return F.when(F.coalesce((F.size(a) == len(v)) & (own > 0), F.lit(False)), 1.0 - similarity).otherwise(1.0)
+
+
 def starts_word(before: str, c: str) -> bool:
     return not before or before in SEPARATORS or (before.islower() and c.isupper())
 

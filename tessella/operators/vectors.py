@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.scores import cosine_distance
+from tessella.functions.scores import cosine_distance_to
 from tessella.plans.clauses import Spec, where
 
 
@@ -17,10 +17,6 @@ class ModelMismatch(ValueError):
     """No chunk left by the filters was embedded by the current model."""
 
 
-def literal_vector(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)).cast("float") for v in vector])
-
-
 def current_model(chunks: DataFrame, model: str | None) -> DataFrame:
     """Chunks of the model, and those of unknown origin; all if no model is named."""
     return chunks if not model else chunks.filter(F.col("embedding_model").isin("", model))
@@ -34,7 +30,7 @@ def check_model(before: DataFrame, after: DataFrame) -> None:
 def distances(chunks: DataFrame, vector: list[float]) -> DataFrame:
     """chunks without their vectors, with their distance. Chunks without a vector are left out."""
     kept = [c for c in chunks.columns if c != "embedding"]
-    return chunks.filter(F.col("embedding").isNotNull()).select(*kept, cosine_distance(F.col("embedding"), literal_vector(vector)).alias("distance"))
+    return chunks.filter(F.col("embedding").isNotNull()).select(*kept, cosine_distance_to(F.col("embedding"), vector).alias("distance"))
 
 
 def best_chunks(scored: DataFrame) -> DataFrame:

@@ -51,6 +51,9 @@ def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 0.0), ([1.0, 0.0], [0.0, 2.0], 1.0), ([1.0, 0.0], [-3.0, 0.0], 2.0), ([0.0, 0.0], [1.0, 0.0], 1.0), ([1.0], [1.0, 0.0], 1.0), (None, [1.0], 1.0), ([], [], 1.0)]
     df = spark.createDataFrame(rows, "a array<float>, b array<float>, want double").withColumn("d", S.cosine_distance(F.col("a"), F.col("b")))
     assert all(r["d"] == pytest.approx(r["want"]) for r in df.collect())
+    for a, b, want in rows:
+        d = spark.createDataFrame([(a,)], "a array<float>").select(S.cosine_distance_to(F.col("a"), b).alias("d")).first()["d"]
+        assert d == pytest.approx(want)
 
 
 def test_paths(spark):
