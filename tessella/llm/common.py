@@ -36,17 +36,28 @@ def extended(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows; memory that Arrow holds on to is given back at the end of a task."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
-    """Arrow batches through make()(columns as lists) -> columns as lists; make() runs once a task."""
+    """Slices of Arrow batches through make()(columns as lists) -> columns as lists; make() runs once a task."""
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = f({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        for batch in slices(batches):
+            out = f({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 

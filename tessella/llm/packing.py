@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.llm.common import checkpoint, table
+from tessella.llm.common import checkpoint, slices, table
 
 LIMIT, END = 4096, 1
 #: A bin with at most so much room is final; a local packing's pieces; a node's bins.
 NEARLY, BLOCK, NODE = 16, 200_000, 100_000
 #: A round that leaves more than this share of its bins was the last.
 GAIN = 0.9
-#: Words whose ids a worker remembers.
+#: Words whose ids a task remembers.
 REMEMBERED = 1_000_000
 
 
@@ -92,15 +92,6 @@ class Ids:
         return b"".join([known[p] for p in parts])
 
 
-_IDS: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
-
-
 def best_fit(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
     """Best-fit decreasing: each item's bin and offset, and the bins' fills."""
     bins, offsets, fills = [0] * len(sizes), [0] * len(sizes), []
@@ -143,8 +134,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, keep_
         return (whole.slice(k, 20_000) for k in range(0, len(rows), 20_000)), first + len(fills)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, first = ids_of(path), [], TaskContext.get().partitionId() << 32
-        for batch in batches:
+        # the words are remembered for one task: workers live on, and would hold them beside what runs next
+        ids, rows, first = Ids(path), [], TaskContext.get().partitionId() << 32
+        for batch in slices(batches):
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = ids.of(x) + mark
                 for k, at in enumerate(range(0, len(raw), 4 * limit)):

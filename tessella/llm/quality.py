@@ -43,6 +43,8 @@ RATIOS = {
 SPREADS = 6.0
 #: The sketches' relative error, the least value that isn't 0 to them, and the least documents of a group.
 ERROR, SMALLEST, LEAST = 0.01, 1e-4, 100
+#: Bytes of fences that are broadcast.
+BROADCAST = 8 << 20
 
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -89,14 +91,15 @@ def measured(text: str | None) -> tuple:
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep's columns, COUNTS, base_failed and RATIOS."""
-    base = docs.select(*keep, F.col(text).alias("__text"))
+    own = text if text in keep else "__text"
+    base = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(own))
     names = (*COUNTS, "__lines", "stutter_share", "upper_share")
 
     def f(cols):
-        rows = [measured(x) for x in cols.pop("__text")]
+        rows = [measured(x) for x in (cols[own] if text in keep else cols.pop(own))]
         return cols | {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
-    schema = extended(base.drop("__text"), ", ".join(f"{n} {'double' if 'share' in n else 'long'}" for n in names))
+    schema = extended(base if text in keep else base.drop(own), ", ".join(f"{n} {'double' if 'share' in n else 'long'}" for n in names))
     out = map_columns(base, lambda: f, schema)
     some = F.greatest("n_words", F.lit(1))
     return out.select(
@@ -157,7 +160,11 @@ def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source")
 
 def judged(measures: DataFrame, lang: str = "lang", source: str = "source", limits: DataFrame | None = None) -> DataFrame:
     """measures and kept: not base_failed, and every ratio within its group's fences (null fences reject nothing)."""
-    limits = (thresholds(measures, lang, source) if limits is None else limits).withColumnsRenamed({lang: "__lang", source: "__source"})
+    limits = checkpoint(thresholds(measures, lang, source)) if limits is None else limits
+    held = limits.agg(F.sum(300 + F.coalesce(F.octet_length(lang), F.lit(0)) + F.coalesce(F.octet_length(source), F.lit(0)))).first()[0] or 0
+    few = held <= BROADCAST  # else the fences are joined by their keys
+    limits = limits.withColumnsRenamed({lang: "__lang", source: "__source"})
+    limits = F.broadcast(limits) if few else limits
     x = measures.join(limits, measures[lang].eqNullSafe(F.col("__lang")) & measures[source].eqNullSafe(F.col("__source")), "left")
 
     def inside(r: str) -> Column:
@@ -171,7 +178,8 @@ def judged(measures: DataFrame, lang: str = "lang", source: str = "source", limi
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
-    Rows are measured twice, once for the fences and once to be judged as they pass, so that no text is stored or shuffled.
+    Rows are measured twice, once for the fences and once to be judged as they pass, so that no text is stored, nor shuffled
+    unless the groups' fences take more than BROADCAST bytes.
     """
     limits = checkpoint(thresholds(checkpoint(measure(docs, [lang, source], text)), lang, source))
     own = {c: f"__kept{k}" for k, c in enumerate(docs.columns)}

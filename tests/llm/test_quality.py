@@ -74,3 +74,12 @@ def test_sketches_merge(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert Q.judged(Q.measure(docs, ["doc_id", "lang", "source"])).count() == 0
+
+
+def test_many_groups_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, prose(rng, 40), "en", f"s{k % 9}", 1) for k in range(60)] + [(99, None, None, None, 1)], "doc_id long, text string, lang string, source string, n_words int")
+    want = sorted(r["doc_id"] for r in Q.filtered(docs).collect())
+    monkeypatch.setattr(Q, "BROADCAST", 2)
+    out = Q.filtered(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == want == list(range(60))
