@@ -46,6 +46,8 @@ BANDS, ROWS = 50, 5
 BATCH, MISS = 50, 1e-7
 #: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members are compared.
 SMALL, CHUNK = 48, 2048
+#: Partitions of pairs and labels: so many rows each, and so many at least.
+PARTITION_ROWS, LEAST_PARTITIONS = 20_000, 8
 
 _H = BANDS * ROWS
 _rng = np.random.Generator(np.random.Philox(key=[20, 24]))
@@ -62,6 +64,11 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, documents: int) -> DataFrame:
+    """df, of fewer rows than documents or hardly more, in no more partitions than those rows are worth."""
+    return df.coalesce(max(LEAST_PARTITIONS, documents // PARTITION_ROWS))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -204,20 +211,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_columns(x, make, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of the edges (a, b): its component's least node.
+def components(edges: DataFrame, documents: int = 1 << 40) -> DataFrame:
+    """(node, label) of every node of the edges (a, b): its component's least node. documents bounds partitions.
 
     Each round takes the least label among a node and its neighbours, then that label's own label; rounds grow with
     the logarithm of a component's diameter.
     """
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = settled(gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), documents))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    labels = settled(labels)
+    labels = settled(gathered(labels, documents))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        new = settled(step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")))
+        new = step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new"))
+        new = settled(gathered(new, documents))
         changed = new.filter(F.col("label") != F.col("new")).limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -228,8 +236,8 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, label) of the classes that have a link; classes are (class, place, signature, bands)."""
+def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documents: int) -> DataFrame:
+    """(node, label) of the classes that have a link; classes are (class, place, signature, bands) of so many documents."""
     spark = docs.sparkSession
     # bands with two members or more, and their members
     member = classes.select(F.explode("bands").alias("band"), F.col("class").alias("m"))
@@ -255,15 +263,15 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
 
     # each class and the hub that it shares most bands with
     counted = shared.filter("m != hub").groupBy("m", "hub").agg(F.count("*").alias("times"))
-    first = settled(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"))
+    first = settled(gathered(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"), documents))
     edges, met = verified(first), first
-    labels = components(edges)
+    labels = components(edges, documents)
 
     # each class and its bands' hubs in other components
     apart = labelled(labelled(shared, "m", "lm"), "hub", "lh")
-    second = settled(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"))
+    second = settled(gathered(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(second)), met.union(second)
-    labels = components(edges)
+    labels = components(edges, documents)
 
     # what is left between components of a band, other than with its hub
     apart = labelled(shared, "m", "lm").select("band", "hub", "n", "m", "lm")
@@ -280,14 +288,14 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     # in large bands, first each class with what matches it best, so that few are left for the rest
     many = settled(apart.filter(F.col("n") > SMALL))
     if many.isEmpty():
-        return components(settled(edges))
+        return components(edges, documents)
     best = _between_blocks(many, classes, percent, best=True).groupBy("m").agg(F.max(F.struct("matches", "other")).alias("x"))
-    fourth = settled(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"))
+    fourth = settled(gathered(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(fourth, screen=False)), met.union(fourth)
-    labels = components(edges)
+    labels = components(edges, documents)
     many = labelled(many.drop("lm"), "m", "lm")
     rest = _between_blocks(many.join(common.select("m", "hashes"), "m"), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
-    return components(settled(edges.union(verified(settled(rest), screen=False))))
+    return components(edges.union(verified(settled(rest), screen=False)), documents)
 
 
 def _common(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -387,7 +395,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     del heavy, members
     steps = [full]
     del full
-    labels = links(docs, steps.pop(), width, percent)
+    labels = links(docs, steps.pop(), width, percent, own.count())
     joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = joined.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
