@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import checkpoint, table
 
 PART, CROWD = 64, 256
 SYSTEM = "system"
@@ -28,10 +28,12 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def parts(turns: DataFrame) -> DataFrame:
     """(conv_id, part, sub, messages) with messages (turn, role, text) in order."""
     x = turns.select("conv_id", "turn", "role", "text").withColumn("part", F.floor(F.col("turn") / PART))
-    crowded = x.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD)
-    crowded = crowded.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), F.ceil(F.col("count") / CROWD).alias("__n"))
-    x = x.join(crowded, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("part").eqNullSafe(F.col("__p")), "left")
-    sub = F.when(F.col("__n").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() % F.col("__n")).cast("long")
+    crowded = checkpoint(x.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD))
+    sub = F.lit(0).cast("long")
+    if not crowded.isEmpty():  # else the rows, with their texts, needn't be shuffled to be told so
+        crowded = crowded.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), F.ceil(F.col("count") / CROWD).alias("__n"))
+        x = x.withColumn("__at", F.monotonically_increasing_id()).join(crowded, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("part").eqNullSafe(F.col("__p")), "left")
+        sub = F.when(F.col("__n").isNull(), 0).otherwise(F.col("__at") % F.col("__n")).cast("long")
     message = F.struct("turn", "role", F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     return x.groupBy("conv_id", "part", sub.alias("sub")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
 
