@@ -6,7 +6,7 @@ query intersects and unites those postings, and the expression itself verifies t
 mandatory trigram scans every document.
 
 Defined results: a null or empty text has no spans; overlapping spans of different kinds are all reported; within a
-kind, spans are leftmost and don't overlap. Spans count code points, the end exclusive. Equal rows give equal rows.
+kind, spans are leftmost and don't overlap; a private key's span covers the whole key. Spans count code points, the end exclusive. Equal rows give equal rows.
 """
 
 from __future__ import annotations
@@ -41,9 +41,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]+", least=24),
 )
+#: A private key from its BEGIN line through the END line; if that is missing, through the lines of base64 (after
+#: headers such as Proc-Type), with what may stand between them in quoted or escaped keys.
+_GAP = r"""(?:[\s>"'|#*,;]|\\+[nrt]?)"""
+_KEY = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]++|-(?!----BEGIN |----END ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_GAP}*+[A-Za-z][A-Za-z-]*+:\x20[^\n\\]*+){{0,8}}+(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"(?:[\"'+ ]*+(?:\\+[nr]|\r?\n){_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\r\n\"'\\]|\Z))?+(?:{_GAP}++=[A-Za-z0-9+/]{{4}})?+)?"
+)
 #: Public formats of credentials, beside the base rules.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),

@@ -59,3 +59,25 @@ def test_redaction(spark):
     got = {r[0]: r[1] for r in S.redact(docs).collect()}
     assert got == {1: 'a [SECRET]" b', 2: None, 3: "clean"}
     assert S.redact(docs.limit(0)).count() == 0
+
+
+def test_whole_private_keys(spark):
+    body = "\n".join(["MIIEowIBAAKCAQEA+/" + "aB3/" * 11] * 5)
+    begin, end = "-----BEGIN {}PRIVATE KEY{}-----", "-----END {}PRIVATE KEY{}-----"
+    cases = {}
+    for label, block in (("RSA ", ""), ("", ""), ("PGP ", " BLOCK"), ("OPENSSH ", "")):
+        b, e = begin.format(label, block), end.format(label, block)
+        headers = "Version: GnuPG v1\nProc-Type: 4,ENCRYPTED\n\n" if block else ""
+        cases[f"before\n{b}\n{headers}{body}\nabc=\n{e}\nafter the key"] = "before\n[SECRET]\nafter the key"
+        cases[f"before\n{b}\n{headers}{body}\nabc=\n=aB3d\nafter the key"] = "before\n[SECRET]\nafter the key"
+        one = (headers + body).replace("\n", "\\n")
+        cases[f'k = "{b}\\n{one}\\n{e}\\n"; after'] = 'k = "[SECRET]\\n"; after'
+        cases[f'k = "{b}\\n{one}"; after'] = 'k = "[SECRET]"; after'
+        cases[f"{b}\n{body}\n{b}\n> {body}\n{e} x {e}"] = f"[SECRET]\n[SECRET] x {e}"
+        cases[f"a line {b} names no key, nor does\nthis one"] = "a line [SECRET] names no key, nor does\nthis one"
+    many = begin.format("", "") + " - "
+    cases[many * 20_000] = "[SECRET] - " * 20_000
+    got = {r[0]: r[1] for r in S.redact(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(cases.values()))
+    found = S.find_secrets(spark.createDataFrame([(1, x := f"é {begin.format('EC ', '')}\n{body}\n{end.format('EC ', '')}.")], "doc_id long, text string"), ["doc_id"])
+    assert ("private_key", 2, len(x) - 1) in [tuple(s) for s in found.first()["spans"]]
