@@ -1,21 +1,23 @@
 """Main text of web pages, with templates deduced from equivalence classes of tokens.
 
-Tokens are a page's tags and its blocks' texts, told apart by their place (the path of tags above them). Over the pages of
-a host, each token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class. A
+Tokens are a page's tags and its blocks' texts, told apart by their place (the path of tags above them). Over the distinct
+pages of a host (copies of one page's source count once), each token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class. A
 class is valid if it is large (LEAST tokens) and frequent (SUPPORT pages and SHARE of the host's). Valid classes nest: a
 class lies inside the one that holds the longest path above its own. They make the host's template, whose tokens come
 in one order; what a page has between them are its slots. Blocks that belong to the template are dropped; of the slots, those of
-the article remain.
+the article remain. Inside an article, headings and labels stay even if all pages have them, and so does an article that
+would lose all its blocks.
 
 Vectors are never built: a vector's fingerprint is the sum of hashes of (page, count), which partial aggregation merges, so
-a host of any size is spread over all tasks.
+a host of any size is spread over all tasks. Copies are taken out before, by the hash of their source, token by token, so that no
+source is shuffled.
 
 Which slots are the article's follows from the markup: those in article elements (or else main elements), without
 navigation, headers, footers, sidebars, notices, adverts, forms and comments by element, role and class; a page
 without either element takes the slots under the path that holds most text outside links.
 
 Defined results: null and empty pages and pages without an article have the text ""; a null url is a host of its own; a host
-with fewer than SUPPORT pages has no template; repeated rows count as pages of their own. Columns other than those named
+with fewer than SUPPORT distinct pages has no template; each repeated row gets its text. Columns other than those named
 are ignored. Nothing is cut off, however long.
 """
 
@@ -49,6 +51,7 @@ MARKS = frozenset(
     "subscription signup login popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments "
     "disqus reply replies respond share sharing social related recommended recommendations widget widgets pagination pager skip".split()
 )
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 caption dt legend summary th".split())
 COMMENTS = frozenset("comment comments reply replies related recommended".split())
 CLOSES_P = BLOCKS - {"option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "title"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -230,16 +233,17 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     base = _pages(pages, [], url, html)
 
     def f(cols):
-        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "h1", "h2")}
-        for u, x in zip(cols["__url"], cols["__html"], strict=True):
-            host, mark = host_of(u), xxhash.xxh3_64_intdigest(f"{u}\0{x}".encode("utf-8", "surrogatepass"))
+        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "mark")}
+        for host, x in dict.fromkeys((host_of(u), x or "") for u, x in zip(cols["__url"], cols["__html"], strict=True)):
+            mark = _hash(x)
             for token, (path, is_text, n, place) in tokens_of(parse(x)).items():
-                h = xxhash.xxh3_64_intdigest(b"%d:%d" % (mark, n))
-                for name, v in zip(out, (host, token, path, is_text, n, place, h >> 33, h & 0x7FFFFFFF), strict=True):
+                for name, v in zip(out, (host, token, path, is_text, n, place, mark), strict=True):
                     out[name].append(v)
         return out
 
-    rows = map_columns(base, lambda: f, "host string, token long, path string, is_text boolean, n long, place long, h1 long, h2 long")
+    rows = map_columns(base, lambda: f, "host string, token long, path string, is_text boolean, n long, place long, mark long").distinct()
+    h = F.xxhash64("mark", "n")
+    rows = rows.withColumns({"h1": F.shiftrightunsigned(h, 33), "h2": h.bitwiseAND(F.lit(0x7FFFFFFF))})
     tokens = rows.groupBy("host", "token", "path", "is_text").agg(
         F.count("*").alias("pages"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), F.max("n").alias("most"), F.avg("place").alias("place")
     )
@@ -283,7 +287,7 @@ def main_text(page: Page, fixed: set[int], everywhere: set[int]) -> str:
                 e[k].holds = True
                 k = e[k].above
     n = len(e)
-    article, chrome, main = [False] * n, [False] * n, [False] * n
+    article, chrome, main, head = [False] * n, [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         x, up = e[k], e[k].above
         inside = article[up] or main[up]
@@ -291,16 +295,20 @@ def main_text(page: Page, fixed: set[int], everywhere: set[int]) -> str:
         chrome[k] = chrome[up] or own
         article[k] = article[up] or (x.tag == "article" and not chrome[k])
         main[k] = main[up] or (x.tag == "main" and not chrome[k])
+        head[k] = head[up] or x.tag in HEADS
     slots = []
     for b in page.blocks:
         if not chrome[b.element]:
             token = text_token(e[b.element].path, b.text)
             # inside an article, only what stands on every page is the template's
-            if token not in (everywhere if article[b.element] or main[b.element] else fixed):
+            if token not in (everywhere if article[b.element] or main[b.element] else fixed) or (head[b.element] and (article[b.element] or main[b.element])):
                 slots.append(b)
     for inside in (article, main):
         if any(inside):
-            return "\n\n".join(b.text for b in slots if inside[b.element])
+            whole = [b for b in page.blocks if inside[b.element] and not chrome[b.element]]
+            own = [b for b in slots if inside[b.element]]
+            # a template that holds all of an article but its headings is copies of the article
+            return "\n\n".join(b.text for b in (own if any(not head[b.element] for b in own) else whole))
     if not slots:
         return ""
     weight: dict[int, int] = {}

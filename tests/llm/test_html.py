@@ -81,3 +81,22 @@ def test_hosts(spark):
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", H._host(H.F.col("u")).alias("h")).collect()
     assert {r["u"]: r["h"] for r in got} == {u: H.host_of(u) for u in urls}
     assert H.host_of(urls[0]) == "a.example"
+
+
+def test_copies_keep_their_article(spark):
+    article = "<html><body><nav><a>Menu</a></nav><article><h1>Title</h1><p>One passage</p><p>Another</p></article><div class='z'>{}</div></body></html>"
+    plain = "<html><body><div class='c'><h2>Plain</h2><p>" + "story " * 20 + "</p><p>" + "end of it " * 9 + "</p></div></body></html>"
+    rows = [(k, "http://copies.example/1", article.format("")) for k in range(12)]
+    rows += [(20 + k, None, article.format("")) for k in range(12)]
+    rows += [(40 + k, f"http://visits.example/{k}", article.format(f"visit {k}")) for k in range(12)]  # copies but for a footer
+    rows += [(60 + k, f"http://mixed.example/{k}", plain) for k in range(12)]
+    rows += [(80 + k, f"http://mixed.example/{k}", long_page(k)) for k in range(30)]
+    rows += [(120 + k, f"http://heads.example/{k}", f"<html><body><article><h1>t{k}</h1><h2>Summary</h2><p>Share this</p><p>own {k}</p></article></body></html>") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in H.extract(pages, ["page_id"]).collect()}
+    for k in range(12):
+        assert got[k] == got[20 + k] == got[40 + k] == "Title\n\nOne passage\n\nAnother"
+        assert got[60 + k] == "Plain\n\n" + " ".join(["story"] * 20) + "\n\n" + " ".join(["end of it"] * 9)
+        assert got[80 + k] == f"Title {k}\n\n" + "story " * 20 + str(k)
+        assert got[120 + k] == f"t{k}\n\nSummary\n\nown {k}"
+    assert {r["host"] for r in H.templates(pages).collect()} == {"visits.example", "mixed.example", "heads.example"}
