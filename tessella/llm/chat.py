@@ -2,7 +2,8 @@
 
 A conversation is rendered once for every participant, with that speaker as the assistant and the others as named users; the
 mask selects what the assistant says. Long conversations come in parts of PART turn numbers, so that no row or group
-grows with a conversation; a part in which more than CROWD rows share those numbers is dealt into several.
+grows with a conversation; a part in which more than CROWD rows share those numbers is cut, in the order of its turns, into runs
+of CROWD rows (sub 0, 1, ...). Which rows a run holds depends on the rows alone, not on files or partitions.
 
 Built-in functions only: rows are grouped to parts, parts meet their conversation's participants in a join (AQE splits a
 hot conversation), and each pair is rendered by array functions.
@@ -15,7 +16,7 @@ conversation. "<|" in a text becomes "< |", so that no text can open a mark. Col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpoint, table
@@ -27,15 +28,39 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 def parts(turns: DataFrame) -> DataFrame:
     """(conv_id, part, sub, messages) with messages (turn, role, text) in order."""
-    x = turns.select("conv_id", "turn", "role", "text").withColumn("part", F.floor(F.col("turn") / PART))
+    clean = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")
+    x = turns.select("conv_id", "turn", "role", clean).withColumn("part", F.floor(F.col("turn") / PART))
     crowded = checkpoint(x.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD))
-    sub = F.lit(0).cast("long")
-    if not crowded.isEmpty():  # else the rows, with their texts, needn't be shuffled to be told so
-        crowded = crowded.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), F.ceil(F.col("count") / CROWD).alias("__n"))
-        x = x.withColumn("__at", F.monotonically_increasing_id()).join(crowded, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("part").eqNullSafe(F.col("__p")), "left")
-        sub = F.when(F.col("__n").isNull(), 0).otherwise(F.col("__at") % F.col("__n")).cast("long")
-    message = F.struct("turn", "role", F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    return x.groupBy("conv_id", "part", sub.alias("sub")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    message = F.struct("turn", "role", "text")
+    gathered = lambda rows: rows.groupBy("conv_id", "part", F.lit(0).cast("long").alias("sub")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    if crowded.isEmpty():  # the rows, with their texts, needn't be shuffled to be told so
+        return gathered(x)
+    crowded = crowded.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"))
+    same = F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("part").eqNullSafe(F.col("__p"))
+    return gathered(x.join(crowded, same, "left_anti")).unionByName(_runs(x.join(crowded, same, "left_semi")))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """(conv_id, part, sub, messages) of crowded parts: runs of CROWD rows by (turn, role, text).
+
+    Equal rows are counted first; the others are dealt out in ranges of that order, and a row's rank is the count of its part's rows
+    in earlier ranges and earlier in its own. So neither a large part nor a row repeated many times goes to one task.
+    """
+    own, order = ["conv_id", "part"], ["turn", "role", "text"]
+    counted = rows.groupBy(*own, *order).agg(F.count("*").alias("n"))
+    x = checkpoint(counted.repartitionByRange(*own, *order).withColumn("range", F.spark_partition_id()))
+    ranges = x.groupBy(*own, "range").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*[F.col(c).alias(f"__{c}") for c in (*own, "range")], before.alias("__before"))
+    same = F.col("conv_id").eqNullSafe(F.col("__conv_id")) & F.col("part").eqNullSafe(F.col("__part")) & (F.col("range") == F.col("__range"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*own, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("at", earlier).join(ranges, same).withColumn("at", F.col("at") + F.col("__before"))
+    run = F.explode(F.sequence(F.floor(F.col("at") / CROWD), F.floor((F.col("at") + F.col("n") - 1) / CROWD)))
+    x = x.withColumn("sub", run)
+    times = F.least(F.col("at") + F.col("n"), (F.col("sub") + 1) * CROWD) - F.greatest("at", F.col("sub") * CROWD)
+    message = F.struct(*order).alias("message")
+    grouped = x.groupBy(*own, "sub").agg(F.sort_array(F.collect_list(F.struct(message, times.cast("int").alias("times")))).alias("__m"))
+    return grouped.select(*own, "sub", F.flatten(F.transform("__m", lambda m: F.array_repeat(m["message"], m["times"]))).alias("messages"))
 
 
 def _head(m: Column, speaker: Column) -> Column:
