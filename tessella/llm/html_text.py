@@ -1,23 +1,31 @@
-"""Main text of web pages, with templates deduced from equivalence classes of tokens.
+"""Main text of web pages, through templates deduced from equivalence classes of tokens.
 
 Tokens are a page's tags and its blocks' texts, told apart by their place (the path of tags above them). Over the distinct
 pages of a host (copies of one page's source count once), each token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class. A
-class is valid if it is large (LEAST tokens) and frequent (SUPPORT pages and SHARE of the host's). Valid classes nest: a
-class lies inside the one that holds the longest path above its own. They make the host's template, whose tokens come
-in one order; what a page has between them are its slots. Blocks that belong to the template are dropped; of the slots, those of
-the article remain. Inside an article, headings and labels stay even if all pages have them, and so does an article that
-would lose all its blocks.
+class is valid if it is large (LEAST tokens), frequent (SUPPORT pages and SHARE of the host's) and nests: all its tokens lie
+in one place of the class around it. Valid classes make the host's template; what a page has between the template's
+elements are its slots.
 
 Vectors are never built: a vector's fingerprint is the sum of hashes of (page, count), which partial aggregation merges, so
 a host of any size is spread over all tasks. Copies are taken out before, by the hash of their source, token by token, so that no
-source is shuffled.
-
-Which slots are the article's follows from the markup: those in article elements (or else main elements), without
-navigation, headers, footers, sidebars, notices, adverts, forms and comments by element, role and class; a page
-without either element takes the slots under the path that holds most text outside links.
-
-Defined results: null and empty pages and pages without an article have the text ""; a null url is a host of its own; a host
-with fewer than SUPPORT distinct pages has no template; each repeated row gets its text. Columns other than those named
+source is shuffled. The same sums tell how much text outside links stands under each element of the template, and
+how much of that varies from page to page.
+
+* A text of a valid class is the template's if the class also holds an element around it. A passage that many
+  articles quote has a vector of its own, without such an element, and stays.
+* The article's slot is found by descent from the page's root: to the element of the template that holds nearly all (HOLD)
+  of the text that varies over the host's pages, as far as an article element or the last such container. So a page with a short article
+  next to a long advert is read as the host's other pages tell. Varying headings and paragraphs beside the way down belong to it.
+* Inside the slot the template's texts go, but for headings, and unless nearly all of the slot's text on the host's
+  pages is the template's: then the pages are copies of an article.
+* Markup breaks ties: where no element holds nearly all, article and main elements are taken. Elements and roles that are
+  never an article's (nav, footer, aside, form and so on, and containers whose whole class is a name such as "ad" or "comments") are left out.
+  Parts of class names and ids decide nothing.
+* A host with fewer than SUPPORT distinct pages has no template. There a page is read alone: its article and main elements, or
+  else the container that holds nearly all of its own text.
+
+Defined results: null and empty pages and pages without text outside such elements have the text ""; a null url is a host of its own;
+an empty table gives an empty result; each repeated row gets its text. Columns other than those named, also of clashing names,
 are ignored. Nothing is cut off, however long.
 """
 
@@ -25,6 +33,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import xxhash
@@ -34,32 +43,30 @@ from pyspark.sql import functions as F
 from tessella.llm.common import checkpoint, extended, map_columns, table
 
 SUPPORT, SHARE, LEAST = 10, 0.25, 3
+#: An element that holds so much of the text around it holds nearly all.
+HOLD = 0.8
 #: Templates are broadcast up to so many bytes, and else joined by host.
 BROADCAST = 8 << 20
 
-# Elements by kind.
+# Elements by kind, roles, and whole class names.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe textarea noembed noframes xmp title svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style noscript template iframe textarea noembed noframes xmp title svg object canvas audio video select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav header footer aside form menu dialog search button fieldset head".split())
+CHROME = frozenset("nav header footer aside form dialog search button fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe "
-    "subscription signup login popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments "
-    "disqus reply replies respond share sharing social related recommended recommendations widget widgets pagination pager skip".split()
-)
-HEADS = frozenset("h1 h2 h3 h4 h5 h6 caption dt legend summary th".split())
-COMMENTS = frozenset("comment comments reply replies related recommended".split())
+NAMES = frozenset("ad ads advert adverts advertisement comments cookie-banner cookie-notice cookie-consent newsletter".split())
+CONTAINERS = frozenset("html body div section main article center details figure table tbody ul ol menu dl".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+HEADS = TITLES | frozenset("caption dt legend summary th".split())
 CLOSES_P = BLOCKS - {"option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "title"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""", re.IGNORECASE)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -73,13 +80,10 @@ class Element:
     tag: str
     path: str
     above: int
-    #: markup that is not the article's by element, role, class or state
+    #: not the article's by element, role, name or state
     chrome: bool
-    hidden: bool
-    soft: bool
-    #: chrome whatever it holds; other chrome that holds an article is its frame
-    hard: bool = True
-    holds: bool = False
+    #: a link
+    link: bool = False
 
 
 @dataclass
@@ -98,7 +102,7 @@ class Page:
 
 def parse(source: str | None) -> Page:
     """Elements in order of their start tags, and blocks of text with white space made single spaces."""
-    page = Page([Element("", "", -1, False, False, False)])
+    page = Page([Element("", "", -1, False)])
     stack, parts, linked, at, text = [0], [], 0, 0, source or ""
     links = 0
 
@@ -167,17 +171,15 @@ def parse(source: str | None) -> Page:
         attrs = {}
         for a in _ATTR.finditer(m[3] or m[6] or ""):
             attrs.setdefault(a[1].lower(), _html.unescape(a[2] or a[3] or a[4] or ""))
-        names = attrs.get("class", "") + " " + attrs.get("id", "")
         above = page.elements[stack[-1]]
-        label = f"{tag}.{'.'.join(attrs['class'].split())}" if attrs.get("class") else tag
+        classes = attrs.get("class", "").split()
+        label = f"{tag}.{'.'.join(classes)}" if classes else tag
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE))
-        marks = COMMENTS if tag == "article" else MARKS
-        marked = tag not in ("html", "body", "main") and any(x.lower() in marks for x in _PARTS.findall(names))
-        hard = tag in CHROME or attrs.get("role", "").lower() in ROLES
-        chrome = hard or marked
-        # a header inside an article holds its title
-        soft = chrome and (tag == "header" or "header" in names.lower()) and not hidden
-        page.elements.append(Element(tag, f"{above.path}/{label}", stack[-1], chrome, hidden, soft, hard or tag == "article"))
+        # a header inside an article or section holds its title
+        fixed = tag in CHROME and not (tag == "header" and any(page.elements[k].tag in ("article", "main", "section") for k in stack))
+        named = tag in CONTAINERS and tag not in ("html", "body", "main", "article") and not NAMES.isdisjoint(x.lower() for x in classes)
+        chrome = hidden or fixed or named or attrs.get("role", "").lower() in ROLES
+        page.elements.append(Element(tag, f"{above.path}/{label}", stack[-1], chrome, tag == "a"))
         stack.append(len(page.elements) - 1)
         links += tag == "a"
     add(text[at:])
@@ -198,54 +200,70 @@ def text_token(path: str, text: str) -> int:
     return _hash(f"{path}\0{text}")
 
 
+def weights(page: Page) -> tuple[list[int], list[int], list[int]]:
+    """For each element the characters of its blocks outside links and inside links, and its links."""
+    n = len(page.elements)
+    free, linked, links = [0] * n, [0] * n, [0] * n
+    for b in page.blocks:
+        linked[b.element] += min(b.linked, len(b.text))
+        free[b.element] += max(0, len(b.text) - b.linked)
+    for k in range(n - 1, 0, -1):  # elements come after those around them
+        x = page.elements[k]
+        links[k] += x.link
+        free[x.above] += free[k]
+        linked[x.above] += linked[k]
+        links[x.above] += links[k]
+    return free, linked, links
+
+
 def tokens_of(page: Page) -> dict[int, list]:
-    """token: [path, whether text, count, place of the first]; token 0 stands for the page itself."""
-    out: dict[int, list] = {0: ["", False, 1, -1]}
-    place = 0
-    for e in page.elements[1:]:
+    """token: [path, whether text, count, place of the first, characters outside links]; token 0 stands for the page itself."""
+    out: dict[int, list] = {0: ["", False, 1, -1, 0]}
+    free = weights(page)[0]
+    for place, e in enumerate(page.elements[1:]):
         key = tag_token(e.path)
         if key in out:
             out[key][2] += 1
+            out[key][4] += free[place + 1]
         else:
-            out[key] = [e.path, False, 1, place]
-        place += 1
+            out[key] = [e.path, False, 1, place, free[place + 1]]
     for k, b in enumerate(page.blocks):
         path = page.elements[b.element].path
         key = text_token(path, b.text)
+        own = max(0, len(b.text) - b.linked)
         if key in out:
             out[key][2] += 1
+            out[key][4] += own
         else:
-            out[key] = [path, True, 1, k]
+            out[key] = [path, True, 1, k, own]
     return out
 
 
-def _pages(pages: DataFrame, keep: list[str], url: str, html: str) -> DataFrame:
-    return pages.select(*keep, F.col(url).alias("__url"), F.col(html).alias("__html"))
-
-
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """A row for each host with a template: host, and its tokens as (token, path, is_text, class, parent, everywhere).
+    """A row for each host with a template: host, and its tokens as structs in the template's order.
 
-    class and parent number the host's valid classes (parent -1: none), everywhere tells the class whose tokens occur
-    once on each page. Tokens come in the template's order. A template is bounded: each of its tokens is on a
-    SHARE of the host's pages, so it holds at most 1 / SHARE times an average page's tokens.
+    class and parent number the host's valid classes (parent -1: none); pages are the distinct pages that hold the
+    token, everywhere whether each page has it once; fixed tells the template's texts; for elements, mass is the varying text under one occurrence in
+    characters, stable that of the template's texts, rest the varying text outside of the template's elements below it. A
+    template is bounded: each of its tokens is on a SHARE of the host's pages, so it holds at most 1 / SHARE times an average
+    page's tokens.
     """
-    base = _pages(pages, [], url, html)
+    base = pages.select(F.col(url).alias("__url"), F.col(html).alias("__html"))
 
     def f(cols):
-        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "mark")}
+        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "free", "mark")}
         for host, x in dict.fromkeys((host_of(u), x or "") for u, x in zip(cols["__url"], cols["__html"], strict=True)):
             mark = _hash(x)
-            for token, (path, is_text, n, place) in tokens_of(parse(x)).items():
-                for name, v in zip(out, (host, token, path, is_text, n, place, mark), strict=True):
+            for token, (path, is_text, n, place, free) in tokens_of(parse(x)).items():
+                for name, v in zip(out, (host, token, path, is_text, n, place, free, mark), strict=True):
                     out[name].append(v)
         return out
 
-    rows = map_columns(base, lambda: f, "host string, token long, path string, is_text boolean, n long, place long, mark long").distinct()
+    rows = map_columns(base, lambda: f, "host string, token long, path string, is_text boolean, n long, place long, free long, mark long").distinct()
     h = F.xxhash64("mark", "n")
     rows = rows.withColumns({"h1": F.shiftrightunsigned(h, 33), "h2": h.bitwiseAND(F.lit(0x7FFFFFFF))})
     tokens = rows.groupBy("host", "token", "path", "is_text").agg(
-        F.count("*").alias("pages"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), F.max("n").alias("most"), F.avg("place").alias("place")
+        F.count("*").alias("pages"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), F.sum("n").alias("times"), F.max("n").alias("most"), F.sum("free").alias("free"), F.avg("place").alias("place")
     )
     frequent = checkpoint(tokens.filter(F.col("pages") >= SUPPORT))
     whole = frequent.filter("token = 0").select(F.col("host").alias("__host"), F.col("pages").alias("all_pages"))
@@ -253,104 +271,199 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     by = Window.partitionBy("host", "pages", "h1", "h2")
     x = x.withColumn("size", F.count("*").over(by)).filter(F.col("size") >= LEAST)
     x = x.withColumn("everywhere", (F.col("pages") == F.col("all_pages")) & (F.col("most") == 1))
-    entry = F.struct("is_text", "place", "token", "path", "pages", "h1", "h2", "everywhere")
+    entry = F.struct("is_text", "place", "token", "path", "pages", "h1", "h2", "times", "free", "everywhere")
     grouped = x.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("__t"))
+    schema = "template array<struct<token:long,path:string,is_text:boolean,class:int,parent:int,pages:long,everywhere:boolean,fixed:boolean,mass:double,stable:double,rest:double>>"
+
+    def make():
+        return lambda cols: cols | {"template": [nested(rows) for rows in cols.pop("__t")]}
+
+    return map_columns(grouped, make, extended(grouped.drop("__t"), schema))
+
+
+def _above(path: str):
+    """The paths around a path, the nearest first."""
+    while path := path.rpartition("/")[0]:
+        yield path
+
+
+def nested(rows: list) -> list[dict]:
+    """The template of one host: its large and frequent classes' tokens, of the classes that nest."""
+    number: dict[tuple, int] = {}
+    of = [number.setdefault((r["pages"], r["h1"], r["h2"]), len(number)) for r in rows]
+    holder = {r["path"]: c for r, c in zip(rows, of, strict=True) if not r["is_text"]}
+    places: dict[int, set] = {}
+    held = []
+    for r, c in zip(rows, of, strict=True):
+        around = ([r["path"]] if r["is_text"] else []) + list(_above(r["path"]))
+        held.append(any(holder.get(p) == c for p in around))
+        # the nearest element of another class that this class doesn't hold in turn
+        places.setdefault(c, set()).add(next((p for p in around if holder.get(p, c) != c and all(holder.get(q) != c for q in _above(p))), ""))
+    # a class is in one place of the class around it; what lies above the outermost class is no place
+    valid = {c for c, p in places.items() if len(p) == 1}
+    parent = {c: holder.get(next(iter(places[c])), -1) for c in valid}
+    kept = [(r, c, h) for r, c, h in zip(rows, of, held, strict=True) if c in valid]
+    elements = {r["path"]: r for r, _, _ in kept if not r["is_text"]}
+    stable = dict.fromkeys(elements, 0)
+    for r, _, h in kept:
+        if r["is_text"] and h:
+            for p in [r["path"], *_above(r["path"])]:
+                if p in stable:
+                    stable[p] += r["free"]
+    rest = {p: r["free"] - stable[p] for p, r in elements.items()}
+    for p, r in elements.items():
+        if up := next((q for q in _above(p) if q in elements), None):
+            rest[up] -= r["free"] - stable[p]
+    out = []
+    for r, c, h in kept:
+        row = {"token": r["token"], "path": r["path"], "is_text": r["is_text"], "class": c, "parent": parent[c] if parent[c] in valid else -1, "pages": r["pages"], "everywhere": r["everywhere"], "fixed": r["is_text"] and h}
+        if r["is_text"]:
+            row |= {"mass": 0.0, "stable": 0.0, "rest": 0.0}
+        else:
+            p, times = r["path"], max(1, r["times"])
+            row |= {"mass": (r["free"] - stable[p]) / times, "stable": stable[p] / times, "rest": max(0, rest[p]) / times}
+        out.append(row)
+    return out
 
-    def nest(cols):
-        out = []
-        for rows in cols.pop("__t"):
-            number: dict[tuple, int] = {}
-            for r in rows:
-                number.setdefault((r["pages"], r["h1"], r["h2"]), len(number))
-            of = [number[r["pages"], r["h1"], r["h2"]] for r in rows]
-            holder = {r["path"]: c for r, c in zip(rows, of, strict=True) if not r["is_text"]}
-            parent = {}
-            for r, c in zip(rows, of, strict=True):
-                path = r["path"] if r["is_text"] else r["path"].rpartition("/")[0]
-                while path and holder.get(path, c) == c:
-                    path = path.rpartition("/")[0]
-                if path and c not in parent:
-                    parent[c] = holder[path]
-            out.append([{"token": r["token"], "path": r["path"], "is_text": r["is_text"], "class": c, "parent": parent.get(c, -1), "everywhere": r["everywhere"]} for r, c in zip(rows, of, strict=True)])
-        return cols | {"template": out}
-
-    return map_columns(grouped, lambda: nest, extended(grouped.drop("__t"), "template array<struct<token:long,path:string,is_text:boolean,class:int,parent:int,everywhere:boolean>>"))
-
-
-def main_text(page: Page, fixed: set[int], everywhere: set[int]) -> str:
-    """The article's slots; fixed are the template's text tokens, everywhere those on every page of the host."""
-    e = page.elements
-    for x in e:
-        if x.tag in ("article", "main") and not x.chrome and "/article" not in e[x.above].path:
-            k = x.above
-            while k > 0 and not e[k].holds:
-                e[k].holds = True
-                k = e[k].above
-    n = len(e)
-    article, chrome, main, head = [False] * n, [False] * n, [False] * n, [False] * n
+
+def _below(page: Page, roots: list[int]) -> list[bool]:
+    """Whether an element is one of the roots or inside one."""
+    out, of = [False] * len(page.elements), set(roots)
+    out[0] = 0 in of
+    for k in range(1, len(out)):
+        out[k] = out[page.elements[k].above] or k in of
+    return out
+
+
+def _by_markup(page: Page, closed: list[bool], under: list[int]) -> list[int]:
+    """The outermost open article elements under some, and main elements without one inside, with the main headings around them."""
+    e, n = page.elements, len(page.elements)
+    nested_, holds, ok = [False] * n, [False] * n, _below(page, under)
     for k in range(1, n):
-        x, up = e[k], e[k].above
-        inside = article[up] or main[up]
-        own = x.hidden or (x.chrome and (x.hard or not x.holds) and not (x.soft and inside))
-        chrome[k] = chrome[up] or own
-        article[k] = article[up] or (x.tag == "article" and not chrome[k])
-        main[k] = main[up] or (x.tag == "main" and not chrome[k])
-        head[k] = head[up] or x.tag in HEADS
-    slots = []
+        up = e[k].above
+        nested_[k] = nested_[up] or e[up].tag == "article"
+        if e[k].tag == "article" and not closed[k]:
+            while up > 0 and not holds[up]:
+                holds[up] = True
+                up = e[up].above
+    open_ = [k for k in range(1, n) if ok[k] and not closed[k]]
+    roots = [k for k in open_ if not nested_[k] and (e[k].tag == "article" or (e[k].tag == "main" and not holds[k]))]
+    if not roots:
+        return []
+    taken, around = _below(page, roots), _below(page, [k for k in open_ if e[k].tag == "main" and holds[k]])
+    if not any(taken[k] and e[k].tag == "h1" for k in open_):
+        roots += [k for k in open_ if e[k].tag == "h1" and around[k] and not taken[k]]
+    return roots
+
+
+def _by_template(page: Page, closed: list[bool], slots: dict[int, tuple[float, float, float]]) -> tuple[list[int], int]:
+    """The roots of the article's slot as the host's other pages tell, and the template's element that the descent ends in."""
+    e = page.elements
+    known: dict[str, tuple | None] = {}
+    at, kids = [0] * len(e), {0: []}  # the nearest element of the template
+    figures: dict[int, tuple] = {0: (0.0, 0.0, 0.0)}
+    articles = [False] * len(e)
+    for k in range(1, len(e)):
+        path = e[k].path
+        if path not in known:
+            known[path] = slots.get(tag_token(path))
+        at[k] = at[e[k].above]
+        if known[path] is not None and not closed[k]:
+            kids[at[k]].append(k)
+            figures[k], kids[k], at[k] = known[path], [], k
+    for k in range(len(e) - 1, 0, -1):
+        articles[k] = articles[k] or (e[k].tag == "article" and not closed[k])
+        articles[e[k].above] = articles[e[k].above] or articles[k]
+    top, beside = 0, []
+    while e[top].tag != "article" and (e[top].tag != "main" or articles[top]):
+        times = Counter(e[k].path for k in kids[top])
+        varying = sum(figures[k][0] for k in kids[top]) + figures[top][2]
+        ways = [k for k in kids[top] if e[k].tag in CONTAINERS and times[e[k].path] == 1]
+        best = max(ways, key=lambda k: figures[k][0], default=None)
+        largest = max(ways, key=lambda k: figures[k][0] + figures[k][1], default=None)
+        clear = best is not None and varying > 0 and figures[best][0] >= HOLD * varying
+        if not clear or best != largest:
+            if marked := _by_markup(page, closed, [top]):
+                return [*beside, *marked], top
+            if not clear:
+                break
+        beside += [k for k in kids[top] if e[k].tag not in CONTAINERS and figures[k][0] > 0]
+        top = best
+    return [*beside, top], top
+
+
+def _alone(page: Page, closed: list[bool]) -> list[int]:
+    """The root of the container that holds nearly all of a page's own open text."""
+    e = page.elements
+    own = [0] * len(e)
     for b in page.blocks:
-        if not chrome[b.element]:
-            token = text_token(e[b.element].path, b.text)
-            # inside an article, only what stands on every page is the template's
-            if token not in (everywhere if article[b.element] or main[b.element] else fixed) or (head[b.element] and (article[b.element] or main[b.element])):
-                slots.append(b)
-    for inside in (article, main):
-        if any(inside):
-            whole = [b for b in page.blocks if inside[b.element] and not chrome[b.element]]
-            own = [b for b in slots if inside[b.element]]
-            # a template that holds all of an article but its headings is copies of the article
-            return "\n\n".join(b.text for b in (own if any(not head[b.element] for b in own) else whole))
-    if not slots:
-        return ""
-    weight: dict[int, int] = {}
-    for b in slots:
-        free = max(0, len(b.text) - b.linked)
-        k = b.element
-        while k > 0:
-            weight[k] = weight.get(k, 0) + free
-            k = e[k].above
-    total = sum(max(0, len(b.text) - b.linked) for b in slots)
-    top, under = 0, {}
-    for k in weight:
-        under.setdefault(e[k].above, []).append(k)
-    while True:  # down, while one element below holds nearly all
-        best = max((k for k in under.get(top, []) if e[k].tag not in ("p", "h1", "h2", "li")), key=weight.__getitem__, default=None)
-        if best is None or weight[best] < 0.8 * total:
-            break
+        if not closed[b.element]:
+            own[b.element] += max(0, len(b.text) - b.linked)
+    for k in range(len(e) - 1, 0, -1):
+        own[e[k].above] += own[k]
+    below: dict[int, list[int]] = {}
+    for k in range(1, len(e)):
+        if not closed[k] and e[k].tag in CONTAINERS | {"tr", "td"}:
+            below.setdefault(e[k].above, []).append(k)
+    top = 0
+    while (best := max(below.get(top, []), key=own.__getitem__, default=None)) is not None and own[best] >= max(1, HOLD * own[0]):
         top = best
+    return [top]
 
-    def below(k: int) -> bool:
-        while k > top:
-            k = e[k].above
-        return k == top
 
-    return "\n\n".join(b.text for b in slots if below(b.element) and 2 * b.linked <= len(b.text))
+def main_text(page: Page, fixed: set[int] | frozenset = frozenset(), slots: dict[int, tuple[float, float, float]] | None = None) -> str:
+    """The article's blocks; fixed are the template's texts, slots its elements' (mass, stable, rest) by token."""
+    e = page.elements
+    n = len(e)
+    free, linked, links = weights(page)
+    article = [x.tag in ("article", "main") for x in e]
+    for k in range(n - 1, 0, -1):
+        article[e[k].above] = article[e[k].above] or article[k]  # holds an article, or is one
+    closed, head = [False] * n, [False] * n
+    for k in range(1, n):
+        x = e[k]
+        closed[k] = closed[x.above] or (x.chrome and not (x.tag == "form" and article[k]))  # a form around a whole page is a frame
+        head[k] = head[x.above] or x.tag in HEADS
+    top = 0
+    if slots:
+        roots, top = _by_template(page, closed, slots)
+    else:
+        roots = _by_markup(page, closed, [0]) or _alone(page, closed)
+    inside, safe = _below(page, roots), _below(page, [k for k in range(1, n) if e[k].tag in ("article", "main")])
+    # outside articles, a container of nothing but links is a menu
+    menu = [False] * n
+    for k in range(1, n):
+        own = e[k].tag in CONTAINERS and links[k] > 1 and linked[k] >= HOLD * (linked[k] + free[k])
+        menu[k] = menu[e[k].above] or (own and not safe[k] and k not in roots)
+    blocks = [b for b in page.blocks if inside[b.element] and not closed[b.element] and not menu[b.element]]
+    if slots and fixed:
+        of = [x for k in roots if (x := slots.get(tag_token(e[k].path)))] or [slots.get(tag_token(e[top].path), (1.0, 0.0, 0.0))]
+        mass, stable = sum(x[0] for x in of), sum(x[1] for x in of)
+        if stable < HOLD * (mass + stable):  # else the host's pages are copies
+            blocks = [b for b in blocks if head[b.element] or text_token(e[b.element].path, b.text) not in fixed]
+    return "\n\n".join(b.text for b in blocks)
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """keep's columns and text, the main text."""
     found = checkpoint(templates(pages, url, html))
-    texts = F.filter("template", lambda t: t["is_text"])
-    fixed = found.select(F.col("host").alias("__h"), F.transform(texts, lambda t: t["token"]).alias("__fixed"), F.transform(F.filter(texts, lambda t: t["everywhere"]), lambda t: t["token"]).alias("__every"))
-    held = fixed.agg(F.sum(64 + 8 * (F.size("__fixed") + F.size("__every")) + F.coalesce(F.length("__h"), F.lit(0)))).first()[0] or 0
+    texts = F.filter("template", lambda t: t["fixed"])
+    elements = F.filter("template", lambda t: ~t["is_text"])
+    held = found.select(
+        F.col("host").alias("__h"), F.transform(texts, lambda t: t["token"]).alias("__fixed"),
+        F.transform(elements, lambda t: F.struct(t["token"].alias("token"), t["mass"].alias("mass"), t["stable"].alias("stable"), t["rest"].alias("rest"))).alias("__slots"),
+    )
+    size = held.agg(F.sum(64 + 8 * F.size("__fixed") + 48 * F.size("__slots") + F.coalesce(F.octet_length("__h"), F.lit(0)))).first()[0] or 0
     base = pages.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(url).alias("__url"), F.col(html).alias("__html")).withColumn("__host", _host(F.col("__url")))
-    joined = base.join(F.broadcast(fixed) if held <= BROADCAST else fixed.hint("merge"), F.col("__host").eqNullSafe(F.col("__h")), "left")
-    joined = joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__html"), F.col("__fixed"), F.col("__every"))
+    joined = base.join(F.broadcast(held) if size <= BROADCAST else held.hint("merge"), F.col("__host").eqNullSafe(F.col("__h")), "left")
+    joined = joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__html"), F.col("__fixed"), F.col("__slots"))
 
     def g(cols):
-        sources, fixed_, every = cols.pop("__html"), cols.pop("__fixed"), cols.pop("__every")
-        return cols | {"text": [main_text(parse(x), set(a or ()), set(b or ())) for x, a, b in zip(sources, fixed_, every, strict=True)]}
+        sources, fixed, slots = cols.pop("__html"), cols.pop("__fixed"), cols.pop("__slots")
+        own = [{s["token"]: (s["mass"], s["stable"], s["rest"]) for s in x or ()} for x in slots]
+        return cols | {"text": [main_text(parse(x), set(a or ()), b) for x, a, b in zip(sources, fixed, own, strict=True)]}
 
-    return map_columns(joined, lambda: g, extended(joined.drop("__html", "__fixed", "__every"), "text string"))
+    return map_columns(joined, lambda: g, extended(joined.drop("__html", "__fixed", "__slots"), "text string"))
 
 
 def _host(url):
@@ -360,5 +473,6 @@ def _host(url):
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of pages, each repeated row included; "" for null and empty pages, null urls share a host."""
     text = extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

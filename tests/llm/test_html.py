@@ -100,3 +100,93 @@ def test_copies_keep_their_article(spark):
         assert got[80 + k] == f"Title {k}\n\n" + "story " * 20 + str(k)
         assert got[120 + k] == f"t{k}\n\nSummary\n\nown {k}"
     assert {r["host"] for r in H.templates(pages).collect()} == {"visits.example", "mixed.example", "heads.example"}
+
+
+KEPT = (
+    ('<article><h2 id="related-work">Related work</h2><p>x</p></article>', "Related work\n\nx"),
+    ('<article><p>a</p><section id="sharing-data"><p>We share data.</p></section></article>', "a\n\nWe share data."),
+    ('<article><p class="notice-period">notice</p><menu><li>step</li></menu></article>', "notice\n\nstep"),
+    ('<article><p id="comment-on-method">Body text.</p><math><mi>x</mi></math></article>', "Body text.\n\nx"),
+    ("<main><p>m</p></main><main><article><p>a</p></article></main>", "m\n\na"),
+    ("<main><h1>T</h1><article><p>a</p></article></main>", "T\n\na"),
+    ('<body><div id="widget-guide"><p>whole text</p><p><a href="/x">one link</a></p></div></body>', "whole text\n\none link"),
+    ('<body><form><nav>n</nav><article><p>framed</p></article></form></body>', "framed"),
+)
+
+
+def test_names_take_no_text_away():
+    for source, want in KEPT:
+        assert text(source) == want
+
+
+def real_classes(sources):
+    """Classes of tokens by their real occurrence vectors over distinct pages."""
+    pages = [H.tokens_of(H.parse(x)) for x in sorted(set(sources))]
+    vectors = {}
+    for k, page in enumerate(pages):
+        for token, row in page.items():
+            if token:
+                vectors.setdefault(token, [0] * len(pages))[k] = row[2]
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(token)
+    return {frozenset(c) for v, c in classes.items() if len(c) >= H.LEAST and sum(map(bool, v)) >= max(H.SUPPORT, H.SHARE * len(pages))}, pages
+
+
+def test_classes_are_those_of_real_vectors(spark):
+    rows = [(r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows += [(f"http://one.example/{k}", long_page(k)) for k in range(30)] * 2
+    widget = "<aside><div class='w'><h3>Most read</h3><p>One</p><p>Two</p></div></aside>"
+    passage = "<p>A passage.</p><p>That many quote.</p><p>In three parts.</p>"
+    rows += [(f"http://odd.example/{k}", f"<body><nav><a>n</a></nav>{widget if k % 3 else ''}<div class='x'><h1>h{k}</h1>{passage if k % 2 else ''}{'<p>p%d</p>' % k * (k % 4 + 1)}</div></body>") for k in range(40)]
+    got = {r["host"]: r["template"] for r in H.templates(spark.createDataFrame(rows, "url string, html string").repartition(4)).collect()}
+    hosts = {}
+    for url, source in rows:
+        hosts.setdefault(H.host_of(url), []).append(source)
+    some = 0
+    for host, sources in hosts.items():
+        want, _ = real_classes(sources)
+        mine = {}
+        for t in got.get(host, []):
+            mine.setdefault(t["class"], set()).add(t["token"])
+        mine = {frozenset(c) for c in mine.values()}
+        assert mine <= want
+        some += len(mine)
+        for missing in want - mine:  # only what doesn't nest: its tokens lie in several places
+            paths = {row[0] for page in real_classes(sources)[1] for token, row in page.items() if token in missing}
+            assert len(paths) > 1
+    assert some > 5
+    odd = got["odd.example"]
+    assert {t["path"].rsplit("/", 1)[1] for t in odd if t["fixed"]} == {"nav", "h3", "p"} and all("div.w" in t["path"] or "/nav" in t["path"] for t in odd if t["fixed"])
+    assert any(t["is_text"] and not t["fixed"] for t in odd)  # the passage has a class, but no element of its own
+
+
+def test_template_tells_the_slot_where_markup_is_silent(spark):
+    """Pages without telling elements: a short article beside a longer advert."""
+    def page(k):
+        body = f"<h1>t{k}</h1><p>short {k}</p>" if k % 5 == 0 else f"<h1>t{k}</h1>" + f"<p>long text {k} goes on and on</p>" * (k % 4 + 3) * 4
+        return f"<html><body><div class='a'><a href='/'>home</a> <a href='/{k}'>n{k}</a></div><div class='b'>An advert, number {k}, of some length to read</div><div class='c'>{body}<p>Printed with our press</p></div><div class='d'>bye {k}</div></body></html>", body
+    made = {k: page(k) for k in range(40)}
+    pages = spark.createDataFrame([(k, "http://plain.example/", x) for k, (x, _) in made.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages, ["page_id"]).collect()}
+    want = {k: text(f"<article>{body}</article>") for k, (_, body) in made.items()}
+    assert got == want
+    alone = {k: text(x) for k, (x, _) in made.items()}
+    assert sum(alone[k] != want[k] for k in made) == 40  # without a template, no page is read rightly
+
+
+def test_quoted_passages_stay_and_notices_go(spark):
+    notice = "<div class='n'><p>Read our terms</p><p>They changed</p></div>"
+    passage = "<p>A passage.</p><p>That many quote.</p><p>In three parts.</p>"
+    rows = [(k, "http://q.example/", f"<body><article><h1>t{k}</h1>{notice if k % 2 else ''}{passage if k % 3 else ''}<p>own {k}</p>{'<p>more</p>' * (k % 4)}</article></body>") for k in range(48)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    for k in range(48):
+        assert got[k].split("\n\n") == [f"t{k}", *(["A passage.", "That many quote.", "In three parts."] if k % 3 else []), f"own {k}", *["more"] * (k % 4)]
+
+
+def test_very_long_page_and_clashing_columns(spark, tmp_path):
+    long = "<article>" + "<p>word &amp; word</p>" * 60_000 + "</article>"
+    rows = [(1, "http://l.example/1", long, "c", "d"), (1, "http://l.example/1", long, "c", "d"), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, template string, __host string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = H.op8_html_extraction(spark, str(tmp_path)).collect()
+    assert Counter(r["n_chars"] for r in got) == {60_000 * len('word & word') + 59_999 * 2: 2, 0: 1}
