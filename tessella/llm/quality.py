@@ -1,17 +1,26 @@
 """Quality rules with adaptive thresholds.
 
 Each document gets counts and ratios. The ratios of all documents go into mergeable quantile sketches, one per language,
-source and ratio: counts over logarithmic buckets, which merge by addition. The sketches' quartiles give each group its
+source and ratio: counts over logarithmic buckets, which merge by addition. The sketches give each group its
 own fences, and a join brings the fences back to the documents. A group with few documents uses the merged sketch of its
 language, and a language with few documents that of the whole corpus.
 
-A ratio is out of bounds above median + SPREADS * (median - lower quartile) + slack; two-sided ratios also below the mirror
-image. Fences start at the median and look at the half of the group away from the tail in question, so that they hold
-until half of a group is junk.
+A ratio has two fences, both from its group's sketch; the lower one counts:
+
+* The valley: of the stretches of the logarithmic scale above the median that hold next to no documents, the widest, if it
+  is a factor GAP wide. Its middle is the fence. Next to none are at most DIRT of the group and a quarter of those
+  above. So a ratio that is 0 in most documents is fenced by what the others of its group show: where shares run on from
+  small to large ones there is no valley and nothing is rejected; where one document stands alone it is.
+* The spread, where the median is no floor value: median + SPREADS * narrower half of the middle + NEAR * median. Two-sided ratios are
+  also fenced below, by its mirror image.
+
+Both start at the median, so that they hold until half of a group is junk. No ratio has a cutoff of its own; FLOOR, under
+which a share counts as FLOOR, is the only value common to all groups (a fence of shares is above
+FLOOR * sqrt(GAP), so that smaller shares than that are never rejected).
 
 Defined results: null language and null source are groups of their own; null and empty texts have no words and fail the
-base rules; documents that fail those don't enter the sketches; equal rows get equal results; an empty table gives an
-empty result. Columns other than those named are ignored.
+base rules; documents that fail those don't enter the sketches; equal rows get equal results; very long texts are
+counted whole; a fence's ties are kept; an empty table gives an empty result. Columns other than those named are ignored, also of clashing names.
 """
 
 from __future__ import annotations
@@ -31,18 +40,13 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Ratio: (slack, whether it has a lower fence too).
-RATIOS = {
-    "word_length": (1.25, True),
-    "symbol_share": (0.10, False),
-    "dup_line_share": (0.50, False),
-    "repeat_share": (0.30, False),
-    "stutter_share": (0.25, False),
-    "upper_share": (0.30, False),
-}
-SPREADS = 6.0
+#: Ratio: whether it has a lower fence too.
+RATIOS = {"word_length": True, "symbol_share": False, "dup_line_share": False, "repeat_share": False, "stutter_share": False, "upper_share": False}
+#: Of the fences: see above.
+SPREADS, NEAR, GAP, DIRT, FLOOR = 10.0, 0.05, 4.0, 0.002, 0.02
 #: The sketches' relative error, the least value that isn't 0 to them, and the least documents of a group.
-ERROR, SMALLEST, LEAST = 0.01, 1e-4, 100
+ERROR, SMALLEST, LEAST = 0.002, 1e-4, 100
+STEP, ZERO = float(np.log((1 + ERROR) / (1 - ERROR))), -(1 << 30)
 #: Bytes of fences that are broadcast.
 BROADCAST = 8 << 20
 
@@ -115,9 +119,8 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def sketches(measures: DataFrame, groups: list[str]) -> DataFrame:
     """(groups..., ratio, bucket, n): mergeable, by adding n over any groups."""
-    step = float(np.log((1 + ERROR) / (1 - ERROR)))
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("value")) for r in RATIOS])).alias("__x")
-    bucket = F.when(F.col("__x.value") < SMALLEST, F.lit(-(1 << 30))).otherwise(F.ceil(F.log(F.col("__x.value")) / step)).cast("int")
+    bucket = F.when(F.col("__x.value") < SMALLEST, F.lit(ZERO)).otherwise(F.ceil(F.log(F.col("__x.value")) / STEP)).cast("int")
     return measures.select(*groups, pairs).groupBy(*groups, F.col("__x.ratio").alias("ratio"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -125,36 +128,64 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., ratio, total, q25, q50, q75) within the sketches' relative error."""
-    step = float(np.log((1 + ERROR) / (1 - ERROR)))
+def quartiles(sketch: DataFrame, groups: list[str], *more: Column) -> DataFrame:
+    """(groups..., ratio, total, q25, q50, q75) within the sketches' relative error, and more aggregates."""
     by = Window.partitionBy(*groups, "ratio")
-    value = F.when(F.col("bucket") == -(1 << 30), F.lit(0.0)).otherwise(F.exp(F.col("bucket") * step) * (1 - ERROR))
+    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.exp(F.col("bucket") * STEP) * (1 - ERROR))
     ranked = sketch.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), value))
-    return ranked.groupBy(*groups, "ratio").agg(F.max("total").alias("total"), *[at(q / 100).alias(f"q{q}") for q in (25, 50, 75)])
+    return ranked.groupBy(*groups, "ratio").agg(F.max("total").alias("total"), *[at(q / 100).alias(f"q{q}") for q in (25, 50, 75)], *more)
+
+
+def valley(buckets: list[int], counts: list[int]) -> float | None:
+    """The middle of the widest valley above the median; None where none is a factor GAP wide."""
+    n = np.asarray(counts, np.int64)
+    upto, total = n.cumsum(), int(n.sum())
+    b = np.asarray(buckets, np.float64)
+    low = np.log(FLOOR)
+    tops, bottoms = np.maximum(b * STEP, low), np.maximum((b - 1) * STEP, low)
+    best, fence = np.log(GAP), None
+    for i in range(int(np.searchsorted(upto, total / 2)), len(b) - 1):
+        within = upto[i:-1] - upto[i]  # up to each later bucket
+        above = total - upto[i:-1]
+        far = np.flatnonzero(within <= np.minimum(DIRT * total, above / 4))
+        width = float(bottoms[i + 1 + far[-1]] - tops[i])
+        if width > best:
+            best, fence = width, float(np.exp((bottoms[i + 1 + far[-1]] + tops[i]) / 2))
+    return fence
+
+
+def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups..., ratio, total, low, high): a group's fences, null where there is none."""
+    stats = quartiles(sketch, groups, F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("__b"))
+
+    def f(cols):
+        rows = cols.pop("__b")
+        return cols | {"__valley": [valley([r["bucket"] for r in x], [r["n"] for r in x]) for x in rows]}
+
+    x = map_columns(stats, lambda: f, extended(stats.drop("__b"), "__valley double"))
+    spread = SPREADS * F.least(F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50")) + NEAR * F.col("q50")
+    ordinary = F.col("q50") >= FLOOR
+    two = F.col("ratio").isin([r for r, both in RATIOS.items() if both])
+    high = F.least(F.when(ordinary, F.col("q50") + spread), F.col("__valley"))  # nulls are skipped
+    return x.select(*groups, "ratio", "total", F.when(two & ordinary, F.col("q50") - spread).alias("low"), high.alias("high"))
 
 
 def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """A row for each language and source, with a struct (low, high) for each ratio.
 
-    Sketches are of bounded size: at most 6 ratios times some 2,000 buckets a group, whatever the documents.
+    Sketches are of bounded size: at most 6 ratios times some 3,000 buckets a group, whatever the documents.
     """
     sketch = checkpoint(sketches(measures.filter(~F.col("base_failed")), [lang, source]))
     levels = [[lang, source], [lang], []]
-    stats = [quartiles(sketch if len(g) == 2 else merged(sketch, g), g) for g in levels]
     x = measures.select(lang, source).distinct().withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS))))
-    for k, (g, s) in enumerate(zip(levels, stats, strict=True)):
-        s = s.select(*[F.col(c).alias(f"__{k}{c}") for c in [*g, "ratio"]], F.struct("total", "q25", "q50", "q75").alias(f"__s{k}"))
+    for k, g in enumerate(levels):
+        s = fences(sketch if len(g) == 2 else merged(sketch, g), g)
+        s = s.select(*[F.col(c).alias(f"__{k}{c}") for c in [*g, "ratio"]], F.struct("total", "low", "high").alias(f"__s{k}"))
         x = x.join(s, reduce(lambda a, b: a & b, [x[c].eqNullSafe(s[f"__{k}{c}"]) for c in [*g, "ratio"]]), "left").drop(*[f"__{k}{c}" for c in [*g, "ratio"]])
     enough = lambda k: F.when(F.col(f"__s{k}.total") >= LEAST, F.col(f"__s{k}"))
     x = x.withColumn("s", F.coalesce(enough(0), enough(1), F.col("__s2")))
-    slack = F.create_map(*[F.lit(v) for r, (w, _) in RATIOS.items() for v in (r, w)])[F.col("ratio")]
-    two = F.col("ratio").isin([r for r, (_, both) in RATIOS.items() if both])
-    # on a two-sided ratio, the narrower half tells the spread of the clean rows
-    spread = F.when(two, F.least(F.col("s.q50") - F.col("s.q25"), F.col("s.q75") - F.col("s.q50"))).otherwise(F.col("s.q50") - F.col("s.q25"))
-    fence = SPREADS * spread + slack
-    pair = F.struct(F.when(two, F.col("s.q50") - fence).alias("low"), (F.col("s.q50") + fence).alias("high"))
+    pair = F.struct(F.col("s.low").alias("low"), F.col("s.high").alias("high"))
     return x.groupBy(lang, source).agg(*[F.max(F.when(F.col("ratio") == r, pair)).alias(f"__{r}") for r in RATIOS])
 
 
@@ -189,5 +220,6 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row of documents; null and empty texts fail the base rules, null languages and sources are groups."""
     measures = checkpoint(measure(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]))
     return judged(measures).select("doc_id", *COUNTS, "base_failed", "kept")
