@@ -60,15 +60,7 @@ def test_chat(spark, folder):
     assert rows_of(got) == rows_in(folder, ["conversations"], C.ORACLE)
     for r in C.rotate(spark.read.parquet(f"{folder}/conversations.parquet")).filter("conv_id = 5").collect():
         said = [r["text"][s["start"] : s["end"]] for s in r["spans"]]
-        assert said == [f"turn {k}" for k in range(64 * r["part"], min(150, 64 * r["part"] + 64)) if (k % 2 == 1) == (r["speaker"] == "left")]
-
-
-def test_crowded_parts(spark, monkeypatch):
-    monkeypatch.setattr(C, "CROWD", 10)
-    rows = [(1, 0, "ab"[k % 2], f"m{k}") for k in range(95)] + [(2, 0, "a", "x")]
-    got = C.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
-    one = [r for r in got if r["conv_id"] == 1 and r["speaker"] == "a"]
-    assert sum(r["n_turns"] for r in one) == 95 and len(one) == 10 and max(r["n_turns"] for r in one) < 40
+        assert said == [f"turn {k}" for k in range(150) if (k % 2 == 1) == (r["speaker"] == "left")] and r["part"] == 0
 
 
 def test_empty(spark):
