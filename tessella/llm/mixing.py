@@ -14,8 +14,8 @@ mix is a run of slots, dealt to output shards of equal size; each slot holds one
 The driver holds one number pair a source, never documents, blocks or slots.
 
 Defined results: null or empty texts have size 0 and are never taken; null is a source of its own, after all others;
-repeated rows are documents of their own; an empty table gives an empty mix. The same table and seed give the same mix.
-Columns other than those named are ignored (mixed_documents keeps them).
+repeated rows are documents of their own; very long texts are cut into blocks like all others; an empty table gives an empty mix. The same table and seed give the same mix.
+Columns other than those named, also of clashing names, are ignored (mixed_documents keeps them).
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from tessella.llm.common import WORD, checkpoint, map_columns, n_words, table
 
 #: Words of a block, slots of an output shard, the weights that sources in order repeat, and the most passes.
 BLOCK, SHARD, WEIGHTS, PASSES = 128, 8192, (3.0, 1.0, 2.0), 2.0
-#: Above this, hypergeometric draws are by their normal limit (NumPy's generator ends there).
-EXACT = 10**9
 
 
 def targets(sizes: dict[str | None, int], share: float = 1.5, weights: tuple[float, ...] = WEIGHTS, passes: float = PASSES) -> dict[str | None, float]:
@@ -124,6 +122,35 @@ def source(key: str, size: int, target: float, block: int, seed: int) -> Source:
     return Source(key, size, target, n, whole * n + m, cut if cut < own else 0)
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many good ones are among n drawn without replacement, of any size: rejection by the ratio of uniforms.
+
+    The hat is that of a table mountain about the mean; with log-gamma values the acceptance follows the true probabilities.
+    """
+    total = good + bad
+    if good > bad:  # the rarer kind is drawn
+        return n - hypergeometric(bad, good, n, rng)
+    if 2 * n > total:  # and the smaller part
+        return good - hypergeometric(good, bad, total - n, rng)
+    if n < 10:
+        left, out = good, 0
+        for k in range(n):
+            hit = rng.integers(total - k) < left
+            out, left = out + int(hit), left - int(hit)
+        return out
+    p = good / total
+    mean, deviation = n * p + 0.5, math.sqrt((total - n) / (total - 1) * n * p * (1 - p) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * deviation + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    log = lambda x: math.lgamma(x + 1) + math.lgamma(good - x + 1) + math.lgamma(n - x + 1) + math.lgamma(bad - n + x + 1)
+    highest = log(mode)
+    while True:
+        u, v = rng.random(), rng.random()
+        x = math.floor(mean + width * (v - 0.5) / u) if u else -1
+        if 0 <= x <= min(n, good) and 2 * math.log(u) <= highest - log(x):
+            return x
+
+
 def _split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of each colour are among n drawn without replacement."""
     out, rest = np.zeros_like(counts), int(counts.sum())
@@ -134,11 +161,8 @@ def _split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
         least, most = max(0, n - rest), min(c, n)
         if least == most:
             x = least
-        elif c + rest < EXACT:
-            x = int(rng.hypergeometric(c, rest, n))
         else:
-            p, total = c / (c + rest), c + rest
-            x = round(rng.normal(n * p, math.sqrt(n * p * (1 - p) * (total - n) / (total - 1))))
+            x = hypergeometric(c, rest, n, rng)
         out[i] = x = min(max(x, least), most)
         n -= x
     return out
@@ -292,5 +316,6 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, .
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of documents; null and empty texts have none, null is the last source."""
     m = mix(table(spark, sf_dir, "documents"))
     return taken(m).join(source_table(spark, m), "key").select("doc_id", "size", "source_size", "target", "taken")

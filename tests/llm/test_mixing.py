@@ -50,6 +50,37 @@ def test_shards_draw_what_there_is():
     assert big.sum() == 10**11 and abs(big[0] / 10**11 - 0.25) < 1e-3
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(7, 5, 6), (40, 300, 60), (300, 40, 250), (5000, 9000, 1200), (3, 10**6, 5), (12, 4, 9)])
+def test_draws_follow_the_distribution(good, bad, n):
+    from math import comb
+
+    rng = np.random.default_rng(good)
+    draws = Counter(M.hypergeometric(good, bad, n, rng) for _ in range(20_000))
+    assert sum(draws.values()) == 20_000
+    total = comb(good + bad, n)
+    far = 0.0
+    for x in range(max(0, n - bad), min(good, n) + 1):
+        p = comb(good, x) * comb(bad, n - x) / total if min(good, n) < 10**4 else 0.0
+        far = max(far, abs(draws[x] / 20_000 - p) / max(0.002, (p * (1 - p) / 20_000) ** 0.5))
+    assert far < 5
+
+
+def test_draws_of_any_size_have_the_right_spread():
+    rng = np.random.default_rng(2)
+    good, bad, n = 3 * 10**11, 10**12, 10**11
+    x = np.array([M.hypergeometric(good, bad, n, rng) for _ in range(4000)], float)
+    p, total = good / (good + bad), good + bad
+    deviation = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
+    assert abs(x.mean() - n * p) < 5 * deviation / 4000**0.5 and abs(x.std() / deviation - 1) < 0.06
+
+
+def test_very_long_text(spark, tmp_path):
+    rows = [(1, "long word " * 200_000, "a"), (2, "short", "a"), (3, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in M.op1_source_mixing(spark, str(tmp_path)).collect()}
+    assert got[1]["size"] == 400_000 and got[1]["taken"] + got[2]["taken"] == int(got[1]["target"]) and got[3]["taken"] == 0
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng, rows = random.Random(4), []
