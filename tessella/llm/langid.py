@@ -4,8 +4,9 @@ A text is encoded with one zstandard raw-content dictionary per language; the la
 gives the smallest output wins, and a narrow margin over the runner-up rejects the decision.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0 and not accepted; ties go to the
-language with most labelled rows; with no labelled row every text is ``und``. Repeated rows give repeated rows. Columns other
-than those named are ignored.
+language with most labelled rows; with no labelled row every text is ``und``; a null label teaches nothing; very long texts are encoded
+whole, piece by piece; an empty table gives an empty result. Repeated rows give repeated rows. Columns other
+than those named, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import extended, map_columns, table
@@ -31,36 +32,33 @@ def normal(text: str) -> bytes:
     return _GAP.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 2000, dict_bytes: int = 64 << 10, max_languages: int = 256) -> dict[str, bytes]:
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 2000, dict_bytes: int = 64 << 10, model_bytes: int = 64 << 20) -> dict[str, bytes]:
     """A dictionary for each language, from a bounded sample of the labelled rows.
 
-    sample_rows bounds the rows that reach the driver, over all languages: those with the smallest hashes of
-    their texts, each text once. dict_bytes bounds a dictionary, max_languages the languages (the most frequent).
+    sample_rows bounds the texts sampled, over all languages (each language has one at least): those with the smallest hashes,
+    each text once. Each gives an equal share of its language's dictionary, from a place in it that its hash tells, and is cut
+    to it before it reaches the driver. dict_bytes bounds a dictionary, model_bytes all of them: with more languages
+    than model_bytes / dict_bytes each has a smaller one.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l")).filter("t is not null and l is not null and t != ''")
     distinct = F.approx_count_distinct(F.xxhash64("t")).alias("texts")
-    counts = rows.groupBy("l").agg(F.count("*").alias("count"), distinct).orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = rows.groupBy("l").agg(F.count("*").alias("count"), distinct).orderBy(F.desc("count"), "l").collect()
     if not counts:
         return {}
     each = max(1, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 2.0 * each / max(1, r["texts"])))])
-    place = (F.xxhash64("t").cast("double") / F.lit(2.0**64)) + 0.5
-    sample = (
-        rows.withColumn("h", place).filter(F.col("h") <= F.coalesce(share[F.col("l")], F.lit(-1.0)))
-        .groupBy("l", "h").agg(F.min("t").alias("t"))
-        .orderBy("h", "l").limit(4 * each * len(counts)).collect()
-    )
+    most = max(8, min(dict_bytes, model_bytes // len(counts)))
+    chars = {r["l"]: -(-most // max(1, min(each, r["texts"]))) for r in counts}
+    model = F.broadcast(labelled.sparkSession.createDataFrame([(r["l"], min(1.0, (2.0 * each + 20) / max(1, r["texts"])), chars[r["l"]]) for r in counts], "__l string, __p double, __n int"))
+    h = F.xxhash64("t")
+    x = rows.join(model, F.col("l") == F.col("__l")).withColumn("h", (h.cast("double") / F.lit(2.0**64)) + 0.5).filter("h <= __p")
+    at = F.pmod(F.xxhash64(h), F.greatest(F.length("t") - F.col("__n") + 1, F.lit(1))).cast("int") + 1
+    one = x.select("l", "h", F.substring(F.col("t"), at, F.col("__n")).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
+    sample = one.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("k") <= each).orderBy("l", "k").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sample:
-        own = texts.setdefault(r["l"], [])
-        if len(own) < each:
-            own.append(normal(r["t"]))
-    out = {}
-    for lang in [r["l"] for r in counts if r["l"] in texts]:
-        # equal shares of each sampled text, so that a few long ones don't fill the dictionary
-        own, share_b = texts[lang], max(1024, dict_bytes // len(texts[lang]))
-        out[lang] = b"\n".join(x[:share_b] for x in own)[-dict_bytes:]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+        texts.setdefault(r["l"], []).append(normal(r["t"]))
+    # zstandard takes eight bytes at least
+    return {r["l"]: b"\n".join(texts[r["l"]])[-most:].ljust(8) for r in counts if r["l"] in texts}
 
 
 class Encoder:
@@ -113,6 +111,7 @@ def held_out(doc_id=None):
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of documents, learned from four fifths of them; "und" for texts that are null or have no letter."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = fit(docs.filter(~F.col("held_out")))
     return predict(docs, model, ["doc_id", "held_out"])

@@ -46,3 +46,21 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([("same text again", "en")] * 500 + [(f"text {k}", "de") for k in range(500)], "text string, lang string")
     model = L.fit(docs, sample_rows=20)
     assert set(model) == {"en", "de"} and model["de"].count(b"text") <= 20
+
+
+def test_every_language_has_its_dictionary(spark):
+    """Rare languages, short ones and many of them; what reaches the driver is cut."""
+    rng = random.Random(6)
+    rows = [(text(rng, "en", 3000), "en")] * 2 + [(text(rng, "en", 50) + str(k), "en") for k in range(50)] + [("ab", "tiny")]
+    rows += [(f"{chr(0x400 + k)}{chr(0x500 + k)} " * 40, f"l{k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = L.fit(docs, sample_rows=100, dict_bytes=4096, model_bytes=150 * 1024)
+    assert len(model) == 152 and all(8 <= len(v) <= 1024 for v in model.values()) and model["tiny"].strip() == b"ab"
+    coder = L.Encoder(model)
+    assert [coder.predict(f"{chr(0x400 + k)}{chr(0x500 + k)} " * 30)[0] for k in range(0, 150, 30)] == [f"l{k}" for k in range(0, 150, 30)]
+
+
+def test_held_out_accuracy_on_documents(spark):
+    got = L.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [r for r in got.collect() if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
