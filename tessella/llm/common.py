@@ -65,11 +65,13 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, stored in the checkpoint folder that executors share, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local runs and tests) a
-    temporary folder is set.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary one; a
+    cluster raises, since its machines share no temporary folder.
     """
     sc: SparkContext = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(folder)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
