@@ -12,8 +12,9 @@
    Before that last step, the shingles of the classes left are counted: one that no other of them has can't be common
    to a pair, which bounds the similarity of any pair from its two counts and rules most out, exactly, without meeting.
    In bands of more than SMALL members the last step compares signatures block by block: first to find each member's
-   best match, then, where components are still apart, all, each pair in the first band that it shares. Survivors whose
-   shingle hashes fall short are dropped there, so that few pairs ever leave a block.
+   best match, then, where components are still apart, all, each pair in the first band that it shares. Members of the hub's
+   component meet the others only, not each other. Survivors whose
+   shingle hashes fall short are dropped there, so that few pairs ever leave a block. A block is bounded in rows and bytes.
 
 Components come from label propagation with pointer jumping; every round is checkpointed, nothing but counts reaches the
 driver.
@@ -21,7 +22,7 @@ driver.
 Defined results: a text of fewer words than a shingle is one shingle of all its words; null texts and texts without words
 have an empty set, link with nothing and are their own component; repeated rows and rows of equal texts share a
 component; a null doc_id is no candidate for the smallest, and such a row is not kept; an empty table gives an empty
-result. Columns other than those named are ignored.
+result; very long texts are compared whole. Columns other than those named, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +45,13 @@ WIDTH, PERCENT = 4, 80
 BANDS, ROWS = 50, 5
 #: Signature bytes compared at a time, and the chosen miss probability.
 BATCH, MISS = 50, 1e-7
-#: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members are compared.
-SMALL, CHUNK = 48, 2048
+#: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members, or of so many bytes
+#: of hashes, are compared.
+SMALL, CHUNK, CHUNK_BYTES = 48, 512, 8 << 20
+#: Bytes of counts of large bands that are broadcast.
+BROADCAST = 8 << 20
+#: Rounds of labels between steps, where they only save pairs that are connected already.
+ROUNDS = 2
 #: Partitions of pairs and labels: so many rows each, and so many at least.
 PARTITION_ROWS, LEAST_PARTITIONS = 20_000, 8
 
@@ -56,7 +62,7 @@ _ODD = _rng.integers(0, 1 << 31, _H, dtype=np.uint32) * np.uint32(2) + np.uint32
 _WORD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def settled(df: DataFrame) -> DataFrame:
+def released(df: DataFrame) -> DataFrame:
     """df, checkpointed. Spark deletes the shuffles of finished steps when the driver collects garbage, so it does."""
     out = checkpoint(df)
     gc.collect()
@@ -113,6 +119,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bytes_of(minima: np.ndarray) -> bytes:
+    """A byte of another hash of each minimum: the least of many hashes is small, so that its own upper bytes agree by chance."""
+    x = (minima ^ (minima >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return (x >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def signed(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, class, signature, bands); class and what follows are null for empty sets."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
@@ -128,7 +141,7 @@ def signed(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
                 continue
             sig = signature(s)
             out["class"].append(hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest())
-            out["signature"].append((sig >> np.uint32(24)).astype(np.uint8).tobytes())
+            out["signature"].append(bytes_of(sig))
             rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
             key = np.arange(BANDS, dtype=np.uint64)
             for k in range(ROWS):
@@ -211,24 +224,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_columns(x, make, "a binary, b binary")
 
 
-def components(edges: DataFrame, documents: int = 1 << 40) -> DataFrame:
+def components(edges: DataFrame, documents: int = 1 << 40, rounds: int | None = None) -> DataFrame:
     """(node, label) of every node of the edges (a, b): its component's least node. documents bounds partitions.
 
     Each round takes the least label among a node and its neighbours, then that label's own label; rounds grow with
-    the logarithm of a component's diameter.
+    the logarithm of a component's diameter. After a given number of rounds, labels are some node of the component.
     """
-    both = settled(gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), documents))
+    both = checkpoint(gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), documents))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    labels = settled(gathered(labels, documents))
+    labels = checkpoint(gathered(labels, documents))
+    done = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
         new = step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new"))
-        new = settled(gathered(new, documents))
-        changed = new.filter(F.col("label") != F.col("new")).limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
+        new = checkpoint(gathered(new, documents))
+        labels, done = new.select("node", F.col("new").alias("label")), done + 1
+        if done == rounds or new.filter(F.col("label") != F.col("new")).isEmpty():
             return labels
 
 
@@ -242,20 +255,20 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
     # bands with two members or more, and their members
     member = classes.select(F.explode("bands").alias("band"), F.col("class").alias("m"))
     hubs = member.groupBy("band").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = settled(member.join(hubs, "band"))
-    classes = settled(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
+    shared = released(member.join(hubs, "band"))
+    classes = checkpoint(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
     del member, hubs
     places = classes.select("class", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = places.join(source, places["d"].eqNullSafe(source["doc_id"]) & (places["h"] == source["text_hash"])).select("class", "text")
-    texts = settled(texts.dropDuplicates(["class"]))
+    texts = released(texts.dropDuplicates(["class"]))
     del places, source
 
     met = spark.createDataFrame([], "a binary, b binary")
     edges, labels = met, spark.createDataFrame([], "node binary, label binary")
 
     def verified(pairs: DataFrame, screen: bool = True) -> DataFrame:
-        return settled(confirmed(settled(screened(pairs, classes, percent)) if screen else pairs, texts, width, percent))
+        return released(confirmed(screened(pairs, classes, percent) if screen else pairs, texts, width, percent))
 
     def labelled(x: DataFrame, column: str, name: str) -> DataFrame:
         l = labels.withColumnsRenamed({"node": column, "label": f"__{name}"})
@@ -263,21 +276,21 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
 
     # each class and the hub that it shares most bands with
     counted = shared.filter("m != hub").groupBy("m", "hub").agg(F.count("*").alias("times"))
-    first = settled(gathered(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"), documents))
+    first = checkpoint(gathered(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"), documents))
     edges, met = verified(first), first
-    labels = components(edges, documents)
+    labels = components(edges, documents, ROUNDS)
 
     # each class and its bands' hubs in other components
     apart = labelled(labelled(shared, "m", "lm"), "hub", "lh")
-    second = settled(gathered(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"), documents))
+    second = checkpoint(gathered(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(second)), met.union(second)
-    labels = components(edges, documents)
+    labels = components(edges, documents, ROUNDS)
 
     # what is left between components of a band, other than with its hub
     apart = labelled(shared, "m", "lm").select("band", "hub", "n", "m", "lm")
     mixed = apart.groupBy("band").agg(F.min("lm").alias("x"), F.max("lm").alias("y")).filter("x != y").select("band")
-    apart = settled(apart.join(mixed, "band", "left_semi").filter("m != hub"))
-    common = settled(_common(apart.select("m").distinct(), texts, width))
+    apart = checkpoint(apart.join(mixed, "band", "left_semi").filter("m != hub"))
+    common = released(_common(apart.select("m").distinct(), texts, width))
     apart = apart.join(common.filter(F.lit(100) * F.col("common") >= percent * F.col("size")).drop("hashes"), "m")
     few = apart.filter(F.col("n") <= SMALL).select("band", "m", "lm", "size", "common")
     other = few.withColumnsRenamed({c: f"{c}2" for c in few.columns if c != "band"})
@@ -286,16 +299,16 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
     third = _pairs(few.join(other, "band").filter("m < m2 and lm != lm2").filter(possible), "m", "m2").join(met, ["a", "b"], "left_anti")
     edges, met = edges.union(verified(third)), met.union(third)
     # in large bands, first each class with what matches it best, so that few are left for the rest
-    many = settled(apart.filter(F.col("n") > SMALL))
+    many = checkpoint(labelled(apart.filter(F.col("n") > SMALL), "hub", "lh").withColumn("base", F.col("lm") == F.col("lh")).select("band", "hub", "m", "lm", "size", "common", "base"))
     if many.isEmpty():
         return components(edges, documents)
     best = _between_blocks(many, classes, percent, best=True).groupBy("m").agg(F.max(F.struct("matches", "other")).alias("x"))
-    fourth = settled(gathered(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"), documents))
+    fourth = checkpoint(gathered(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(fourth, screen=False)), met.union(fourth)
-    labels = components(edges, documents)
-    many = labelled(many.drop("lm"), "m", "lm")
-    rest = _between_blocks(many.join(common.select("m", "hashes"), "m"), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
-    return components(edges.union(verified(settled(rest), screen=False)), documents)
+    labels = components(edges, documents, ROUNDS)
+    many = labelled(labelled(many.drop("lm", "base"), "m", "lm"), "hub", "lh").withColumn("base", F.col("lm") == F.col("lh")).drop("hub", "lh")
+    rest = _between_blocks(checkpoint(many.join(common.select("m", "hashes"), "m")), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
+    return components(edges.union(verified(checkpoint(rest), screen=False)), documents)
 
 
 def _common(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -324,21 +337,31 @@ def _common(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _between_blocks(members: DataFrame, classes: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """Surviving pairs (m, other, matches) between components of large bands; members are (band, m, lm, size, common).
+    """Surviving pairs (m, other, matches) between components of large bands; members are (band, m, lm, size, common, base).
 
     For each member of a pair of blocks its best match there; or all of them, m the lesser, once each, whose shingles'
     hashes reach the threshold: cut hashes can only add to what is common, so no link is lost.
+    base tells the members of one component (the hub's): they meet blocks of the others, which also meet among themselves.
     """
-    left_ = members.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
-    x = members.join(left_, "band").join(classes.select(F.col("class").alias("m"), "signature", "bands"), "m")
-    x = x.withColumn("block", F.pmod(F.xxhash64("m"), "blocks").cast("int"))
-    # a block meets itself and every other once: as the first of the two or as the second
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    x = x.withColumn("p", F.explode(meets)).select("band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "m", "lm", "size", "common", "signature", "bands", *([] if best else ["hashes"]))
+    weight = F.lit(0) if best else F.octet_length("hashes")
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / CHUNK), F.ceil(F.coalesce(F.sum(F.when(of, weight)), F.lit(0)) / CHUNK_BYTES)).cast("int")
+    counts = checkpoint(members.groupBy("band").agg(blocks(F.col("base")).alias("bases"), blocks(~F.col("base")).alias("others")).filter("others > 0").withColumnRenamed("band", "__band"))
+    counts = F.broadcast(counts) if 32 * counts.count() <= BROADCAST else counts
+    x = members.join(counts, F.col("band") == F.col("__band")).drop("__band")
+    x = x.join(classes.select(F.col("class").alias("m"), "signature", "bands"), "m")
+    x = x.withColumn("block", F.pmod(F.xxhash64("m"), F.when(F.col("base"), F.col("bases")).otherwise(F.col("others"))).cast("int"))
+    # a block of others meets itself and every other once, as the first of the two or as the second, and each block of the base
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    own = F.transform(upto("others"), lambda k: cell("others", F.least(block, k), F.greatest(block, k)))
+    meets = F.when(F.col("base"), F.transform(upto("others"), lambda k: cell("base", k, block))).otherwise(F.concat(own, F.transform(upto("bases"), lambda k: cell("base", block, k))))
+    x = x.withColumn("p", F.explode(meets)).select("band", "p.kind", "p.i", "p.j", "block", "base", "m", "lm", "size", "common", "signature", "bands", *([] if best else ["hashes"]))
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = rows["i"].iloc[0], rows["j"].iloc[0], rows["band"].iloc[0]
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        kind, i, j, band = (rows[c].iloc[0] for c in ("kind", "i", "j", "band"))
+        left, right = rows[(rows["block"] == i) & ~rows["base"]], rows[(rows["block"] == j) & (rows["base"] == (kind == "base"))]
+        same = kind == "others" and i == j
         sl, sr = _matrix(left["signature"].tolist()), _matrix(right["signature"].tolist())
         bl, br = np.array(left["bands"].tolist(), np.int64).reshape(-1, BANDS), np.array(right["bands"].tolist(), np.int64).reshape(-1, BANDS)
         ml, mr, cl, cr = left["m"].tolist(), right["m"].tolist(), left["lm"].tolist(), np.array(right["lm"].tolist(), dtype=object)
@@ -349,7 +372,7 @@ def _between_blocks(members: DataFrame, classes: DataFrame, percent: int, best:
         for k in range(len(ml)):
             most = np.minimum(ul[k], ur)
             rest = np.flatnonzero((100 * most >= percent * (nl[k] + nr - most)) & (cr != cl[k]))
-            if i == j:
+            if same:
                 rest = rest[rest > k]
             at = int(np.flatnonzero(bl[k] == band)[0])
             if len(rest) and at and not best:
@@ -376,7 +399,7 @@ def _between_blocks(members: DataFrame, classes: DataFrame, percent: int, best:
         out += [(mr[q], ml[k], n) for q, (n, k) in of_right.items()]
         return pd.DataFrame({"m": [a for a, *_ in out], "other": [b for _, b, _ in out], "matches": [n for *_, n in out]}).astype({"m": object, "other": object, "matches": "int32"})
 
-    return x.groupBy("band", "i", "j").applyInPandas(f, "m binary, other binary, matches int")
+    return x.groupBy("band", "kind", "i", "j").applyInPandas(f, "m binary, other binary, matches int")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -384,14 +407,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     component is the least class of a component, null for an empty set.
     """
-    heavy = settled(signed(docs, width))
-    own = settled(heavy.select("doc_id", "text_hash", "n_shingles", "class"))
+    heavy = checkpoint(signed(docs, width))
+    own = checkpoint(heavy.select("doc_id", "text_hash", "n_shingles", "class"))
     members = heavy.filter(F.col("class").isNotNull())
     # the row with the smallest doc_id stands for the class; null only where all are
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     spare = F.min(F.struct("doc_id", "text_hash"))
-    full = settled(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
-    classes = settled(full.select("class", "place.doc_id"))
+    full = checkpoint(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
+    classes = checkpoint(full.select("class", "place.doc_id"))
     del heavy, members
     steps = [full]
     del full
@@ -419,4 +442,5 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every row of documents; null and empty texts are alone, repeated rows share one, null ids aren't kept."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

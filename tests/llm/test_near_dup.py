@@ -64,6 +64,19 @@ def test_sequential_test_misses_little():
         assert low <= len(N.surviving(a, b, 80)[0]) / len(a) <= high
 
 
+def test_chance_matches_of_long_texts():
+    """Signature bytes of unrelated texts agree in one of 256 cases, however many shingles they have."""
+    for n in (50, 3000):
+        docs = [N.shingles([b"d%d-%d" % (k, j) for j in range(n)], 4) for k in range(24)]
+        rows = []
+        for x in docs:
+            sig = N.signature(x)
+            rows.append(N.bytes_of(sig))
+        a = np.array([np.frombuffer(r, np.uint8) for r in rows])
+        share = np.mean([(a[i] == a[j]).mean() for i in range(24) for j in range(i)])
+        assert share < 2 / 256
+
+
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(400)}"
