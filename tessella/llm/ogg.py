@@ -5,7 +5,10 @@ demultiplexes the logical streams by serial number and derives timestamps from g
 
 Defined results: null or empty media has no streams; a page whose checksum, version or length is wrong counts as bad and
 is left out, with the packets it would have carried, and reading goes on at the next capture pattern; a packet that the
-end of the data cuts off is left out. Equal media gives equal results.
+end of the data cuts off is left out. A stream whose first page is missing has no header: its rate is unknown, all its packets are data,
+and the pages before the first one read count as lost. A page that begins a serial number anew begins a stream of its own (chained
+media). Very long media are read whole; repeated rows give repeated rows; an empty table gives an empty result. Equal media gives equal results.
+Columns other than those named, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -87,11 +90,26 @@ class Stream:
     ended: bool = False
     open: bytes | None = None
     next: int = 0
+    #: whether the first packet is there, the codec's header
+    headed: bool = True
+
+    @property
+    def header(self) -> bytes:
+        return self.packets[0] if self.headed and self.packets else b""
+
+    @property
+    def data(self) -> list[bytes]:
+        return self.packets[1:] if self.headed else self.packets
+
+    @property
+    def ends(self) -> list[int]:
+        return self.granules[1:] if self.headed else self.granules
 
 
 def read(media: bytes | None) -> tuple[list[Stream], int]:
     """The logical streams in the order of their first pages, and the number of bad pages."""
-    streams: dict[int, Stream] = {}
+    streams: list[Stream] = []
+    current: dict[int, Stream] = {}
     at, bad, media = 0, 0, media or b""
     while (at := media.find(b"OggS", at)) >= 0:
         if at + 27 > len(media):
@@ -104,8 +122,11 @@ def read(media: bytes | None) -> tuple[list[Stream], int]:
         if version or len(lacing) < n or end > len(media) or checksum(raw[:22] + b"\0\0\0\0" + raw[26:]) != crc:
             bad, at = bad + 1, at + 4
             continue
-        s = streams.setdefault(serial, Stream(serial))
-        if number != s.next and s.pages:
+        s = current.get(serial)
+        if s is None or flags & FIRST:
+            s = current[serial] = Stream(serial, headed=bool(flags & FIRST))
+            streams.append(s)
+        if number != s.next:
             s.lost, s.open = s.lost + max(0, number - s.next), None
         s.pages, s.next, s.ended = s.pages + 1, number + 1, s.ended or bool(flags & LAST)
         part = s.open if flags & CONTINUED else b""
@@ -123,7 +144,7 @@ def read(media: bytes | None) -> tuple[list[Stream], int]:
         s.packets += done
         s.granules += [UNKNOWN] * (len(done) - 1) + [granule] * bool(done)
         at = end
-    return list(streams.values()), bad
+    return streams, bad
 
 
 #: The codec of stored payloads: a header packet (magic, sample rate, channel, channels), then packets of unsigned 8-bit samples.
@@ -151,9 +172,9 @@ def timestamps(s: Stream) -> list[tuple[int, int]]:
     one starts. A packet of this module's codec lasts as many granules as it has samples; of other codecs only ends
     are known, and starts are the ends before.
     """
-    pcm = bool(s.packets) and s.packets[0][:8] == MAGIC
+    pcm = s.header[:8] == MAGIC
     out, later = [], 0
-    for data, granule in zip(reversed(s.packets[1:]), reversed(s.granules[1:]), strict=True):
+    for data, granule in zip(reversed(s.data), reversed(s.ends), strict=True):
         end = later if granule == UNKNOWN else granule
         later = end - len(data) if pcm else end
         out.append((later, end))
@@ -177,9 +198,9 @@ def read_payload(streams: list[Stream]) -> bytes:
     """The samples that write_payload stored; channels and places come from the headers and timestamps."""
     tracks: dict[int, bytearray] = {}
     for s in streams:
-        if s.packets and s.packets[0][:8] == MAGIC:
-            track = tracks.setdefault(PCM.unpack_from(s.packets[0])[2], bytearray(max([0, *s.granules])))
-            for (start, end), data in zip(timestamps(s), s.packets[1:], strict=True):
+        if s.header[:8] == MAGIC:
+            track = tracks.setdefault(PCM.unpack_from(s.header)[2], bytearray(max([0, *s.granules])))
+            for (start, end), data in zip(timestamps(s), s.data, strict=True):
                 track[start:end] = data
     out = bytearray(sum(map(len, tracks.values())))
     for c, track in tracks.items():
@@ -191,9 +212,9 @@ def feature(streams: list[Stream], bad: int) -> str:
     """Bad pages; then pages, packets, milliseconds and mean sample of each stream."""
     parts = [f"bad={bad}"]
     for s in streams:
-        rate, skip = rate_of(s.packets[0]) if s.packets else (0, 0)
+        rate, skip = rate_of(s.header)
         ms = max(0, max([0, *s.granules]) - skip) * 1000 // rate if rate else -1
-        data = b"".join(s.packets[1:])
+        data = b"".join(s.data)
         mean = int(np.frombuffer(data, np.uint8).sum(dtype=np.int64)) * 1000 // len(data) if data else 0
         parts.append(f"{s.serial}:pages={s.pages},packets={len(s.packets)},ms={ms},mean={mean}")
     return ";".join(parts)
@@ -208,9 +229,9 @@ def add_streams(df: DataFrame, keep: list[str], media: str = "media") -> DataFra
         streams, bad = read(x)
         out = []
         for s in streams:
-            rate, skip = rate_of(s.packets[0]) if s.packets else (0, 0)
+            rate, skip = rate_of(s.header)
             ms = lambda g: max(0, g - skip) * 1000 // rate if rate else None  # noqa: B023, E731
-            packets = [{"start_ms": ms(a), "end_ms": ms(b), "data": d} for (a, b), d in zip(timestamps(s), s.packets[1:], strict=True)]
+            packets = [{"start_ms": ms(a), "end_ms": ms(b), "data": d} for (a, b), d in zip(timestamps(s), s.data, strict=True)]
             out.append({"serial": s.serial, "pages": s.pages, "lost": s.lost, "ended": s.ended, "packets": packets})
         return bad, out
 
@@ -235,6 +256,7 @@ def store(docs: DataFrame, keep: list[str], text: str = "text", block: int = 64)
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents stored as Ogg and read back; a null text is empty, and stored as one block of zeros."""
     media = store(table(spark, sf_dir, "documents"), ["doc_id"])
 
     def f(cols):

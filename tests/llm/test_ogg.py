@@ -75,3 +75,29 @@ def test_query(spark, tmp_path):
         padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(padded))
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+
+
+def test_lost_header():
+    header = ogg.PCM.pack(ogg.MAGIC, ogg.RATE, 0, 1)
+    pages = ogg.pages_of(1, [(header, 0), (b"a" * 300, 300), (b"b" * 200, 500)])
+    broken = bytes([*pages[0][:-1], pages[0][-1] ^ 1])
+    (s,), bad = ogg.read(b"".join([broken, *pages[1:]]))
+    assert (bad, s.lost, s.headed, s.header) == (1, 1, False, b"") and s.data == [b"a" * 300, b"b" * 200]
+    assert ogg.rate_of(s.header) == (0, 0) and "ms=-1" in ogg.feature([s], bad)
+
+
+def test_chained_streams_of_one_serial():
+    header = ogg.PCM.pack(ogg.MAGIC, ogg.RATE, 0, 1)
+    first, second = (b"".join(ogg.pages_of(9, [(header, 0), (x, len(x))])) for x in (b"a" * 100, b"b" * 70))
+    streams, bad = ogg.read(first + second)
+    assert bad == 0 and [s.data for s in streams] == [[b"a" * 100], [b"b" * 70]] and all(s.ended and not s.lost for s in streams)
+
+
+def test_query_on_odd_tables(spark, tmp_path):
+    clash = "doc_id long, text string, media binary, feature string, __text string, n_bytes int"
+    spark.createDataFrame([], clash).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert ogg.op6_ogg_media(spark, f"{tmp_path}/none").count() == 0
+    rows = [(1, "abc", b"m", "f", "t", 7)] * 2 + [(None, "long " * 300_000, None, None, None, None)]
+    spark.createDataFrame(rows, clash).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = ogg.op6_ogg_media(spark, f"{tmp_path}/some").collect()
+    assert sorted(r["n_bytes"] for r in got) == [3, 3, 1_500_000] and len(set(map(tuple, got))) == 2
