@@ -1,12 +1,13 @@
 """Secret scans through a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over lower-case trigrams that every match must hold. A
-block of documents gets an inverted index (trigram -> documents, for the trigrams that the rules ask for); a rule's
-query intersects and unites those postings, and the expression itself verifies the candidates. A rule without a
+block of documents gets an inverted index (trigram -> documents, for the trigrams that the rules ask for), built in one pass
+over its texts' trigrams; a rule's query intersects and unites those postings, and the expression itself verifies the candidates. A rule without a
 mandatory trigram scans every document.
 
 Defined results: a null or empty text has no spans; overlapping spans of different kinds are all reported; within a
-kind, spans are leftmost and don't overlap; a private key's span covers the whole key. Spans count code points, the end exclusive. Equal rows give equal rows.
+kind, spans are leftmost and don't overlap; a private key's span covers the whole key. Spans count code points, the end exclusive. Equal rows give equal rows;
+very long texts are scanned whole; an empty table gives an empty result. Columns other than those named, also of clashing names, are ignored (redact keeps them).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ MORE = (
     Rule("private_key", _KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # a run that isn't followed by the other parts is passed as a whole, so that no run is read once for each eyJ in it
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}+(\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)?", group=1, least=25),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
 )
@@ -160,9 +163,29 @@ class Index:
     """Postings of a block: for each trigram asked for, the numbers of the texts that hold it."""
 
     def __init__(self, texts: list[str | None], trigrams: set[str]):
-        low = [(i, x.lower()) for i, x in enumerate(texts) if x]
-        self.all = {i for i, _ in low}
-        self.postings = {t: {i for i, x in low if t in x} for t in trigrams}
+        self.all = {i for i, x in enumerate(texts) if x}
+        self.postings: dict[str, set[int]] = {t: set() for t in trigrams}
+        names = sorted(t for t in trigrams if len(t) == 3)
+        number = {c: k + 1 for k, c in enumerate(sorted(set("".join(names))))}  # 0: no character that is asked for
+        if not number or not self.all:
+            return
+        n = len(number) + 1
+        of_char = np.zeros(max(map(ord, number)) + 2, np.int64)
+        for c, k in number.items():
+            of_char[ord(c)] = k
+        of_code = np.full(n**3, -1, np.int32)
+        for k, (a, b, c) in enumerate(names):
+            of_code[(number[a] * n + number[b]) * n + number[c]] = k
+        # the texts one after the other, with a character between that no trigram has
+        low = [(i, x.lower().encode("utf-32-le", "surrogatepass")) for i, x in enumerate(texts) if x]
+        chars = np.frombuffer(b"\xff\xff\xff\x7f".join(x for _, x in low), "<u4")
+        starts = np.cumsum([0] + [len(x) // 4 + 1 for _, x in low[:-1]])
+        kinds = of_char[np.minimum(chars, len(of_char) - 1)]
+        found = of_code[(kinds[:-2] * n + kinds[1:-1]) * n + kinds[2:]] if len(kinds) > 2 else np.zeros(0, np.int32)
+        at = np.flatnonzero(found >= 0)
+        pairs = np.unique(found[at].astype(np.int64) * len(low) + np.searchsorted(starts, at, "right") - 1)
+        for k, text in zip((pairs // len(low)).tolist(), (pairs % len(low)).tolist(), strict=True):
+            self.postings[names[k]].add(low[text][0])
 
     def candidates(self, query: Query) -> set[int]:
         found: set[int] = set()
@@ -230,6 +253,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every row of documents; null and empty texts have none."""
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
