@@ -50,6 +50,8 @@ BATCH, MISS = 50, 1e-7
 SMALL, CHUNK, CHUNK_BYTES = 48, 512, 8 << 20
 #: Bytes of counts of large bands that are broadcast.
 BROADCAST = 8 << 20
+#: Share of the driver's heap in use beyond which a step collects garbage.
+HEAP = 0.3
 #: Rounds of labels between steps, where they only save pairs that are connected already.
 ROUNDS = 2
 #: Partitions of pairs and labels: so many rows each, and so many at least.
@@ -62,10 +64,21 @@ _ODD = _rng.integers(0, 1 << 31, _H, dtype=np.uint32) * np.uint32(2) + np.uint32
 _WORD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """df, checkpointed. Spark deletes the shuffles of finished steps when the driver collects garbage, so it does."""
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed. Frames that Python still holds pin their plans in the driver's heap, so they are let go; where the heap
+    is well used all the same, the driver collects garbage."""
     out = checkpoint(df)
     gc.collect()
+    jvm = df.sparkSession.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > HEAP * heap.maxMemory():
+        jvm.System.gc()
+    return out
+
+
+def released(df: DataFrame) -> DataFrame:
+    """df, checkpointed. Spark deletes the shuffles of finished steps when the driver collects garbage, so it does."""
+    out = settled(df)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
@@ -230,16 +243,16 @@ def components(edges: DataFrame, documents: int = 1 << 40, rounds: int | None =
     Each round takes the least label among a node and its neighbours, then that label's own label; rounds grow with
     the logarithm of a component's diameter. After a given number of rounds, labels are some node of the component.
     """
-    both = checkpoint(gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), documents))
+    both = settled(gathered(edges.select("a", "b").union(edges.select("b", "a")).distinct(), documents))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    labels = checkpoint(gathered(labels, documents))
+    labels = settled(gathered(labels, documents))
     done = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
         new = step.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new"))
-        new = checkpoint(gathered(new, documents))
+        new = settled(gathered(new, documents))
         labels, done = new.select("node", F.col("new").alias("label")), done + 1
         if done == rounds or new.filter(F.col("label") != F.col("new")).isEmpty():
             return labels
@@ -256,7 +269,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
     member = classes.select(F.explode("bands").alias("band"), F.col("class").alias("m"))
     hubs = member.groupBy("band").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = released(member.join(hubs, "band"))
-    classes = checkpoint(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
+    classes = settled(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
     del member, hubs
     places = classes.select("class", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -276,20 +289,20 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
 
     # each class and the hub that it shares most bands with
     counted = shared.filter("m != hub").groupBy("m", "hub").agg(F.count("*").alias("times"))
-    first = checkpoint(gathered(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"), documents))
+    first = settled(gathered(_pairs(counted.groupBy("m").agg(F.max(F.struct("times", "hub")).alias("x")).select("m", "x.hub"), "m", "hub"), documents))
     edges, met = verified(first), first
     labels = components(edges, documents, ROUNDS)
 
     # each class and its bands' hubs in other components
     apart = labelled(labelled(shared, "m", "lm"), "hub", "lh")
-    second = checkpoint(gathered(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"), documents))
+    second = settled(gathered(_pairs(apart.filter("lm != lh"), "m", "hub").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(second)), met.union(second)
     labels = components(edges, documents, ROUNDS)
 
     # what is left between components of a band, other than with its hub
     apart = labelled(shared, "m", "lm").select("band", "hub", "n", "m", "lm")
     mixed = apart.groupBy("band").agg(F.min("lm").alias("x"), F.max("lm").alias("y")).filter("x != y").select("band")
-    apart = checkpoint(apart.join(mixed, "band", "left_semi").filter("m != hub"))
+    apart = settled(apart.join(mixed, "band", "left_semi").filter("m != hub"))
     common = released(_common(apart.select("m").distinct(), texts, width))
     apart = apart.join(common.filter(F.lit(100) * F.col("common") >= percent * F.col("size")).drop("hashes"), "m")
     few = apart.filter(F.col("n") <= SMALL).select("band", "m", "lm", "size", "common")
@@ -299,16 +312,16 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
     third = _pairs(few.join(other, "band").filter("m < m2 and lm != lm2").filter(possible), "m", "m2").join(met, ["a", "b"], "left_anti")
     edges, met = edges.union(verified(third)), met.union(third)
     # in large bands, first each class with what matches it best, so that few are left for the rest
-    many = checkpoint(labelled(apart.filter(F.col("n") > SMALL), "hub", "lh").withColumn("base", F.col("lm") == F.col("lh")).select("band", "hub", "m", "lm", "size", "common", "base"))
+    many = settled(labelled(apart.filter(F.col("n") > SMALL), "hub", "lh").withColumn("base", F.col("lm") == F.col("lh")).select("band", "hub", "m", "lm", "size", "common", "base"))
     if many.isEmpty():
         return components(edges, documents)
     best = _between_blocks(many, classes, percent, best=True).groupBy("m").agg(F.max(F.struct("matches", "other")).alias("x"))
-    fourth = checkpoint(gathered(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"), documents))
+    fourth = settled(gathered(_pairs(best.select("m", "x.other"), "m", "other").join(met, ["a", "b"], "left_anti"), documents))
     edges, met = edges.union(verified(fourth, screen=False)), met.union(fourth)
     labels = components(edges, documents, ROUNDS)
     many = labelled(labelled(many.drop("lm", "base"), "m", "lm"), "hub", "lh").withColumn("base", F.col("lm") == F.col("lh")).drop("hub", "lh")
-    rest = _between_blocks(checkpoint(many.join(common.select("m", "hashes"), "m")), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
-    return components(edges.union(verified(checkpoint(rest), screen=False)), documents)
+    rest = _between_blocks(settled(many.join(common.select("m", "hashes"), "m")), classes, percent).select(F.col("m").alias("a"), F.col("other").alias("b")).join(met, ["a", "b"], "left_anti")
+    return components(edges.union(verified(settled(rest), screen=False)), documents)
 
 
 def _common(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -345,7 +358,7 @@ def _between_blocks(members: DataFrame, classes: DataFrame, percent: int, best:
     """
     weight = F.lit(0) if best else F.octet_length("hashes")
     blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / CHUNK), F.ceil(F.coalesce(F.sum(F.when(of, weight)), F.lit(0)) / CHUNK_BYTES)).cast("int")
-    counts = checkpoint(members.groupBy("band").agg(blocks(F.col("base")).alias("bases"), blocks(~F.col("base")).alias("others")).filter("others > 0").withColumnRenamed("band", "__band"))
+    counts = settled(members.groupBy("band").agg(blocks(F.col("base")).alias("bases"), blocks(~F.col("base")).alias("others")).filter("others > 0").withColumnRenamed("band", "__band"))
     counts = F.broadcast(counts) if 32 * counts.count() <= BROADCAST else counts
     x = members.join(counts, F.col("band") == F.col("__band")).drop("__band")
     x = x.join(classes.select(F.col("class").alias("m"), "signature", "bands"), "m")
@@ -407,14 +420,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     component is the least class of a component, null for an empty set.
     """
-    heavy = checkpoint(signed(docs, width))
-    own = checkpoint(heavy.select("doc_id", "text_hash", "n_shingles", "class"))
+    heavy = settled(signed(docs, width))
+    own = settled(heavy.select("doc_id", "text_hash", "n_shingles", "class"))
     members = heavy.filter(F.col("class").isNotNull())
     # the row with the smallest doc_id stands for the class; null only where all are
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     spare = F.min(F.struct("doc_id", "text_hash"))
-    full = checkpoint(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
-    classes = checkpoint(full.select("class", "place.doc_id"))
+    full = settled(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
+    classes = settled(full.select("class", "place.doc_id"))
     del heavy, members
     steps = [full]
     del full
