@@ -74,4 +74,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    # A checkpoint keeps the size that the optimizer guessed for its plan, the product of its joins' sides. Over rounds these
+    # numbers grow to millions of digits, and planning with them; the same rows as a new relation have none.
+    spark, jdf = df.sparkSession, stored._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
