@@ -269,8 +269,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, documen
     member = classes.select(F.explode("bands").alias("band"), F.col("class").alias("m"))
     hubs = member.groupBy("band").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = released(member.join(hubs, "band"))
-    classes = settled(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
     del member, hubs
+    classes = released(classes.join(shared.select(F.col("m").alias("class")).distinct(), "class", "left_semi"))
     places = classes.select("class", F.col("place.doc_id").alias("d"), F.col("place.text_hash").alias("h"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = places.join(source, places["d"].eqNullSafe(source["doc_id"]) & (places["h"] == source["text_hash"])).select("class", "text")
@@ -427,8 +427,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     spare = F.min(F.struct("doc_id", "text_hash"))
     full = settled(members.groupBy("class").agg(F.coalesce(place, spare).alias("place"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
-    classes = settled(full.select("class", "place.doc_id"))
     del heavy, members
+    classes = released(full.select("class", "place.doc_id"))
     steps = [full]
     del full
     labels = links(docs, steps.pop(), width, percent, own.count())
