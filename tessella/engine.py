@@ -3,32 +3,78 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from tessella.functions.text import byte_chunks, document_chunks
-from tessella.operators import filenames, ranking, reports, tables, vectors
+from tessella.functions.text import byte_chunks, document_chunks, preview, route
+from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
 from tessella.plans import parser
-from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge
-from tessella.schema import CHUNKS, DEFAULT_IGNORED, FILES, SPEC_VERSION
+from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
+from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
 from tessella.sources import documents, folders
+from tessella.streaming import watch
 
 Embed = Callable[[str], list[float]]
+EmbedChunks = Callable[[DataFrame], DataFrame]
+DAY = 86400
+
+
+class StaleGeneration(RuntimeError):
+    """The index was reset while this work was under way; its results are dropped."""
+
+
+class ConfigInvalid(ValueError):
+    """A setting outside its bounds (ERR_CONFIG_INVALID)."""
+
+
+@dataclass
+class VectorCache:
+    """Query vectors by normalised text: at most most of them (the longest unused goes), none older than seconds."""
+
+    most: int = 1000
+    seconds: int = 7 * DAY
+    rows: dict[str, tuple[list[float], float]] = field(default_factory=dict)
+
+    def get(self, key: str, now: float) -> list[float] | None:
+        found = self.rows.pop(key, None)
+        if found is None or now - found[1] >= self.seconds:
+            return None
+        self.rows[key] = found  # the last used comes last
+        return found[0]
+
+    def put(self, key: str, vector: list[float], now: float) -> None:
+        self.rows.pop(key, None)
+        self.rows[key] = vector, now
+        while len(self.rows) > self.most:
+            del self.rows[next(iter(self.rows))]
 
 
 class Engine:
-    """files and chunks as DataFrames, an embedding function for queries, and optionally a language model."""
+    """files and chunks as DataFrames, an embedding function for queries, and optionally a language model.
+
+    What indexing changes is written to a store at root before it is used, so that no later action reads a folder or embeds a
+    chunk again. Without a root, a folder under spark.checkpoint.dir holds it (under a temporary folder on a local master).
+    """
+
+    #: Bounds of the settings that users may change, and their defaults.
+    BOUNDS = {"indexing.workers": (1, 32, 4), "indexing.rate_limit_per_minute": (1, 10_000, 55)}
 
-    def __init__(self, spark: SparkSession, files: DataFrame | None = None, chunks: DataFrame | None = None, embed: Embed | None = None, model: str | None = None, provider: parser.Provider | None = None):
+    def __init__(self, spark: SparkSession, files: DataFrame | None = None, chunks: DataFrame | None = None, embed: Embed | None = None, model: str | None = None, provider: parser.Provider | None = None, root: str | None = None):
         self.spark, self.embed, self.model, self.provider = spark, embed, model, provider
         self.files = files if files is not None else spark.createDataFrame([], FILES)
         self.chunks = chunks if chunks is not None else spark.createDataFrame([], CHUNKS)
+        self.failed = spark.createDataFrame([], FAILURES)
+        self.settings = spark.createDataFrame([], "key string, value string")
         self.ignored: tuple[str, ...] = DEFAULT_IGNORED
         self.folders: list[str] = []
-        self.cache = Cache(SPEC_VERSION)
-        self.vectors: dict[str, list[float]] = {}
+        self.cache, self.vectors = Cache(SPEC_VERSION), VectorCache()
+        self.generation, self.paused, self.waiting = 0, False, []
+        self.calls: list[tuple[int, bool]] = []
+        self._root = root
 
     # --- queries
 
@@ -39,95 +85,233 @@ class Engine:
     def parse(self, raw: str, denied: list[str] | None = None, now: datetime | None = None) -> dict:
         """The query's specification, its chips, and how the model fared."""
         now, outcome = now or self._now(), "OK"
-        key, stamp = " ".join(raw.lower().split()).rstrip(".?!").strip(), int((now or self._now()).replace(tzinfo=UTC).timestamp())
+        key, stamp = " ".join(raw.lower().split()).rstrip(".?!").strip(), int(now.replace(tzinfo=UTC).timestamp())
         spec = self.cache.get(key, stamp)
         if spec is None:
             spec = parser.parse(raw, now)
             if self.provider and parser.wants_model(raw):
+                began = datetime.now(UTC)
                 found, outcome = parser.model_spec(raw, now, self.provider)
+                self.calls.append((int((datetime.now(UTC) - began).total_seconds() * 1000), False))
                 if outcome == "OK":
                     spec = merge(spec, found)
                     self.cache.put(key, spec, stamp)
+        else:
+            self.calls.append((0, True))
         spec = merge(spec, Spec(), deny_list(denied or []))
         return {"spec": spec, "chips": chips(spec), "outcome": outcome}
 
     def vector(self, text: str) -> list[float] | None:
-        key = text.strip().lower()
-        if self.embed and key not in self.vectors:
-            self.vectors[key] = self.embed(text)
-        return self.vectors.get(key)
+        key, now = text.strip().lower(), datetime.now(UTC).timestamp()
+        found = self.vectors.get(key, now)
+        if found is None and self.embed:
+            found = self.embed(text)
+            self.vectors.put(key, found, now)
+        return found
+
+    def pre_embed(self, text: str) -> bool:
+        """Embeds a query while it is typed; whether its vector is at hand."""
+        return bool(text.strip()) and self.vector(text) is not None
 
     def search(self, raw: str, k: int = 20, denied: list[str] | None = None, semantic: str | None = None, filter_names: bool = False, now: datetime | None = None) -> tuple[DataFrame, dict]:
-        """Result rows (path, score, match_kind, ...) and how they came about (kind, spec, banner, strategy)."""
+        """Result rows (path, score, match_kind, ...) and how they came about (kind, spec, banner, strategy).
+
+        vectors.ModelMismatch is raised where the filters leave chunks, but none of the engine's model.
+        """
         spec = self.parse(raw, denied, now)["spec"]
         text = semantic if semantic is not None else spec.semantic or raw
-        kind, stripped = self.spark.range(1).select(F.struct(*_route(text)).alias("r")).first()[0]
+        kind, stripped = self.spark.range(1).select(route(F.lit(text)).alias("r")).select("r.kind", "r.stripped").first()
         how = {"kind": kind, "spec": spec, "banner": ""}
         if not self.embed:
             hits = filenames.substring(self.files, text, k).select("path", F.lit(0.0).alias("score"), F.lit("filename").alias("match_kind"))
             return hits, how | {"kind": "filename"}
         near = None
         if kind != "filename":
-            with_vectors = self.files.join(self.chunks.filter(F.col("embedding").isNotNull()).select("file_id").distinct(), "file_id", "left_semi")
+            stored = self.chunks.filter(F.col("embedding").isNotNull())
+            with_vectors = self.files.join(stored.select("file_id").distinct(), "file_id", "left_semi")
             allowed, how["banner"] = ranking.relaxed(with_vectors, spec)
+            if self.model:
+                left = stored.select("file_id", "embedding_model").join(allowed.select("file_id"), "file_id", "left_semi")
+                vectors.check_model(left, vectors.current_model(left, self.model))
             near = vectors.nearest_files(allowed, self.chunks, self.vector(text), None, k, self.model)
             near = ranking.ranked(ranking.rerank(near, spec), F.desc("final_score"), "path")
         if kind == "content":
             return ranking.blend("content", near, near, k), how
-        from tessella.plans.clauses import where
-
         pool = self.files.filter(where(spec)) if filter_names else self.files
         names = ranking.ranked(filenames.search(pool, stripped, k), F.desc("fuzzy_score"), F.desc("modified_at"), "path")
         return ranking.blend(kind, near if near is not None else names, names, k), how
 
+    def file_preview(self, path: str) -> str | None:
+        """The beginning of a file as text; None if it is no text."""
+        row = folders.read(self.spark, path).select(preview(F.col("content")).alias("p")).first()
+        return row and row["p"]
+
     # --- indexing
 
-    def add_folder(self, folder: str, embed_chunks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """Index a folder's stale files; returns the failures. embed_chunks adds embedding to (file_id, chunk_index, text)."""
+    @property
+    def store(self) -> tables.Store:
+        if self._root is None:
+            self._root = tables.scratch(self.spark, "engine")
+        return tables.Store(self.spark, self._root)
+
+    def _commit(self, generation: int, **new: DataFrame) -> None:
+        """Writes tables and takes them up, unless the index was reset meanwhile."""
+        if generation != self.generation:
+            raise StaleGeneration
+        for name, df in new.items():
+            setattr(self, name, self.store.write(name, df))
+
+    def reset(self) -> None:
+        """Forgets failures, and lets work under way end without result."""
+        self.generation += 1
+        self.failed = self.spark.createDataFrame([], FAILURES)
+
+    def add_folder(self, folder: str, embed_chunks: EmbedChunks | None = None, force: bool = False) -> DataFrame:
+        """Index a folder's stale files (all of them if forced); returns the failures (path, code).
+
+        embed_chunks adds embedding to (file_id, chunk_index, text). A paused engine keeps the folder for resume().
+        """
         if folder not in self.folders:
             self.folders.append(folder)
-        found = tables.stale(folders.walk(self.spark, folder, self.ignored), self.files).filter("stale")
-        texts = documents.extract(found.filter((F.col("file_type") == "document") & F.col("error").isNull()))
-        doc = texts.filter("error is null").select("file_id", F.explode(document_chunks(F.col("text"))).alias("c"))
-        plain = found.filter("file_type = 'text'").select("file_id", F.explode(byte_chunks(F.col("content"))).alias("c"))
-        pieces = plain.unionByName(doc).select("file_id", "c.chunk_index", F.make_valid_utf8(F.decode("c.content", "UTF-8")).alias("text"))
+        if self.paused:
+            self.waiting.append((folder, embed_chunks, force))
+            return self.spark.createDataFrame([], "path string, code string")
+        return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force)
+
+    def index_paths(self, paths: list[str], embed_chunks: EmbedChunks | None = None) -> DataFrame:
+        """Index some files."""
+        if not paths:
+            return self.spark.createDataFrame([], "path string, code string")
+        return self._index(folders.walk(self.spark, "", self.ignored, paths), embed_chunks, False)
+
+    def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool) -> DataFrame:
+        """In two phases: file rows without a hash, and no chunks; then chunks, and the hash last. What a lost job leaves
+        counts as incomplete, and is indexed again. Every step is written before the next uses it."""
+        generation, store, known = self.generation, self.store, self.files.select("path", F.col("file_id").alias("__known"))
+        stale = tables.stale(found, self.files, force).filter("stale").drop("stale").join(known, "path", "left")
+        stale = stale.withColumn("file_id", F.coalesce("__known", "file_id")).drop("__known")
+        is_document = (F.col("file_type") == "document") & F.col("error").isNull()
+        read = documents.text_of(F.when(is_document, F.col("extension")), F.when(is_document, F.col("content")))
+        pieces = F.when(F.col("file_type") == "text", byte_chunks(F.col("content"))).when(is_document & F.col("read.text").isNotNull(), document_chunks(F.col("read.text")))
+        text = F.transform(pieces, lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), F.make_valid_utf8(F.decode(c["content"], "UTF-8")).alias("text")))
+        staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"))}).drop("content", "read")
+        staged = store.write("staged", staged)  # the only scan of the folder
+        done = staged.filter(F.size(F.coalesce("pieces", F.array().cast("array<struct<chunk_index:int,text:string>>"))) > 0)
+        columns = [c for c in self.files.columns if c in staged.columns]
+        pending = done.select(*columns).withColumns({"content_hash": F.lit(""), "indexed_at": F.current_timestamp(), "thumbnail_path": F.lit(""), "seq": F.lit(0)})
+        self._commit(generation, files=tables.upsert_files(self.files, pending), chunks=tables.replace_chunks(self.chunks, done))
         if embed_chunks:
-            new = embed_chunks(pieces).withColumns({
+            texts = done.select("file_id", F.explode("pieces").alias("c")).select("file_id", "c.chunk_index", "c.text")
+            new = embed_chunks(texts).withColumns({
                 "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
-                "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"), "seq": F.lit(0),
+                "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
             })
-            self.chunks = tables.upsert_chunks(self.chunks, new.select(*self.chunks.columns, "seq"))
-        # a file counts as indexed only if it has a chunk
-        done = found.join(pieces.select("file_id").distinct(), "file_id", "left_semi")
-        columns = [c for c in self.files.columns if c in found.columns]
-        self.files = tables.upsert_files(self.files, done.select(*columns).withColumns({"indexed_at": F.current_timestamp(), "thumbnail_path": F.lit(""), "seq": F.lit(0)}))
-        failed = found.filter("error is not null").select("path", F.col("error").alias("code"))
-        return failed.unionByName(texts.filter("error is not null").join(found.select("file_id", "path"), "file_id").select("path", F.col("error").alias("code")))
+            embedded = store.write("embedded", new.select(*self.chunks.columns))  # the only call of the provider
+            self._commit(generation, chunks=tables.replace_chunks(self.chunks, done, embedded))
+        self._commit(generation, files=tables.set_hashes(self.files, done))
+        failures = staged.filter("error is not null").select("path", F.col("error").alias("code"))
+        seq = (self.failed.agg(F.max("seq")).first()[0] or 0) + 1
+        rows = failures.withColumns({"seq": F.lit(seq).cast("long") + F.monotonically_increasing_id(), "message": reports.label(F.col("code")), "attempts": F.lit(1), "last_failed_at": F.current_timestamp()})
+        self._commit(generation, failed=self.failed.unionByName(rows.select(*self.failed.columns)))
+        return failures
+
+    def pause(self) -> None:
+        self.paused = True
+
+    def resume(self) -> None:
+        """Indexes what came while the engine was paused."""
+        self.paused, waiting, self.waiting = False, self.waiting, []
+        for folder, embed_chunks, force in waiting:
+            self.add_folder(folder, embed_chunks, force)
+
+    def reindex(self, embed_chunks: EmbedChunks | None = None, folder: str | None = None) -> None:
+        """Indexes a folder, or all folders, anew."""
+        self.reset()
+        for f in [folder] if folder else list(self.folders):
+            self.add_folder(f, embed_chunks, True)
+
+    def rescan(self, folder: str, embed_chunks: EmbedChunks | None = None) -> DataFrame:
+        """What changed in a folder since it was indexed (path, action): new and changed files are indexed, gone ones removed."""
+        here = self.files.filter(tables.inside(F.col("path"), folder.removeprefix("file://")))
+        there = folders.stats(self.spark, folder, self.ignored)
+        sure = there.filter("kind != ''").select("path", "modified_at").unionByName(there.filter("kind = ''").join(here.select("path"), "path", "left_semi").select("path", "modified_at"))
+        diff = self.store.write("rescan", tables.rescan(sure, here))
+        self.add_folder(folder, embed_chunks)
+        self.remove_paths(diff.filter("action = 'gone'").select("path"))
+        return diff
+
+    def remove_paths(self, gone: DataFrame) -> None:
+        files, chunks, _ = tables.delete_files(self.files, self.chunks, gone)
+        self._commit(self.generation, files=files, chunks=chunks)
 
     def remove_folder(self, folder: str, delete: bool = True) -> None:
         self.folders = [f for f in self.folders if f != folder]
         if delete:
-            self.files, self.chunks = tables.delete_folder(self.files, self.chunks, folder)
+            files, chunks = tables.delete_folder(self.files, self.chunks, folder.removeprefix("file://"))
+            self._commit(self.generation, files=files, chunks=chunks)
+
+    def watch(self, events: DataFrame, checkpoint: str, embed_chunks: EmbedChunks | None = None) -> StreamingQuery:
+        """Applies a stream of file events (path, type, ts): written files are indexed, deleted ones removed."""
+        index = lambda paths: self.index_paths([r["path"] for r in paths.collect()], embed_chunks)  # noqa: E731 - the paths of one batch
+        return watch.apply_events(events, index, self.remove_paths, checkpoint)
+
+    # --- reports and settings
 
     def needs_reindex(self) -> bool:
-        """Whether chunks were embedded by another model."""
-        return bool(self.model) and not self.chunks.filter(~F.col("embedding_model").isin("", self.model)).isEmpty()
+        """Whether chunks lack their vectors, or were embedded by another model."""
+        other = ~F.col("embedding_model").isin("", self.model) if self.model else F.lit(False)
+        return not self.chunks.filter(F.col("embedding").isNull() | other).isEmpty()
 
-    def save(self, root: str) -> None:
-        store = tables.Store(self.spark, root)
-        store.write("files", self.files)
-        store.write("chunks", self.chunks)
+    def missing_vectors(self) -> bool:
+        return tables.has_missing_blobs(self.chunks)
 
-    def load(self, root: str) -> None:
-        store = tables.Store(self.spark, root)
-        self.files, self.chunks = store.read("files"), store.read("chunks")
+    def failures(self) -> DataFrame:
+        """The registry of failed paths."""
+        return reports.registry(self.failed)
+
+    def status(self, failures: DataFrame | None = None) -> DataFrame:
+        return reports.status(self.files, self.failures() if failures is None else failures)
+
+    def failure_groups(self) -> DataFrame:
+        return reports.failure_groups(self.failures())
+
+    def stats(self) -> DataFrame:
+        """Calls of the language model, their mean time, and the parse cache's hits and misses."""
+        return reports.call_stats(self.spark.createDataFrame(self.calls, "ms long, hit boolean"))
+
+    def set_indexing(self, **values: int) -> None:
+        """workers and rate_limit_per_minute; none is set if one is out of bounds."""
+        for name, v in values.items():
+            low, high, _ = self.BOUNDS.get(f"indexing.{name}", (1, 0, 0))
+            if not low <= v <= high:
+                raise ConfigInvalid(f"{name} must be between {low} and {high}" if low <= high else f"no such setting: {name}")
+        for name, v in values.items():
+            self.settings = tables.put_setting(self.settings, f"indexing.{name}", str(v))
 
-    def status(self, failures: DataFrame) -> DataFrame:
-        return reports.status(self.files, failures)
+    def indexing(self) -> dict[str, int]:
+        """The settings; values out of bounds or unreadable count as unset."""
+        saved = {r["key"]: r["value"] for r in self.settings.filter(F.col("key").isin(*self.BOUNDS)).collect()}
+        ok = lambda k: str(saved.get(k, "")).isdigit() and self.BOUNDS[k][0] <= int(saved[k]) <= self.BOUNDS[k][1]
+        return {k.removeprefix("indexing."): int(saved[k]) if ok(k) else d for k, (_, _, d) in self.BOUNDS.items()}
 
+    def exact_threshold(self, default: int = 5000) -> int:
+        """Files up to which a search would compare all vectors."""
+        v = tables.setting(self.settings, "brute_force_threshold", "")
+        return int(v) if v.strip().isdigit() and int(v) > 0 else default
 
-def _route(text: str):
-    from tessella.functions.text import route
+    # --- storage
 
-    r = route(F.lit(text))
-    return r["kind"].alias("kind"), r["stripped"].alias("stripped")
+    def save(self, root: str) -> None:
+        store = tables.Store(self.spark, root)
+        for name in ("files", "chunks", "failed", "settings"):
+            store.write(name, getattr(self, name))
+        if not store.exists(migrations.APPLIED):
+            migrations.migrate(store)
+
+    def load(self, root: str) -> None:
+        """Takes up a store, brought to the current version first."""
+        store = tables.Store(self.spark, root)
+        migrations.migrate(store)
+        for name in ("files", "chunks", "failed", "settings"):
+            if store.exists(name):
+                setattr(self, name, store.read(name))

@@ -133,3 +133,16 @@ def merged_ranges(spans: Column, most: Column) -> Column:
         return F.when((F.size(acc) > 0) & (last["end"] >= s["start"]), joined).otherwise(F.concat(acc, F.array(s)))
 
     return F.aggregate(inside, F.array().cast(pair), step)
+
+
+def segments(text: Column, spans: Column) -> Column:
+    """A text cut at its highlights: an array of (text, marked) that joins to the text; spans as merged_ranges gives them."""
+    piece = lambda a, b, marked: F.struct(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")).alias("text"), F.lit(marked).alias("marked"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,marked:boolean>>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > acc["at"], F.array(piece(acc["at"], s["start"], False))).otherwise(F.slice(acc["out"], 1, 0))
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.array(piece(s["start"], s["end"], True))).alias("out"))
+
+    whole = lambda acc: F.when(acc["at"] < F.length(text), F.concat(acc["out"], F.array(piece(acc["at"], F.length(text), False)))).otherwise(acc["out"])
+    return F.aggregate(spans, start, step, whole)

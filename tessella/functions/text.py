@@ -110,6 +110,11 @@ def time_ranges(seconds: Column, window: float = 30.0, step: float = 25.0) -> Co
     return F.when(seconds > 0, spans).otherwise(F.slice(spans, 1, 0))
 
 
+def still(sizes: Column, least: float = 0.995) -> Column:
+    """Whether a clip's sampled frames, by their sizes, show no motion: the smallest is nearly as large as the largest."""
+    return F.coalesce((F.size(sizes) > 0) & (F.array_min(sizes) >= least * F.array_max(sizes)), F.lit(False))
+
+
 def page_ranges(pages: Column, size: int = 6, overlap: int = 1, splitter: bool = True) -> Column:
     """Array of (first, last) pages from 1; whole up to size pages, or without a splitter."""
     step = size - overlap

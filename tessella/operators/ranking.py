@@ -72,11 +72,10 @@ def relaxed(files: DataFrame, spec: Spec, order: tuple[str, ...] = DROP_ORDER) -
     levels = relaxation_levels(files, spec, order)
     least = levels.agg(F.min("level")).first()[0]
     steps = ladder(spec.must, order)
-    if not least:
-        note = "" if least == 0 else banner(steps[-1]) if steps else "all filters"
-        return levels.drop("level"), note
-    note = banner(steps[min(least, len(steps)) - 1]) if steps else "all filters"
-    return levels.filter(F.col("level") <= least).drop("level"), note
+    if least is None:  # no files at all
+        return levels.drop("level"), banner(steps[-1]) if steps else "all filters" if spec.must else ""
+    kept = levels.filter(F.col("level") <= least).drop("level")
+    return kept, "" if least == 0 else banner(steps[min(least, len(steps)) - 1]) if steps else "all filters"
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:

@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.schema import RETRY
+from tessella.schema import LABELS, RETRY
 
 
 def retry_class(code):
     return F.coalesce(F.create_map(*[F.lit(x) for p in RETRY.items() for x in p])[code], F.lit("Permanent"))
 
 
+def label(code):
+    """What an error code says; unknown codes say themselves."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])[code], code)
+
+
 def registry(failures: DataFrame, cap: int = 10_000) -> DataFrame:
-    """One row a path: its first place, and the code of its last failure; the cap newest paths by first place."""
-    last = failures.groupBy("path").agg(F.min("seq").alias("seq"), F.max_by("code", "seq").alias("code"), F.count("*").alias("attempts"))
-    return last.orderBy(F.desc("seq")).limit(cap)
+    """The cap newest paths by first place, one row each: seq, and code, message, attempts and last_failed_at of the last failure.
+
+    As failures arrive one by one, a path keeps its place while it is registered, a new one beyond cap puts the oldest out, and a
+    path that was put out comes back as a new one. So a path's place is its first failure since at least cap other
+    paths came in between; with fewer paths than cap that is its first failure.
+    """
+    last = ["code", *[c for c in ("message", "attempts", "last_failed_at") if c in failures.columns]]
+    rows = failures.groupBy("path").agg(F.min("seq").alias("first"), F.max(F.struct("seq", *last)).alias("l"), F.count("*").alias("n"))
+    kept = [F.col(f"l.{c}").alias(c) for c in last]
+    tries = [] if "attempts" in last else [F.col("n").alias("attempts")]
+    return rows.select("path", F.col("first").alias("seq"), *kept, *tries).orderBy(F.desc("seq")).limit(cap)
+
+
+def dropped(failures: DataFrame, cap: int = 10_000) -> DataFrame:
+    """One row (dropped): the paths that the registry put out."""
+    return failures.agg(F.greatest(F.count_distinct("path") - cap, F.lit(0)).alias("dropped"))
 
 
 def failure_groups(registry_: DataFrame, samples: int = 3, top: int = 5) -> DataFrame:
-    """(code, n, sample_files): the largest groups, with their first paths.
+    """(code, label, n, sample_files): the largest groups, with their first paths.
 
     First paths come from a ranking of which only a few rows a code survive each partition's partial limit.
     """
@@ -27,7 +45,7 @@ def failure_groups(registry_: DataFrame, samples: int = 3, top: int = 5) -> Data
     w = Window.partitionBy("code").orderBy("seq")
     first = registry_.select("code", "seq", "path").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= samples)
     picked = first.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda x: x["path"]).alias("sample_files"))
-    return counts.join(picked, "code").orderBy(F.desc("n"), "code").limit(top)
+    return counts.join(picked, "code").select("code", label(F.col("code")).alias("label"), "n", "sample_files").orderBy(F.desc("n"), "code").limit(top)
 
 
 def status(files: DataFrame, registry_: DataFrame) -> DataFrame:

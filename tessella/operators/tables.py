@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,17 +19,44 @@ def file_id(path: Column) -> Column:
 
 
 def latest(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """Of the rows of a key, the last by order."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    """Of the rows of a key, the last by order; of equally late ones the greatest row, column by column."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    last = rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r"))
+    return last.select(*[F.col(key) if c == key else F.col(f"r.{c}") for c in rows.columns])
 
 
 def upsert_files(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes (files' columns but for ids and path parts, seq) over files by path."""
+    """changes (files' columns but for ids and path parts, seq) over files by path.
+
+    A known path keeps its id, so that its chunks stay its own; a new one gets an id that follows from the path. Columns
+    that changes lack keep their values.
+    """
     new = latest(changes, "path").drop("seq")
     parts = path_parts(F.col("path"))
-    new = new.withColumns({"file_id": file_id(F.col("path")), **{n: parts[n] for n in ("basename", "parent", "stem")}})
-    old = files.join(new.select("path"), "path", "left_anti")
-    return old.unionByName(new, allowMissingColumns=True).select(*files.columns)
+    given = {c for c in new.columns if c != "file_id"}
+    x = files.alias("o").join(new.alias("n").withColumn("__new", F.lit(True)), "path", "full_outer")
+    made = {"file_id": F.coalesce("o.file_id", file_id(F.col("path"))), **{n: F.coalesce(f"o.{n}", parts[n]) for n in ("basename", "parent", "stem")}}
+
+    def pick(c: str) -> Column:
+        if c in made:
+            return made[c]
+        if c == "path":
+            return F.col(c)
+        return F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in given else F.col(f"o.{c}")
+
+    return x.select(*[pick(c).alias(c) for c in files.columns])
+
+
+def set_hashes(files: DataFrame, done: DataFrame) -> DataFrame:
+    """files with the content_hash of done (file_id, content_hash): what a file's rows are committed by."""
+    known = done.select("file_id", F.col("content_hash").alias("__hash"))
+    return files.join(known, "file_id", "left").withColumn("content_hash", F.coalesce("__hash", "content_hash")).select(*files.columns)
+
+
+def replace_chunks(chunks: DataFrame, ids: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """chunks without those of the files in ids (file_id), and with new ones."""
+    kept = chunks.join(ids.select("file_id").distinct(), "file_id", "left_anti").select(*chunks.columns)
+    return kept if new is None else kept.unionByName(new.select(*chunks.columns))
 
 
 def upsert_chunks(chunks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -53,6 +82,12 @@ def delete_folder(files: DataFrame, chunks: DataFrame, folder: str) -> tuple[Dat
 
 
 def rename(files: DataFrame, old: str, new: str) -> DataFrame:
+    """files with old's row under its new path; FileNotFoundError where there is none, FileExistsError where new is taken."""
+    there = {r["path"] for r in files.filter(F.col("path").isin(old, new)).select("path").limit(2).collect()}
+    if old not in there:
+        raise FileNotFoundError(old)
+    if new in there and new != old:
+        raise FileExistsError(new)
     parts = path_parts(F.lit(new))
     hit = F.col("path") == old
     return files.withColumns({"path": F.when(hit, F.lit(new)).otherwise(F.col("path")), **{n: F.when(hit, parts[n]).otherwise(F.col(n)) for n in ("basename", "parent", "stem")}})
@@ -126,7 +161,8 @@ def setting(settings: DataFrame, key: str, default: str) -> str:
 class Store:
     """Tables as Parquet folders: a table's versions lie side by side, and a small pointer names the current one.
 
-    A write becomes visible when the pointer is replaced, so a lost job leaves the old version readable.
+    A write becomes visible when the pointer is replaced, in one step, so that readers see the old version or the new one and a lost
+    job leaves the old one. The version before the current one stays for readers that began with it; older ones go.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -139,27 +175,56 @@ class Store:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
+    def _replace(self, fresh, p) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(fresh, p, how)
+
     def exists(self, name: str) -> bool:
         fs, p = self._fs(self._pointer(name))
         return fs.exists(p)
 
+    def version(self, name: str) -> str:
+        return self.spark.read.text(self._pointer(name)).first()[0]
+
+    def versions(self, name: str) -> list[str]:
+        """The stored versions, oldest first."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory())
+
     def read(self, name: str) -> DataFrame:
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{self.version(name)}")
 
-    def write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """Stores df as the table's new version, and returns it as stored."""
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._fs(self._pointer(name))
-        _, fresh = self._fs(f"{self.root}/{name}/.{version}")
+        _, p = self._fs(self._pointer(name))
+        fs, fresh = self._fs(f"{self.root}/{name}/.{version}")
         out = fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(fresh, p)
+        self._replace(fresh, p)
+        for old in self.versions(name)[:-2]:
+            fs.delete(self._fs(f"{self.root}/{name}/{old}")[1], True)
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+
+    def drop(self, name: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        fs.delete(p, True)
 
 
 def local_path(uri: str) -> str:
     """A file URI's path."""
     return uri.removeprefix("file://") if uri.startswith("file:///") else os.path.normpath(uri.removeprefix("file:"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a local master."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{base or 'file://' + os.path.join(tempfile.gettempdir(), 'tessella')}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,62 +41,77 @@ def best_chunks(scored: DataFrame) -> DataFrame:
     return best.select("file_id", "b.*")
 
 
+#: File ids that are broadcast, and bytes of query vectors that one scan of the chunks serves.
+MOST_IDS, QUERY_BYTES = 1_000_000, 64 << 20
+
+
 def nearest_files(files: DataFrame, chunks: DataFrame, vector: list[float], spec: Spec | None = None, k: int = 20, model: str | None = None) -> DataFrame:
     """The k files nearest to vector among those that the specification lets through, ties by path.
 
-    The filter runs on file rows, the scan on chunk vectors; only ids and distances are shuffled.
+    A scan of two chunk columns finds the k files: where the filter leaves at most MOST_IDS files, their ids go to the scan, and no distance is
+    computed for others; else ids and distances meet the files after it. A file's distance is a hash aggregate. Only then are the
+    k files' own rows and chunks fetched, by their ids.
     """
     allowed = files.filter(where(spec)) if spec else files
-    near = best_chunks(distances(current_model(chunks, model), vector))
-    # the k rows are picked from ids, paths and distances; the rest of a file's columns ride along narrow scans
-    return near.join(allowed, "file_id").orderBy("distance", "path").limit(k)
+    scan = current_model(chunks, model).filter(F.col("embedding").isNotNull())
+    near = scan
+    if spec and (spec.must or spec.must_not):
+        ids = allowed.select("file_id")
+        if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
+            near = scan.join(F.broadcast(ids), "file_id", "left_semi")
+    best = near.select("file_id", cosine_distance_to(F.col("embedding"), vector).alias("distance")).groupBy("file_id").agg(F.min("distance").alias("distance"))
+    top = best.join(allowed.select("file_id", "path"), "file_id").orderBy("distance", "path").limit(k)
+    found = [r["file_id"] for r in top.collect()]  # at most k
+    chosen = best_chunks(distances(scan.filter(F.col("file_id").isin(found)), vector))
+    return chosen.join(allowed.filter(F.col("file_id").isin(found)), "file_id").orderBy("distance", "path").limit(k)
 
 
 def nearest_batch(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
     """(query_id, vector_id, file_id, distance, rank) for a table of queries (query_id, vector).
 
-    Queries come in blocks of bounded size; each task keeps its own k best for every query of a block, and the tasks'
-    candidates meet in one window per query.
+    One scan of the chunks serves all queries (QUERY_BYTES of them; more take a scan each so many bytes). A task compares each batch
+    with the queries block by block, keeping its own k best for every query; the tasks' candidates meet in one window
+    per query.
     """
-    n = queries.count()
-    out = None
-    numbered = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("__block"))
-    for b in range(max(1, -(-n // block))):
-        part = numbered.filter(F.col("__block") == b).drop("__block").toPandas()
-        found = _block(part, chunks, k)
-        out = found if out is None else out.unionByName(found)
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("vector") + 16), F.lit(0))).first()[0]
+    passes = max(1, -(-size // QUERY_BYTES))
+    numbered = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(passes)).alias("__pass"))
     w = Window.partitionBy("query_id").orderBy("distance", "vector_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = [_scan(numbered.filter(F.col("__pass") == p).drop("__pass").toPandas(), chunks, k, block) for p in range(passes)]
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block(queries: pd.DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def _scan(queries: pd.DataFrame, chunks: DataFrame, k: int, block: int) -> DataFrame:
     ids = queries["query_id"].to_numpy()
-    matrix = np.array(queries["vector"].tolist(), dtype=np.float64).reshape(len(ids), -1)
+    matrix = np.array(queries["vector"].tolist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 1)
     norms = np.linalg.norm(matrix, axis=1)
 
+    def nearest(rows: pd.DataFrame, vectors: np.ndarray, fit: np.ndarray, own: slice) -> pd.DataFrame:
+        distance = np.ones((len(ids[own]), len(rows)))
+        if fit.any():
+            scale = norms[own, None] * np.linalg.norm(vectors, axis=1)[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = 1.0 - np.clip(matrix[own] @ vectors.T / scale, -1.0, 1.0)
+            distance[:, fit] = np.where(scale > 0, d, 1.0)
+        top = np.argpartition(distance, min(k, len(rows)) - 1, axis=1)[:, : min(k, len(rows))]
+        # equally near rows beyond the cut stay candidates, so that ties go by vector_id
+        limit = np.take_along_axis(distance, top, 1).max(axis=1)
+        q, r = np.nonzero(distance <= limit[:, None])
+        return pd.DataFrame({"query_id": ids[own][q], "vector_id": rows["vector_id"].to_numpy()[r], "file_id": rows["file_id"].to_numpy()[r], "distance": distance[q, r]})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept: dict[int, pd.DataFrame] = {}
         for rows in batches:
-            if not len(rows) or not len(ids):
+            if not len(rows):
                 continue
-            vectors = rows["embedding"].tolist()
-            fit = np.array([v is not None and len(v) == matrix.shape[1] for v in vectors])
-            distance = np.ones((len(ids), len(rows)))
-            if fit.any():
-                m = np.array([v for v, f in zip(vectors, fit, strict=True) if f], dtype=np.float64)
-                scale = norms[:, None] * np.linalg.norm(m, axis=1)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = 1.0 - np.clip(matrix @ m.T / scale, -1.0, 1.0)
-                distance[:, fit] = np.where(scale > 0, d, 1.0)
-            top = np.argpartition(distance, min(k, len(rows)) - 1, axis=1)[:, : min(k, len(rows))]
-            # equally near rows beyond the cut stay candidates, so that ties go by vector_id
-            limit = np.take_along_axis(distance, top, 1).max(axis=1)
-            q, r = np.nonzero(distance <= limit[:, None])
-            new = pd.DataFrame({"query_id": ids[q], "vector_id": rows["vector_id"].to_numpy()[r], "file_id": rows["file_id"].to_numpy()[r], "distance": distance[q, r]})
-            kept = new if kept is None else pd.concat([kept, new])
-            kept = kept.sort_values(["query_id", "distance", "vector_id"]).groupby("query_id", sort=False).head(k)
-        if kept is not None:
-            yield kept
+            given = rows["embedding"].tolist()
+            fit = np.array([v is not None and len(v) == matrix.shape[1] for v in given])
+            vectors = np.array([v for v, f in zip(given, fit, strict=True) if f], dtype=np.float64).reshape(int(fit.sum()), matrix.shape[1])
+            for at in range(0, len(ids), block):
+                new = nearest(rows, vectors, fit, slice(at, at + block))
+                both = pd.concat([kept[at], new]) if at in kept else new
+                kept[at] = both.sort_values(["query_id", "distance", "vector_id"]).groupby("query_id", sort=False).head(k)
+        yield from kept.values()
 
     return chunks.select("vector_id", "file_id", "embedding").mapInPandas(scan, "query_id long, vector_id string, file_id long, distance double")
 

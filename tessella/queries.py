@@ -410,17 +410,17 @@ def files_to_index(s, d):
     return tables.to_index(src.files(s, d), c, c.filter(F.col("chunk_index") != 2))
 
 
-@query("""SELECT path, sum(size_bytes)::BIGINT AS size_bytes, count(*) AS n FROM (
-SELECT path, size_bytes FROM files WHERE file_id % 4 <> 0
-UNION ALL SELECT path, size_bytes + 2 FROM files WHERE file_id % 4 = 0
-UNION ALL SELECT path || '.added', 1 FROM files WHERE file_id % 9 = 0) GROUP BY path""")
+@query("""SELECT path, file_id, size_bytes::BIGINT AS size_bytes, basename FROM (
+SELECT path, file_id, size_bytes, basename FROM files WHERE file_id % 4 <> 0
+UNION ALL SELECT path, file_id, size_bytes + 2, basename FROM files WHERE file_id % 4 = 0
+UNION ALL SELECT path || '.added', -1, 1, basename || '.added' FROM files WHERE file_id % 9 = 0)""")
 def upsert_latest(s, d):
     f = src.files(s, d)
     part = f.filter(F.col("file_id") % 4 == 0)
     old, new = (part.withColumns({"size_bytes": F.col("size_bytes") + k, "seq": F.lit(k)}) for k in (1, 2))
     added = f.filter(F.col("file_id") % 9 == 0).withColumns({"path": F.concat("path", F.lit(".added")), "size_bytes": F.lit(1).cast("long"), "seq": F.lit(1)})
-    out = tables.upsert_files(f, new.unionByName(old).unionByName(added))
-    return out.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n"))
+    out = tables.upsert_files(f, new.unionByName(old).unionByName(added).withColumn("file_id", F.lit(-7).cast("long")))
+    return out.select("path", F.when(F.col("path").endswith(".added"), F.lit(-1)).otherwise(F.col("file_id")).cast("long").alias("file_id"), "size_bytes", "basename")
 
 
 @query("""SELECT vector_id, CAST(chunk_index AS INTEGER) AS chunk_index, CASE WHEN file_id % 2 = 0 THEN 'model-c' ELSE embedding_model END AS embedding_model FROM chunks
@@ -481,20 +481,23 @@ def embed_batches(s, d):
 
 # --- reports
 
-_REGISTRY = "reg AS (SELECT path, min(seq) AS seq, arg_max(code, seq) AS code, count(*) AS attempts FROM failures GROUP BY path ORDER BY seq DESC LIMIT 100)"
+_REGISTRY = "reg AS (SELECT path, min(seq) AS seq, arg_max(code, seq) AS code, arg_max(CAST(epoch_us(last_failed_at) AS BIGINT), seq) AS last_us, count(*) AS attempts FROM failures GROUP BY path ORDER BY seq DESC LIMIT 100)"
 
 
 def _registry(s, d) -> DataFrame:
     return reports.registry(src.failures(s, d), 100)
 
 
-@query(f"+ {_REGISTRY} SELECT path, seq, code, attempts FROM reg")
+@query(f"+ {_REGISTRY} SELECT path, seq, code, attempts, last_us FROM reg")
 def failure_registry_fifo(s, d):
-    return _registry(s, d)
+    return _registry(s, d).select("path", "seq", "code", "attempts", F.unix_micros("last_failed_at").alias("last_us"))
 
 
 @query(f"""+ {_REGISTRY}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS k FROM reg)
-SELECT code, count(*) AS n, string_agg(path, ',' ORDER BY seq) FILTER (WHERE k <= 3) AS sample_files FROM r GROUP BY code ORDER BY n DESC, code LIMIT 5""")
+SELECT code, any_value(CASE code WHEN 'ERR_EMBED_COUNT_MISMATCH' THEN 'embedding response count does not match chunk count' WHEN 'ERR_EMBED_FAILED' THEN 'embedding request failed' WHEN 'ERR_EXTRACTION_FAILED' THEN 'text extraction from file failed'
+WHEN 'ERR_FILE_TOO_LARGE' THEN 'file exceeds the maximum size for indexing' WHEN 'ERR_FILE_UNREADABLE' THEN 'file could not be read' WHEN 'ERR_HNSW_ADD' THEN 'failed to add vector to HNSW index' WHEN 'ERR_RATE_LIMITED' THEN 'rate limited by embedding provider'
+WHEN 'ERR_STORE_WRITE' THEN 'failed to write to metadata store' WHEN 'ERR_UNSUPPORTED_FORMAT' THEN 'file format is not supported for indexing' END) AS label,
+count(*) AS n, string_agg(path, ',' ORDER BY seq) FILTER (WHERE k <= 3) AS sample_files FROM r GROUP BY code ORDER BY n DESC, code LIMIT 5""")
 def failure_groups(s, d):
     return reports.failure_groups(_registry(s, d)).withColumn("sample_files", F.array_join("sample_files", ","))
 
@@ -551,47 +554,44 @@ def retry_schedule(s, d):
     return reports.retry_schedule(f).select("seq", "verdict", F.unix_micros("next_attempt_at").alias("next_us"))
 
 
-@query()
-def rate_admission(s, d):
-    """Admissions of each user, at most 5 an hour, by the stream's own step function over each key's ordered requests."""
-    import pandas as pd
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        ok, _ = watch.admit([t.timestamp() for t in rows["ts"]], [], 5, 3600.0)
-        return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "admitted": ok})
-
-    e = src.table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return e.groupBy("user_id").applyInPandas(step, "user_id long, event_id long, admitted boolean")
-
 
 # --- query strings
 
 
 def _strings(s, d) -> DataFrame:
-    """Query-like strings: the first words of conversation turns and some file names."""
-    turns = src.table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), 1, 1), " ").alias("w"), "text")
+    """Query-like strings: the whole texts of conversation turns, with what makes them queries of each kind."""
+    turns = src.table(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("w"))
     n = (F.col("conv_id") + F.col("turn")) % 6
     q = F.when(n == 0, F.col("w")).when(n == 1, F.concat(F.lit("f:"), "w")).when(n == 2, F.concat("w", F.lit(".py"))).when(n == 3, F.concat(F.lit("the "), "w", F.lit(" photos from last week."))).when(n == 4, F.concat(F.lit("report in Downloads  10mb "), "w", F.lit("?!"))).otherwise(F.concat("w", F.lit(" over 3")))
     return turns.select("conv_id", "turn", q.alias("q"))
 
 
 _STRINGS = """s AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN w WHEN 1 THEN 'f:' || w WHEN 2 THEN w || '.py' WHEN 3 THEN 'the ' || w || ' photos from last week.' WHEN 4 THEN 'report in Downloads  10mb ' || w || '?!' ELSE w || ' over 3' END AS q
-FROM (SELECT conv_id, turn, coalesce(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')[1], '') AS w FROM conversations))"""
+FROM (SELECT conv_id, turn, coalesce(text, '') AS w FROM conversations))"""
+
 
+_STOPWORDS = (
+    "['the','a','an','and','or','of','in','on','at','with','about','for','to','from','by','is','are','was','were','be','been','this','that','these','those','what','where','why','when','who','how']"
+)
 
-@query(f"""WITH {_STRINGS}, t AS (SELECT *, trim(q) AS x, list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '') AS w FROM s)
+
+@query(f"""WITH {_STRINGS}, t AS (SELECT *, trim(q, ' ' || chr(10) || chr(9) || chr(13)) AS x, list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '') AS w FROM s)
 SELECT conv_id, turn, CASE WHEN starts_with(lower(x), 'f:') OR regexp_matches(x, '[*?]') THEN 'filename' WHEN len(w) = 0 THEN 'content' WHEN len(w) = 1 AND regexp_matches(x, '\\.[a-zA-Z0-9]{{1,4}}$') THEN 'filename'
-WHEN len(w) = 1 AND octet_length(encode(x)) <= 30 AND regexp_matches(x, '^[A-Za-z][A-Za-z0-9_-]*$') THEN 'hybrid' WHEN len(w) >= 2 AND list_has_any(list_transform(w, lambda y: lower(y)), {text.STOPWORDS!r}) THEN 'content' WHEN len(w) >= 4 THEN 'content' ELSE 'hybrid' END AS kind,
+WHEN len(w) = 1 AND octet_length(encode(x)) <= 30 AND regexp_matches(x, '^[A-Za-z][A-Za-z0-9_-]*$') THEN 'hybrid' WHEN len(w) >= 2 AND list_has_any(list_transform(w, lambda y: lower(y)), {_STOPWORDS}) THEN 'content' WHEN len(w) >= 4 THEN 'content' ELSE 'hybrid' END AS kind,
 CASE WHEN starts_with(lower(x), 'f:') THEN substr(x, 3) ELSE x END AS stripped FROM t""", relations=False)
 def classify_query(s, d):
     return _strings(s, d).select("conv_id", "turn", text.route(F.col("q")).alias("r")).select("conv_id", "turn", "r.kind", "r.stripped")
 
 
-_HINTS = {k: v.replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "($|[^A-Za-z0-9_])").replace("'", "''") for k, v in text.SIGNALS.items()}
-
-
-_SIGNALS_SQL = ", ".join(f"regexp_matches({'q' if k == 'path' else 'lower(q)'}, '{p}') AS {k}" for k, p in _HINTS.items())
+_WORD, _END = "(^|[^A-Za-z0-9_])", "($|[^A-Za-z0-9_])"
+_HINTS = {
+    "extension": "regexp_matches(lower(q), '\\.[a-z0-9]{1,6}\\b')",
+    "file_type": f"regexp_matches(lower(q), '{_WORD}(image|img|photo|picture|video|audio|document|doc|pdf|text|code)s?{_END}')",
+    "size_bytes": "regexp_matches(lower(q), '\\b\\d+\\s*(kb|mb|gb|tb)\\b|\\b(large|small|bigger|smaller|huge|tiny)\\b')",
+    "modified_at": "regexp_matches(lower(q), '\\b(today|yesterday|tomorrow|recent|recently|week|month|year|day)\\b|\\b(last\\s+(week|month|year|day)|\\d+\\s+(day|week|month|year)s?\\s+ago)\\b')",
+    "path": "regexp_matches(q, '\\bin\\s+[A-Z][a-zA-Z0-9_-]+|\\b(Downloads|Desktop|Documents|Pictures|Music|Videos)\\b')",
+}
+_SIGNALS_SQL = ", ".join(f"{test} AS {k}" for k, test in _HINTS.items())
 
 
 @query(f"WITH {_STRINGS} SELECT conv_id, turn, {_SIGNALS_SQL} FROM s", relations=False)
@@ -599,12 +599,13 @@ def structured_signals(s, d):
     return _strings(s, d).select("conv_id", "turn", text.signals(F.col("q")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-def _hint_sql() -> str:
-    tests = [f"regexp_matches(lower(q), '{p}')" for p in text.TRIGGERS] + [f"regexp_matches({'q' if k == 'path' else 'lower(q)'}, '{p}')" for k, p in _HINTS.items()]
-    return f"octet_length(encode(q)) <= 500 AND ({' OR '.join(tests)} OR len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) > 6)"
+_WANTS = (
+    "octet_length(encode(q)) <= 500 AND (len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) > 6 OR regexp_matches(lower(q), "
+    "'\\b(yesterday|today|last|past|recent|older|newer|since|before|after|not|no|without|except|exclude|photos?|pictures?|screenshots?|videos?|docs?|documents?|code|scripts?)\\b') OR " + " OR ".join(_HINTS.values()) + ")"
+)
 
 
-@query(f"WITH {_STRINGS} SELECT conv_id, turn, {_hint_sql()} AS wants FROM s", relations=False)
+@query(f"WITH {_STRINGS} SELECT conv_id, turn, {_WANTS} AS wants FROM s", relations=False)
 def llm_trigger(s, d):
     return _strings(s, d).select("conv_id", "turn", text.wants_model(F.col("q")).alias("wants"))
 
@@ -631,35 +632,4 @@ def format_bytes(s, d):
     return src.table(s, d, "documents").select("doc_id", text.whole_size(n).alias("label"), text.shown_size(n).alias("shown"))
 
 
-@query()
-def typo_osa(s, d):
-    words = s.createDataFrame([(w,) for w in ("image", "imgae", "vidoe", "documnet", "text", "")], "word string")
-    kinds = F.array(*map(F.lit, sorted(text.KIND_WORDS)))
-    return words.withColumn("kind", F.explode(kinds)).select("word", "kind", scores.edits("word", "kind").alias("distance"))
-
-
-@query()
-def parse_spec(s, d):
-    """The specification of every query string, as JSON."""
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import StringType
-
-    @pandas_udf(StringType())
-    def parsed(q):
-        return q.map(lambda x: parser.parse(x or "", NOW).to_json())
-
-    return _strings(s, d).select("conv_id", "turn", "q", parsed("q").alias("spec"))
-
-
-@query()
-def normalize_date(s, d):
-    phrases = ("today", "yesterday", "last week", "last month", "past 3 days", "two weeks ago", "q3 2023", "december", "march 12th", "2023-08", "last friday", "no date")
-    rows = [(p, *(map(parser.seconds, w) if (w := resolve(p, NOW)) else (None, None))) for p in phrases]
-    return s.createDataFrame(rows, "phrase string, after long, before long")
-
-
-@query()
-def merge_specs(s, d):
-    a = parser.parse("kind:image size:>1mb -draft cats", NOW)
-    b = Spec("dogs", (Clause("size_bytes", "gt", 5), Clause("size_bytes", "lt", 10**9), Clause("file_type", "eq", "video")), (Clause("path", "contains", "draft"),), (Clause("extension", "eq", ".md", 1.5),))
-    return s.createDataFrame([(k, merge(a, b, frozenset(x)).to_json()) for k, x in (("all", ()), ("denied", ("file_type|eq|image",)))], "case string, spec string")
+from tessella import queries_engine  # noqa: E402, F401 - registers its queries

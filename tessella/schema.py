@@ -28,9 +28,17 @@ OFFICE = (".docx", ".pptx", ".xlsx")
 OLD_OFFICE = (".doc", ".ppt", ".xls", ".odt", ".odp", ".ods", ".rtf")
 KINDS = {e: m.partition("/")[0] for e, m in MEDIA_TYPES.items() if e != ".pdf"} | {e: "document" for e in (".pdf", *OFFICE, *OLD_OFFICE)}
 
-#: Retry classes of error codes; others are Permanent.
+# Retry classes of error codes (others are Permanent), and what codes say.
 RETRY = {
     "ERR_UNSUPPORTED_FORMAT": "Permanent", "ERR_EXTRACTION_FAILED": "Permanent", "ERR_FILE_TOO_LARGE": "Permanent", "ERR_FILE_UNREADABLE": "Permanent",
     "ERR_EMBED_COUNT_MISMATCH": "Permanent", "ERR_EMBED_FAILED": "TransientRetry", "ERR_HNSW_ADD": "TransientRetry", "ERR_STORE_WRITE": "TransientRetry",
     "ERR_RATE_LIMITED": "TransientWait",
 }
+LABELS = {
+    "ERR_UNSUPPORTED_FORMAT": "file format is not supported for indexing", "ERR_EXTRACTION_FAILED": "text extraction from file failed",
+    "ERR_FILE_TOO_LARGE": "file exceeds the maximum size for indexing", "ERR_FILE_UNREADABLE": "file could not be read",
+    "ERR_EMBED_COUNT_MISMATCH": "embedding response count does not match chunk count", "ERR_HNSW_ADD": "failed to add vector to HNSW index",
+    "ERR_STORE_WRITE": "failed to write to metadata store", "ERR_EMBED_FAILED": "embedding request failed", "ERR_RATE_LIMITED": "rate limited by embedding provider",
+    "ERR_MODEL_MISMATCH": "index was built with a different embedding model — reindex required", "ERR_FOLDER_DENIED": "folder cannot be accessed",
+    "ERR_STORE_LOCKED": "database is locked", "ERR_CONFIG_INVALID": "configuration is invalid", "ERR_MIGRATION_FAILED": "database migration failed", "ERR_INTERNAL": "internal error",
+}

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,3 +107,15 @@ def extract(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], arrow[k + 1].type) for k in range(3)]], schema=arrow)
 
     return files.select(F.col("file_id").cast("long"), "extension", "content").mapInArrow(run, schema)
+
+
+def read_text(extension: str | None, content: bytes | None) -> dict:
+    """A document's text or error, as a struct; for values of a column."""
+    text, _, error = (None, None, None) if extension is None else extracted(content, extension)
+    return {"text": text, "error": error}
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def text_of(extension: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """Text and error of documents, batch by batch; rows without an extension are passed by."""
+    return pd.DataFrame([read_text(e, c) for e, c in zip(extension, content, strict=True)], columns=["text", "error"])

@@ -55,17 +55,25 @@ def admit(times: list[float], admitted: list[float], most: int, seconds: float,
 
 
 def admitted(requests: DataFrame, most: int = 55, seconds: float = 60.0) -> DataFrame:
-    """A stream (key, ts) with its decisions: (key, ts, admitted). State holds at most the admitted times of the window."""
+    """A stream (key, ts) with its decisions: (key, ts, admitted). State holds at most the admitted times of the window.
+
+    A request may carry paused_until (timestamp, null for none): from it on its key admits nothing before that time, of several the latest.
+    """
+    paused = F.col("paused_until").cast("timestamp") if "paused_until" in requests.columns else F.lit(None).cast("timestamp")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
         rows = pd.concat(list(batches)).sort_values("ts")
-        times = [t.timestamp() for t in rows["ts"]]
-        decisions, held = admit(times, held, most, seconds)
-        state.update((held,))
+        decisions = []
+        for t, p in zip(rows["ts"], rows["paused_until"], strict=True):
+            until = max(until, 0.0 if pd.isna(p) else p.timestamp())
+            ok, held = admit([t.timestamp()], held, most, seconds, until)
+            decisions += ok
+        state.update((held, until))
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "admitted": decisions})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    given = requests.select("key", "ts", paused.alias("paused_until"))
+    return given.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "held array<double>, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def due_retries(queue: DataFrame, now: str) -> DataFrame:

@@ -93,6 +93,8 @@ def test_relaxation_against_the_loop(files):
         Clause("modified_at", "lt", T0), Clause("modified_at", "gte", T0 + timedelta(days=2)), Clause("size_bytes", "gt", 10_000), Clause("size_bytes", "lte", 300),
         Clause("path", "contains", "nowhere"), Clause("file_type", "eq", "image"), Clause("extension", "eq", ".py"), Clause("extension", "in_set", []),
     ]
+    out, note = ranking.relaxed(files, Spec("", (Clause("extension", "eq", ".py"),)))
+    assert {r["path"] for r in out.collect()} == {"/proj/scripts/demo.py", "/proj2/demo.py"} and note == ""
     for _ in range(12):
         spec = Spec("", tuple(rng.sample(pool, rng.randrange(4))), tuple(rng.sample([Clause("path", "contains", "proj2")], rng.randrange(2))))
         out, note = ranking.relaxed(files, spec)
