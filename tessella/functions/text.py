@@ -32,14 +32,17 @@ def cleaned(path: Column) -> Column:
 
 def path_parts(path: Column) -> Column:
     """Struct (basename, parent, stem); the stem ends before the last dot unless that is the first character."""
-    p = cleaned(path)
-    nothing = (path == "") | (p == ".") | (p == "/")
-    base = F.substring_index(p, "/", -1)
-    above = F.substring(p, F.lit(1), F.length(p) - F.length(base) - 1)
-    parent = F.when(~p.contains("/"), "").when(above == "", "/").otherwise(above)
-    stem = F.when(base.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(base, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(base)
-    empty = lambda c: F.when(nothing, "").otherwise(c)
-    return F.struct(empty(base).alias("basename"), empty(parent).alias("parent"), empty(stem).alias("stem"))
+
+    def parts(p: Column, base: Column) -> Column:
+        above = F.substring(p, F.lit(1), F.length(p) - F.length(base) - 1)
+        parent = F.when(~p.contains("/"), "").when(above == "", "/").otherwise(above)
+        stem = F.when(base.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(base, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(base)
+        empty = lambda c: F.when((p == "") | (p == ".") | (p == "/"), "").otherwise(c)
+        return F.struct(empty(base).alias("basename"), empty(parent).alias("parent"), empty(stem).alias("stem"))
+
+    # one-element arrays bind the cleaned path and its last part, so that no expression holds them twice
+    clean = F.array(F.when(path == "", "").otherwise(cleaned(path)))
+    return F.element_at(F.transform(clean, lambda p: F.element_at(F.transform(F.array(F.substring_index(p, "/", -1)), lambda b: parts(p, b)), 1)), 1)
 
 
 def extension(path: Column) -> Column:

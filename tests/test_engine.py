@@ -241,6 +241,7 @@ def test_batch_in_several_passes(spark, monkeypatch):
     rng = np.random.default_rng(4)
     chunks = spark.createDataFrame([(f"v{k}", k, [float(x) for x in rng.normal(size=4)]) for k in range(60)], "vector_id string, file_id long, embedding array<float>").repartition(3)
     queries = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(9)], "query_id long, vector array<double>")
-    want = sorted(map(tuple, vectors.nearest_batch(queries, chunks, 3).collect()))
+    shown = lambda df: sorted((*r[:3], round(r[3], 9), r[4]) for r in df.collect())
+    want = shown(vectors.nearest_batch(queries, chunks, 3))
     monkeypatch.setattr(vectors, "QUERY_BYTES", 100)
-    assert sorted(map(tuple, vectors.nearest_batch(queries, chunks, 3, block=2).collect())) == want and len(want) == 27
+    assert shown(vectors.nearest_batch(queries, chunks, 3, block=2)) == want and len(want) == 27
