@@ -133,7 +133,7 @@ class Engine:
             if self.model:
                 left = stored.select("file_id", "embedding_model").join(allowed.select("file_id"), "file_id", "left_semi")
                 vectors.check_model(left, vectors.current_model(left, self.model))
-            near = vectors.nearest_files(allowed, self.chunks, self.vector(text), None, k, self.model)
+            near = vectors.nearest_files(allowed, self.chunks, self.vector(text), None, k, self.model, bool(spec.must or spec.must_not))
             near = ranking.ranked(ranking.rerank(near, spec), F.desc("final_score"), "path")
         if kind == "content":
             return ranking.blend("content", near, near, k), how
@@ -194,7 +194,8 @@ class Engine:
         read = documents.text_of(F.when(is_document, F.col("extension")), F.when(is_document, F.col("content")))
         pieces = F.when(F.col("file_type") == "text", byte_chunks(F.col("content"))).when(is_document & F.col("read.text").isNotNull(), document_chunks(F.col("read.text")))
         text = F.transform(pieces, lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), F.make_valid_utf8(F.decode(c["content"], "UTF-8")).alias("text")))
-        staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"))}).drop("content", "read")
+        media = F.when(F.col("file_type").isin("image", "video", "audio"), "ERR_UNSUPPORTED_FORMAT")  # no transcoder here
+        staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"), media)}).drop("content", "read")
         staged = store.write("staged", staged)  # the only scan of the folder
         done = staged.filter(F.size(F.coalesce("pieces", F.array().cast("array<struct<chunk_index:int,text:string>>"))) > 0)
         columns = [c for c in self.files.columns if c in staged.columns]

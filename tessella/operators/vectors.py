@@ -45,17 +45,17 @@ def best_chunks(scored: DataFrame) -> DataFrame:
 MOST_IDS, QUERY_BYTES = 1_000_000, 64 << 20
 
 
-def nearest_files(files: DataFrame, chunks: DataFrame, vector: list[float], spec: Spec | None = None, k: int = 20, model: str | None = None) -> DataFrame:
+def nearest_files(files: DataFrame, chunks: DataFrame, vector: list[float], spec: Spec | None = None, k: int = 20, model: str | None = None, narrow: bool = False) -> DataFrame:
     """The k files nearest to vector among those that the specification lets through, ties by path.
 
     A scan of two chunk columns finds the k files: where the filter leaves at most MOST_IDS files, their ids go to the scan, and no distance is
     computed for others; else ids and distances meet the files after it. A file's distance is a hash aggregate. Only then are the
-    k files' own rows and chunks fetched, by their ids.
+    k files' own rows and chunks fetched, by their ids. narrow says that files are a selection already.
     """
     allowed = files.filter(where(spec)) if spec else files
     scan = current_model(chunks, model).filter(F.col("embedding").isNotNull())
     near = scan
-    if spec and (spec.must or spec.must_not):
+    if narrow or (spec and (spec.must or spec.must_not)):
         ids = allowed.select("file_id")
         if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
             near = scan.join(F.broadcast(ids), "file_id", "left_semi")

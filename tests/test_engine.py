@@ -99,12 +99,13 @@ def test_a_lost_job_leaves_incomplete_files(engine, corpus, tmp_path):
 def test_pause_failures_and_reports(engine, corpus, tmp_path):
     corpus("bad.docx", b"no archive")
     corpus("node_modules/x.txt", b"skipped")
+    corpus("film.mp4", b"frames")
     engine.pause()
     engine.add_folder(f"file://{tmp_path}/corpus", engine.embed_chunks)
     assert engine.files.count() == 0 and engine.status().first()["total"] == 0
     engine.resume()
-    assert engine.files.count() == 3 and names(engine.failures()) == ["bad.docx"]
-    assert [tuple(r)[:3] for r in engine.failure_groups().collect()] == [("ERR_EXTRACTION_FAILED", "text extraction from file failed", 1)]
+    assert engine.files.count() == 3 and names(engine.failures()) == ["bad.docx", "film.mp4"]
+    assert [tuple(r)[:3] for r in engine.failure_groups().collect()] == [("ERR_EXTRACTION_FAILED", "text extraction from file failed", 1), ("ERR_UNSUPPORTED_FORMAT", "file format is not supported for indexing", 1)]
     assert not engine.missing_vectors() and not engine.needs_reindex()
     assert engine.file_preview(f"{tmp_path}/corpus/cats/a.txt") == "cats sleep" and engine.file_preview(f"{tmp_path}/corpus/bad.docx") == "no archive"
     engine.model = "other"
