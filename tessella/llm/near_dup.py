@@ -47,7 +47,7 @@ BANDS, ROWS = 50, 5
 BATCH, MISS = 50, 1e-7
 #: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members, or of so many bytes
 #: of hashes, are compared.
-SMALL, CHUNK, CHUNK_BYTES = 48, 512, 8 << 20
+SMALL, CHUNK, CHUNK_BYTES = 48, 384, 8 << 20
 #: Bytes of counts of large bands that are broadcast.
 BROADCAST = 8 << 20
 #: Share of the driver's heap in use beyond which a step collects garbage.
