@@ -5,10 +5,14 @@ the paragraphs between blank lines and the whole, are compared as bags of word b
 the bigrams of both. A unit of a bigrams reaches the threshold t against a template of b only if
 t / (2 - t) * b <= a <= (2 - t) / t * b; templates outside these bounds are not compared.
 
+A licence that is only a part of a longer text, over lines and paragraphs or within a line, is found where it opens: wherever the whole text has
+a template's first OPENING words, as many words from there as the template has are a unit for it.
+
 All of it is one projection of built-in functions: no join, no shuffle, no Python on the executors.
 
 Defined results: null and empty texts and units of fewer than two words match nothing; equal units of a text count once;
-a unit can match several templates; repeated rows give repeated rows. Columns other than those named are ignored.
+a unit can match several templates, and counts once for each; very long texts are read whole; an empty table gives an empty
+result; repeated rows give repeated rows. Columns other than those named, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import table
 from tessella.llm.license_texts import TEMPLATES
 
-#: The threshold, in thousandths.
-THRESHOLD = 800
+#: The threshold, in thousandths, and the words that a template opens with.
+THRESHOLD, OPENING = 800, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,16 +60,26 @@ def _templates(templates, threshold: int) -> Column:
     return F.array(*rows)
 
 
-def units(text: Column) -> Column:
-    """The distinct normalised units of a text."""
-    flat = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9\n]+", " ")
-    one = lambda t: F.trim(F.regexp_replace(t, "[ \n]+", " "))
+def _one(t: Column) -> Column:
+    return F.trim(F.regexp_replace(t, "[ \n]+", " "))
+
+
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9\n]+", " ")
+
 
-    def of(t: Column) -> Column:
-        lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
-        return F.array_distinct(F.concat(lines, F.transform(F.split(t, "\n ?\n[ \n]*"), one), F.array(one(t))))
+def units(t: Column) -> Column:
+    """The distinct normalised units of a text whose other characters are spaces."""
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+    return F.array_distinct(F.concat(lines, F.transform(F.split(t, "\n ?\n[ \n]*"), _one), F.array(_one(t))))
 
-    return F.element_at(F.transform(F.array(flat), of), 1)
+
+def openings(t: Column, opening: str, words: int) -> Column:
+    """The runs of at most so many words of a normalised text from each place where it has the opening."""
+    parts = F.split(F.concat(F.lit(" "), t, F.lit(" ")), f" {opening}(?= )")
+    after = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit(opening), F.array_join(F.slice(parts, k + 1, F.lit(words)), f" {opening}")))
+    runs = F.transform(after, lambda x: F.trim(F.regexp_extract(x, f"^((?:[^ ]+ ?){{1,{words}}})", 1)))
+    return F.when(F.concat(F.lit(" "), t, F.lit(" ")).contains(f" {opening} "), runs).otherwise(F.array().cast("array<string>"))
 
 
 def matches(text: Column, templates=TEMPLATES, threshold: int = THRESHOLD) -> Column:
@@ -87,7 +101,8 @@ def matches(text: Column, templates=TEMPLATES, threshold: int = THRESHOLD) -> Co
             out = out | n.between(low, high)
         return out
 
-    def against(u: Column) -> Column:
+    def against(u: Column, some: Column) -> Column:
+        """u's matches with some templates."""
         words = F.split(u, " ")
 
         def scored(w: Column) -> Column:
@@ -102,14 +117,27 @@ def matches(text: Column, templates=TEMPLATES, threshold: int = THRESHOLD) -> Co
                     score = F.floor(F.lit(2_000_000).cast("long") * common / (F.size(g) + t["b"]))
                     return F.struct(t["name"].alias("license"), score.alias("score"), u.alias("unit"))
 
-                return F.transform(F.filter(every, lambda t: F.size(g).between(t["low"], t["high"])), one)
+                return F.transform(F.filter(some, lambda t: F.size(g).between(t["low"], t["high"])), one)
 
             return F.flatten(F.transform(F.array(grams), with_grams))
 
         return F.flatten(F.transform(F.array(words), scored))
 
-    found = F.flatten(F.transform(F.filter(units(text), sized), against))
-    return F.sort_array(F.filter(found, lambda m: m["score"] >= 1000 * threshold))
+    to = lambda some: lambda u: against(u, some)
+
+    def opened(t: Column) -> Column:
+        out = []
+        for k, (_, x) in enumerate(templates):
+            w = normal(x).split()
+            out.append(F.flatten(F.transform(openings(t, " ".join(w[:OPENING]), len(w)), to(F.array(F.element_at(every, k + 1))))))
+        return F.concat(*out)
+
+    def found(t: Column) -> Column:
+        whole = F.flatten(F.transform(F.filter(units(t), sized), lambda u: against(u, every)))
+        return F.concat(whole, F.element_at(F.transform(F.array(_one(t)), opened), 1))
+
+    hits = F.element_at(F.transform(F.array(_flat(text)), found), 1)
+    return F.sort_array(F.array_distinct(F.filter(hits, lambda m: m["score"] >= 1000 * threshold)))
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates=TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
@@ -118,6 +146,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates=TEMPLAT
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every row of documents; null and empty texts have none."""
     found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
     best = F.array_max(F.transform("matches", lambda m: F.struct(m["score"].alias("score"), m["license"].alias("license"))))
     return found.select("doc_id", "matches", best.alias("best")).select(
@@ -142,13 +171,18 @@ l AS (
   UNION SELECT r, trim(regexp_replace(u, '[ \\n]+', ' ', 'g')) FROM (SELECT r, unnest(regexp_split_to_array(x, '\\n ?\\n[ \\n]*')) AS u FROM d)
   UNION SELECT r, trim(regexp_replace(x, '[ \\n]+', ' ', 'g')) FROM d
 ),
-u AS (SELECT r, u, string_split(u, ' ') AS w FROM l WHERE contains(u, ' ')),
-ug AS (SELECT r, u, len(w) - 1 AS a, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM u),
-uc AS (SELECT r, u, a, g, count(*) AS c FROM ug GROUP BY ALL),
-m AS (
-  SELECT r, u, name, CAST(floor(2000000 * sum(least(uc.c, tc.c)) / (a + b)) AS BIGINT) AS score
-  FROM uc JOIN tc USING (g) GROUP BY r, u, name, a, b HAVING 2000 * sum(least(uc.c, tc.c)) >= {THRESHOLD} * (a + b)
+u AS (SELECT r, u, string_split(u, ' ') AS w, NULL AS own FROM l WHERE contains(u, ' ')),
+x AS (SELECT r, string_split(trim(regexp_replace(x, '[ \\n]+', ' ', 'g')), ' ') AS w FROM d),
+pl AS (SELECT r, w, unnest(range(1, len(w) - {OPENING - 2})) AS i FROM x),
+y AS (SELECT r, tw.name AS own, pl.w[i : i + len(tw.w) - 1] AS v FROM pl JOIN tw ON {" AND ".join(f"pl.w[i + {k}] = tw.w[{k + 1}]" for k in range(OPENING))}),
+au AS (SELECT r, u, w, own FROM u UNION ALL SELECT DISTINCT r, array_to_string(v, ' '), v, own FROM y),
+ug AS (SELECT r, u, own, len(w) - 1 AS a, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM au),
+uc AS (SELECT r, u, own, a, g, count(*) AS c FROM ug GROUP BY ALL),
+n AS (
+  SELECT r, u, own, name, CAST(floor(2000000 * sum(least(uc.c, tc.c)) / (a + b)) AS BIGINT) AS score
+  FROM uc JOIN tc ON uc.g = tc.g AND (own IS NULL OR own = name) GROUP BY r, u, own, name, a, b HAVING 2000 * sum(least(uc.c, tc.c)) >= {THRESHOLD} * (a + b)
 ),
+m AS (SELECT DISTINCT r, u, name, score FROM n),
 k AS (
   SELECT r, count(*) AS n, string_agg(name || ':' || score, ',' ORDER BY name, score, u) AS s, max(struct_pack(score := score, license := name)) AS best FROM m GROUP BY r
 )

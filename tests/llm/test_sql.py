@@ -33,6 +33,8 @@ def folder(spark, tmp_path_factory):
         (6, by["MIT"]), (7, "Head words\n\n" + by["BSD-3-Clause"] + "\n\ntail words"), (8, by["MIT"].replace("Software", "Program")), (9, "the " * 300),
         (10, by["MIT-notice"] + "\n" + by["MIT-notice"] + "\n" + by["GPL-3.0-notice"]), (11, "Éa released under the mit license é"), (12, by["Zlib"].upper() + "\n \n" + by["ISC"]),
         (4, "Released under the MIT License."), (None, by["Apache-2.0-header"]), (13, "word " * 20_000),
+        (14, "# Tool\n\nSome words.\n\nCopyright (c) 2024 A. B.\n\n" + by["MIT"].replace("\n", "\n\n") + "\n\nMore text follows here, of this and that."), (15, "This tool, by us, is released under the MIT License, as all our tools are."),
+        (16, "/*\n * " + by["BSD-3-Clause"].replace(" ", "\n * ", 40) + "\n */\nint main() { return 0; }"), (17, "released under the " * 500), (18, "Permission is hereby"), (19, "a released under the mit license released under the MIT license"),
     ]
     spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, matches string, license int").write.parquet(f"{path}/documents.parquet")
     talk = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", ""), (1, 3, "ann", None), (1, 3, "ann", None), (1, 200, "cy", "late"), (1, None, "bob", "when?"), (2, 0, "system", "alone"), (3, 5, None, "who"), (3, 6, "eve<|", "é\n"), (None, 1, "x", "y"), (1, -1, "ann", "before"), (4, 0, "a", "t" * 70_000)]
@@ -46,6 +48,7 @@ def test_licenses(spark, folder):
     assert got == rows_in(folder, ["documents"], L.ORACLE)
     best = {r["doc_id"]: r["best_license"] for r in L.op2_license_scan(spark, folder).collect()}
     assert best[4] == "MIT-notice" and best[6] == best[8] == "MIT" and best[7] == "BSD-3-Clause" and best[9] is None and best[3] is None
+    assert best[14] == "MIT" and best[15] == "MIT-notice" and best[16] == "BSD-3-Clause" and best[17] is best[18] is None and best[19] == "MIT-notice"
 
 
 def test_bounds_lose_nothing():
