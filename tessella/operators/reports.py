@@ -20,9 +20,8 @@ def label(code):
 def registry(failures: DataFrame, cap: int = 10_000) -> DataFrame:
     """The cap newest paths by first place, one row each: seq, and code, message, attempts and last_failed_at of the last failure.
 
-    As failures arrive one by one, a path keeps its place while it is registered, a new one beyond cap puts the oldest out, and a
-    path that was put out comes back as a new one. So a path's place is its first failure since at least cap other
-    paths came in between; with fewer paths than cap that is its first failure.
+    A path keeps its place while it is registered, and a new one beyond cap puts the oldest out. A path that was put out
+    and fails again keeps its first place here, where a registry kept failure by failure would take it as new.
     """
     last = ["code", *[c for c in ("message", "attempts", "last_failed_at") if c in failures.columns]]
     rows = failures.groupBy("path").agg(F.min("seq").alias("first"), F.max(F.struct("seq", *last)).alias("l"), F.count("*").alias("n"))

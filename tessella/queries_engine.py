@@ -286,6 +286,15 @@ def rate_admission(s, d):
     return s.read.schema("key string, ts timestamp, admitted boolean").parquet(f"{root}/out").select("key", F.unix_micros("ts").alias("us"), "admitted")
 
 
+@query("""SELECT seq FROM failures WHERE seq % 3 = 1 AND path NOT LIKE '%7' AND (code = 'ERR_RATE_LIMITED' OR (code IN ('ERR_EMBED_FAILED', 'ERR_HNSW_ADD', 'ERR_STORE_WRITE') AND 1 + seq % 4 < 3
+AND last_failed_at + INTERVAL 1 SECOND * (CASE seq % 4 WHEN 0 THEN 1 ELSE 2 END) <= TIMESTAMP '2024-01-15')) AND (code <> 'ERR_RATE_LIMITED' OR 1 + seq % 4 < 3)""")
+def retries_due(s, d):
+    """The retries due at a time, after a pause, of the running generation and without cancelled paths."""
+    f = src.failures(s, d).withColumns({"attempts": (1 + F.col("seq") % 4).cast("int"), "failed_at": F.col("last_failed_at"), "generation": (F.col("seq") % 3).cast("int")})
+    queue = watch.reschedule(f).filter(~F.col("recorded"))
+    return watch.due_retries(queue, "2024-01-15 00:00:00", 1, f.filter(F.col("path").endswith("7")), True).select("seq")
+
+
 # --- the query language: golden tables, dealt over the turns of the conversations
 
 _DAY = lambda *ymd: int((datetime(*ymd) - datetime(1970, 1, 1)).total_seconds())

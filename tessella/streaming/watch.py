@@ -76,9 +76,19 @@ def admitted(requests: DataFrame, most: int = 55, seconds: float = 60.0) -> Data
     return given.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "held array<double>, until double", "append", GroupStateTimeout.NoTimeout)
 
 
-def due_retries(queue: DataFrame, now: str) -> DataFrame:
-    """Rows of a retry table whose time has come."""
-    return queue.filter(F.col("next_attempt_at") <= F.lit(now).cast("timestamp"))
+def due_retries(queue: DataFrame, now: str, generation: int | None = None, cancelled: DataFrame | None = None, unpaused: bool = False) -> DataFrame:
+    """Rows of a retry table whose time has come.
+
+    Rows of another generation and of cancelled paths (path) never come due; when the rate limit's pause is over, what waited for it
+    is due at once.
+    """
+    due = F.col("next_attempt_at") <= F.lit(now).cast("timestamp")
+    if unpaused:
+        due = due | (retry_class(F.col("code")) == "TransientWait")
+    out = queue.filter(due)
+    if generation is not None:
+        out = out.filter(F.col("generation") == generation)
+    return out if cancelled is None else out.join(cancelled.select("path").distinct(), "path", "left_anti")
 
 
 def reschedule(failed: DataFrame, most: int = 3) -> DataFrame:
