@@ -72,7 +72,7 @@ class Engine:
         self.ignored: tuple[str, ...] = DEFAULT_IGNORED
         self.folders: list[str] = []
         self.cache, self.vectors = Cache(SPEC_VERSION), VectorCache()
-        self.generation, self.paused, self.waiting = 0, False, []
+        self.generation, self.paused, self.waiting, self.changes = 0, False, [], 0
         self.calls: list[tuple[int, bool]] = []
         self._root = root
 
@@ -160,6 +160,7 @@ class Engine:
             raise StaleGeneration
         for name, df in new.items():
             setattr(self, name, self.store.write(name, df))
+        self.changes += 1
 
     def reset(self) -> None:
         """Forgets failures, and lets work under way end without result."""
@@ -256,6 +257,22 @@ class Engine:
         index = lambda paths: self.index_paths([r["path"] for r in paths.collect()], embed_chunks)  # noqa: E731 - the paths of one batch
         return watch.apply_events(events, index, self.remove_paths, checkpoint)
 
+    def tick(self, report: Callable[[dict], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
+        """Reports the status every so often."""
+        return watch.ticker(self.spark, every, lambda: report(self.status().first().asDict()), checkpoint)
+
+    def autosave(self, root: str, checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
+        """Saves to root every so often, where something changed."""
+        saved = [-1]
+
+        def act() -> None:
+            if saved[0] != self.changes:
+                at = self.changes
+                self.save(root)
+                saved[0] = at
+
+        return watch.ticker(self.spark, every, act, checkpoint)
+
     # --- reports and settings
 
     def needs_reindex(self) -> bool:
@@ -306,8 +323,7 @@ class Engine:
         store = tables.Store(self.spark, root)
         for name in ("files", "chunks", "failed", "settings"):
             store.write(name, getattr(self, name))
-        if not store.exists(migrations.APPLIED):
-            migrations.migrate(store)
+        migrations.stamp(store)
 
     def load(self, root: str) -> None:
         """Takes up a store, brought to the current version first."""

@@ -29,6 +29,22 @@ def _times(column: Column, phrase: str) -> Column:
     return (F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)
 
 
+def _length() -> Column:
+    """The trigrams of a file's four name columns."""
+    return reduce(lambda a, b: a + b, [F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in WEIGHTS])
+
+
+def figures(files: DataFrame) -> DataFrame:
+    """One row (n, length): the corpus figures that scores need, to be kept beside the files."""
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum(_length()), F.lit(0)).cast("long").alias("length"))
+
+
+def adjusted(kept: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Kept figures after files came and went, from those files alone."""
+    both = kept.unionByName(figures(added)).unionByName(figures(removed).select((-F.col("n")).alias("n"), (-F.col("length")).alias("length")))
+    return both.agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+
+
 def bm25(files: DataFrame, query: str) -> DataFrame:
     """Files with the query as a phrase in name, folder, stem or extension: raw (lower is better) and score.
 
@@ -39,8 +55,7 @@ def bm25(files: DataFrame, query: str) -> DataFrame:
     if len(q) < LEAST:
         return files.limit(0).withColumns({"raw": F.lit(0.0), "score": F.lit(0.0)})
     weighted = reduce(lambda a, b: a + b, [_times(F.col(c), q) * w for c, w in WEIGHTS.items()])
-    length = reduce(lambda a, b: a + b, [F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in WEIGHTS])
-    x = files.withColumns({"__tf": weighted, "__len": length})
+    x = files.withColumns({"__tf": weighted, "__len": _length()})
     n, found, mean = x.agg(F.count("*"), F.count_if(F.col("__tf") > 0), F.avg("__len")).first()
     idf = max(math.log((n - found + 0.5) / (found + 0.5)), 1e-6)
     raw = -idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + K1 * (1 - B + B * F.col("__len") / F.lit(mean or 1.0)))

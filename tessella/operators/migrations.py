@@ -54,7 +54,7 @@ def migrate(store: Store, steps: tuple[Step, ...] = STEPS) -> list[int]:
     else:
         done = set(range(1, UNRECORDED + 1)) if store.exists("files") else set()
         if done:
-            _record(store, sorted(done), set())
+            _record(store, sorted(done))
     known = max(s.version for s in steps)
     if any(v > known for v in done):
         raise Downgrade(f"the store is at version {max(done)}, this engine knows {known}")
@@ -66,13 +66,19 @@ def migrate(store: Store, steps: tuple[Step, ...] = STEPS) -> list[int]:
         if len(tables) == len(names):
             for name, df in step.change(tables).items():
                 store.write(name, df)
-        _record(store, [step.version], done)
+        _record(store, [step.version])
         done.add(step.version)
         out.append(step.version)
     spark.catalog.clearCache()
     return out
 
 
-def _record(store: Store, versions: list[int], before: set[int]) -> None:
+def stamp(store: Store) -> None:
+    """Records all steps for a store that was written by this version."""
+    if not store.exists(APPLIED):
+        _record(store, [s.version for s in STEPS])
+
+
+def _record(store: Store, versions: list[int]) -> None:
     new = store.spark.createDataFrame([(v,) for v in versions], "version int").withColumn("applied_at", F.current_timestamp())
     store.write(APPLIED, store.read(APPLIED).unionByName(new) if store.exists(APPLIED) else new)

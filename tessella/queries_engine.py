@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.engine import Engine
 from tessella.functions import scores, text
-from tessella.operators import migrations, ranking, reports, tables, vectors
+from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
 from tessella.operators.index import VectorIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
@@ -179,6 +179,15 @@ def failures_dropped(s, d):
     return reports.dropped(src.failures(s, d), 20)
 
 
+@query("""SELECT count(*) AS n, CAST(sum(greatest(length(basename) - 2, 0) + greatest(length(parent) - 2, 0) + greatest(length(stem) - 2, 0) + greatest(length(extension) - 2, 0)) AS BIGINT) AS length
+FROM files WHERE file_id % 5 <> 0""")
+def filename_figures(s, d):
+    """The corpus figures of filename scores, kept up to date by what came and went."""
+    f = src.files(s, d)
+    part = lambda *rest: f.filter(F.col("file_id").isNotNull() & (F.col("file_id") % 5).isin(*rest))
+    return filenames.adjusted(filenames.figures(part(0, 1, 2)), part(3, 4), part(0))
+
+
 # --- the stored index
 
 _KEPT = """

@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 BATCH, RETRIES, FIRST_WAIT, MOST_WAIT = 100, 5, 2.0, 60.0
 EmbedBatch = Callable[[list[str]], list[list[float]]]
@@ -75,16 +77,28 @@ def from_bytes(blob: bytes) -> list[float]:
     return list(struct.unpack(f"<{len(blob) // 4}f", blob))
 
 
-@pandas_udf(T.BinaryType())
-def packed(vector: pd.Series) -> pd.Series:
-    """Vectors as little-endian 32-bit floats."""
-    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@arrow_udf(T.BinaryType())
+def packed(vector: pa.Array) -> pa.Array:
+    """Vectors as little-endian 32-bit floats: a batch's numbers are its bytes already, only cut elsewhere."""
+    sizes = np.nan_to_num(pc.list_value_length(vector).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    data = np.ascontiguousarray(vector.flatten().to_numpy(zero_copy_only=False), "<f4")
+    cuts = np.concatenate([[0], np.cumsum(4 * sizes)]).astype(np.int64)
+    out = pa.Array.from_buffers(pa.large_binary(), len(vector), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    return pc.if_else(vector.is_valid(), out, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
-@pandas_udf(T.ArrayType(T.FloatType()))
-def unpacked(blob: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.FloatType()))
+def unpacked(blob: pa.Array) -> pa.Array:
     """The vectors of such bytes; null where their number is no multiple of four."""
-    return blob.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+    size = pc.fill_null(pc.binary_length(blob), 1)
+    good = np.asarray(size.to_numpy(zero_copy_only=False) % 4 == 0)
+    kept = blob.filter(pa.array(good))
+    sizes = pc.binary_length(kept).to_numpy(zero_copy_only=False) // 4
+    data = np.frombuffer(b"".join(kept.to_pylist()), "<f4")
+    cuts = np.zeros(len(blob) + 1, np.int32)
+    cuts[1:][good] = sizes
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(cuts, dtype=np.int32)), pa.array(data))
+    return pc.if_else(pa.array(good), lists, pa.scalar(None, lists.type))
 
 
 def thumbnail_name(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,6 +39,12 @@ def apply_events(events: DataFrame, index: Callable[[DataFrame], None], remove:
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ticker(spark: SparkSession, every: str, act: Callable[[], None], checkpoint: str) -> StreamingQuery:
+    """Calls act every so often ("1 second") until the query is stopped."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rows.writeStream.foreachBatch(lambda _, __: act()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def admit(times: list[float], admitted: list[float], most: int, seconds: float, paused_until: float = 0.0) -> tuple[list[bool], list[float]]:
     """Decisions on requests in order of time, and the admitted times that still count.
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -246,3 +247,31 @@ def test_batch_in_several_passes(spark, monkeypatch):
     want = shown(vectors.nearest_batch(queries, chunks, 3))
     monkeypatch.setattr(vectors, "QUERY_BYTES", 100)
     assert shown(vectors.nearest_batch(queries, chunks, 3, block=2)) == want and len(want) == 27
+
+
+def test_packed_vectors(spark):
+    from tessella.sources import embedding
+
+    rows = [(1, [1.5, -2.0]), (2, None), (3, []), (4, [0.0] * 300), (5, [3.25])]
+    x = spark.createDataFrame(rows, "id long, v array<float>").coalesce(1).withColumn("b", embedding.packed("v"))
+    got = {r["id"]: r for r in x.withColumn("u", embedding.unpacked("b")).collect()}
+    assert all(r["u"] == dict(rows)[k] and (r["b"] is None) == (dict(rows)[k] is None) for k, r in got.items())
+    assert bytes(got[1]["b"]) == embedding.to_bytes([1.5, -2.0])
+    odd = spark.createDataFrame([(bytearray(b"abc"),), (bytearray(b"abcd"),), (None,)], "b binary").coalesce(1)
+    assert [r[0] is None for r in odd.select(embedding.unpacked("b")).collect()] == [True, False, True]
+
+
+def test_ticks_and_periodic_saves(engine, corpus, tmp_path):
+    engine.add_folder(f"file://{tmp_path}/corpus", engine.embed_chunks)
+    seen = []
+    ticks = engine.tick(seen.append, f"{tmp_path}/ticks", "200 milliseconds")
+    saves = engine.autosave(f"file://{tmp_path}/saved", f"{tmp_path}/saves", "200 milliseconds")
+    until = time.monotonic() + 60
+    while (len(seen) < 2 or not tables.Store(engine.spark, f"file://{tmp_path}/saved").exists("migrations")) and time.monotonic() < until:
+        time.sleep(0.2)
+    ticks.stop()
+    saves.stop()
+    assert seen[0] == {"total": 3, "indexed": 3, "failed": 0, "pending": 0}
+    again = Engine(engine.spark, embed=vec, model="m")
+    again.load(f"file://{tmp_path}/saved")
+    assert again.files.count() == 3 and len(tables.Store(engine.spark, f"file://{tmp_path}/saved").versions("files")) == 1
