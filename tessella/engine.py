@@ -194,7 +194,7 @@ class Engine:
         is_document = (F.col("file_type") == "document") & F.col("error").isNull()
         read = documents.text_of(F.when(is_document, F.col("extension")), F.when(is_document, F.col("content")))
         pieces = F.when(F.col("file_type") == "text", byte_chunks(F.col("content"))).when(is_document & F.col("read.text").isNotNull(), document_chunks(F.col("read.text")))
-        text = F.transform(pieces, lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), F.make_valid_utf8(F.decode(c["content"], "UTF-8")).alias("text")))
+        text = F.transform(pieces, lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), F.make_valid_utf8(c["content"].cast("string")).alias("text")))
         media = F.when(F.col("file_type").isin("image", "video", "audio"), "ERR_UNSUPPORTED_FORMAT")  # no transcoder here
         staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"), media)}).drop("content", "read")
         staged = store.write("staged", staged)  # the only scan of the folder

@@ -85,7 +85,7 @@ def media_type(path: Column) -> Column:
 
 def preview(content: Column) -> Column:
     """The first bytes as text; null if they aren't text."""
-    return F.when(is_text(content), F.make_valid_utf8(F.decode(F.substring(content, 1, SNIFF), "UTF-8")))
+    return F.when(is_text(content), F.make_valid_utf8(F.substring(content, 1, SNIFF).cast("string")))
 
 
 def chunk_starts(length: Column) -> Column:

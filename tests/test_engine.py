@@ -115,6 +115,14 @@ def test_pause_failures_and_reports(engine, corpus, tmp_path):
         engine.search("where are the cats now")
 
 
+def test_characters_cut_by_chunks(engine, corpus, tmp_path):
+    corpus("cats/umlauts.txt", "x".encode() + "ü".encode() * 5000)
+    engine.add_folder(f"file://{tmp_path}/corpus", engine.embed_chunks)
+    assert engine.files.filter("path like '%umlauts.txt' and content_hash <> ''").count() == 1
+    shown = engine.file_preview(f"{tmp_path}/corpus/cats/umlauts.txt")
+    assert shown.startswith("xü") and 4096 <= len(shown) <= 4097
+
+
 def test_settings_and_caches(engine):
     assert engine.indexing() == {"workers": 4, "rate_limit_per_minute": 55} and engine.exact_threshold() == 5000
     with pytest.raises(ConfigInvalid):
