@@ -48,8 +48,8 @@ BATCH, MISS = 50, 1e-7
 #: Members up to which a band's remaining pairs are listed; beyond it, blocks of so many members, or of so many bytes
 #: of hashes, are compared.
 SMALL, CHUNK, CHUNK_BYTES = 48, 384, 8 << 20
-#: Bytes of counts of large bands that are broadcast.
-BROADCAST = 8 << 20
+#: Bytes of counts of large bands, and of ids of components of LARGE classes or more, that are broadcast.
+BROADCAST, LARGE = 8 << 20, 256
 #: Share of the driver's heap in use beyond which a step collects garbage.
 HEAP = 0.3
 #: Rounds of labels between steps, where they only save pairs that are connected already.
@@ -432,15 +432,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     steps = [full]
     del full
     labels = links(docs, steps.pop(), width, percent, own.count())
-    joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = joined.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
+    joined = settled(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")))
+    least = settled(joined.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    ids = _with_least(joined, least).select("class", F.col("label").alias("component"), "component_id")
     out = own.select("doc_id", "text_hash", "n_shingles", "class").join(ids, "class", "left")
     own_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", own_id)
     return out.select("doc_id", "text_hash", "n_shingles", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _with_least(joined: DataFrame, least: DataFrame) -> DataFrame:
+    """joined (label, ...) with its label's component_id. Large components' rows don't meet by their label: their ids are broadcast."""
+    large = least.filter(F.col("n") >= LARGE).drop("n")
+    if not 0 < 64 * large.count() <= BROADCAST:
+        return joined.join(least.drop("n"), "label")
+    large = F.broadcast(large)
+    others = joined.join(large.select("label"), "label", "left_anti").join(least.filter(F.col("n") < LARGE).drop("n"), "label")
+    return joined.join(large, "label").unionByName(others)
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: of the smallest doc_id, null after all others. Empty texts all stay."""
     found = near_duplicates(docs, width, percent)

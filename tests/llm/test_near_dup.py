@@ -108,6 +108,16 @@ def test_query_against_all_pairs(spark, tmp_path, monkeypatch, seed, small, chun
     assert Counter(map(tuple, got)) == Counter(brute(docs))
 
 
+def test_large_components(spark, monkeypatch):
+    """Ids of large components by broadcast, and by a join where there are too many."""
+    docs = corpus(7)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(N, "LARGE", 3)
+    for most in (8 << 20, 1):
+        monkeypatch.setattr(N, "BROADCAST", most)
+        assert Counter(map(tuple, N.near_duplicates(df).drop("text_hash", "component").collect())) == Counter(brute(docs))
+
+
 def test_five_words(spark):
     docs = corpus(4)
     got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=5).drop("text_hash", "component").collect()
