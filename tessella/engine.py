@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,10 +181,15 @@ class Engine:
         return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force)
 
     def index_paths(self, paths: list[str], embed_chunks: EmbedChunks | None = None) -> DataFrame:
-        """Index some files."""
-        if not paths:
+        """Index some files; those that went meanwhile are passed by. Excluded names count below the folder that is indexed."""
+        within: dict[str, list[str]] = {}
+        for p in folders.existing(self.spark, paths):
+            known = [f.removeprefix("file://").rstrip("/") for f in self.folders]
+            within.setdefault(max((f for f in known if p.startswith(f"{f}/")), key=len, default=p.rpartition("/")[0]), []).append(p)
+        if not within:
             return self.spark.createDataFrame([], "path string, code string")
-        return self._index(folders.walk(self.spark, "", self.ignored, paths), embed_chunks, False)
+        found = [folders.walk(self.spark, f, self.ignored, ps) for f, ps in within.items()]
+        return self._index(reduce(DataFrame.unionByName, found), embed_chunks, False)
 
     def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool) -> DataFrame:
         """In two phases: file rows without a hash, and no chunks; then chunks, and the hash last. What a lost job leaves

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import scores, text
 from tessella.operators import filenames, ranking, reports, tables, vectors
 from tessella.plans import parser
-from tessella.plans.clauses import Clause, Spec, chips, merge, refine, where
-from tessella.plans.dates import resolve
+from tessella.plans.clauses import Clause, Spec, chips, refine, where
 from tessella.sources import embedding
 from tessella.sources import tables as src
 from tessella.streaming import watch

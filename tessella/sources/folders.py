@@ -48,6 +48,12 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of some paths that are there still."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if (x := path(p)).getFileSystem(conf).exists(x)]
+
+
 def walk(spark: SparkSession, folder: str, patterns: tuple[str, ...] = DEFAULT_IGNORED, paths: list[str] | None = None) -> DataFrame:
     """Files of known kinds under a folder (or some paths of it): the files relation's columns, content and error.
 

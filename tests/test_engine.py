@@ -144,7 +144,7 @@ def test_streams_and_rescans_feed_the_index(engine, corpus, tmp_path, spark):
     root = f"file://{tmp_path}/corpus"
     engine.add_folder(root, engine.embed_chunks)
     fresh = corpus("boats/new.txt", b"boats again")
-    rows = [(fresh, "created", "2024-01-01 00:00:00"), (f"{tmp_path}/corpus/cats/a.txt", "deleted", "2024-01-01 00:00:01")]
+    rows = [(fresh, "created", "2024-01-01 00:00:00"), (f"{tmp_path}/corpus/vanished.txt", "created", "2024-01-01 00:00:00"), (corpus("dist/skip.txt", b"x"), "modified", "2024-01-01 00:00:00"), (f"{tmp_path}/corpus/cats/a.txt", "deleted", "2024-01-01 00:00:01")]
     pd.DataFrame(rows, columns=["path", "type", "ts"]).assign(ts=lambda x: pd.to_datetime(x["ts"])).to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
     events = spark.readStream.schema("path string, type string, ts timestamp_ntz").option("pathGlobFilter", "events.parquet").parquet(str(tmp_path)).withColumn("ts", F.col("ts").cast("timestamp"))
     q = engine.watch(events, f"{tmp_path}/progress", engine.embed_chunks)
