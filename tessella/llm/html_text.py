@@ -1,6 +1,6 @@
 """Main text of web pages, through templates deduced from equivalence classes of tokens.
 
-Tokens are a page's tags and its blocks' texts, told apart by their place (the path of tags above them). Over the distinct
+Tokens are a page's tags and its blocks' texts, told apart by their place (the path of tags above them, as a hash of its last tag and the path before it). Over the distinct
 pages of a host (copies of one page's source count once), each token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class. A
 class is valid if it is large (LEAST tokens), frequent (SUPPORT pages and SHARE of the host's) and nests: all its tokens lie
 in one place of the class around it. Valid classes make the host's template; what a page has between the template's
@@ -26,14 +26,15 @@ how much of that varies from page to page.
 
 Defined results: null and empty pages and pages without text outside such elements have the text ""; a null url is a host of its own;
 an empty table gives an empty result; each repeated row gets its text. Columns other than those named, also of clashing names,
-are ignored. Nothing is cut off, however long.
+are ignored. Nothing is cut off, however long, and a page takes time and memory in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import xxhash
@@ -59,6 +60,7 @@ CHROME = frozenset("nav header footer aside form dialog search button fieldset h
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset("ad ads advert adverts advertisement comments cookie-banner cookie-notice cookie-consent newsletter".split())
 CONTAINERS = frozenset("html body div section main article center details figure table tbody ul ol menu dl".split())
+SECTIONS = frozenset("article main section".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 HEADS = TITLES | frozenset("caption dt legend summary th".split())
 CLOSES_P = BLOCKS - {"option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "title"}
@@ -78,12 +80,15 @@ def host_of(url: str | None) -> str | None:
 @dataclass
 class Element:
     tag: str
-    path: str
+    #: hash of the label and the path above
+    path: int
     above: int
     #: not the article's by element, role, name or state
     chrome: bool
     #: a link
     link: bool = False
+    #: tag and classes
+    label: str = ""
 
 
 @dataclass
@@ -102,9 +107,10 @@ class Page:
 
 def parse(source: str | None) -> Page:
     """Elements in order of their start tags, and blocks of text with white space made single spaces."""
-    page = Page([Element("", "", -1, False)])
+    page = Page([Element("", 0, -1, False)])
     stack, parts, linked, at, text = [0], [], 0, 0, source or ""
     links = 0
+    open_: dict[str, list[int]] = defaultdict(list)  # by tag, where its open elements are in the stack
 
     def flush() -> None:
         nonlocal parts, linked
@@ -130,15 +136,15 @@ def parse(source: str | None) -> Page:
                 flush()
             links -= tag == "a"
             stack.pop()
+            open_[tag].pop()
+
+    def last(tags: set | frozenset) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
 
     def find(tags: set, stops: frozenset | set) -> int | None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.elements[stack[k]].tag
-            if tag in tags:
-                return k
-            if tag in stops:
-                return None
-        return None
+        """The innermost open element of some tags, where none of stops is inside it."""
+        k = last(tags)
+        return k if k > last(stops) else None
 
     while at < len(text):
         m = _TAG.search(text, at)
@@ -176,10 +182,11 @@ def parse(source: str | None) -> Page:
         label = f"{tag}.{'.'.join(classes)}" if classes else tag
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE))
         # a header inside an article or section holds its title
-        fixed = tag in CHROME and not (tag == "header" and any(page.elements[k].tag in ("article", "main", "section") for k in stack))
+        fixed = tag in CHROME and not (tag == "header" and last(SECTIONS))
         named = tag in CONTAINERS and tag not in ("html", "body", "main", "article") and not NAMES.isdisjoint(x.lower() for x in classes)
         chrome = hidden or fixed or named or attrs.get("role", "").lower() in ROLES
-        page.elements.append(Element(tag, f"{above.path}/{label}", stack[-1], chrome, tag == "a"))
+        page.elements.append(Element(tag, _hash(f"{above.path}/{label}"), stack[-1], chrome, tag == "a", label))
+        open_[tag].append(len(stack))
         stack.append(len(page.elements) - 1)
         links += tag == "a"
     add(text[at:])
@@ -192,11 +199,11 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def tag_token(path: str) -> int:
+def tag_token(path: int) -> int:
     return _hash(f"<{path}")
 
 
-def text_token(path: str, text: str) -> int:
+def text_token(path: int, text: str) -> int:
     return _hash(f"{path}\0{text}")
 
 
@@ -217,8 +224,10 @@ def weights(page: Page) -> tuple[list[int], list[int], list[int]]:
 
 
 def tokens_of(page: Page) -> dict[int, list]:
-    """token: [path, whether text, count, place of the first, characters outside links]; token 0 stands for the page itself."""
-    out: dict[int, list] = {0: ["", False, 1, -1, 0]}
+    """token: [path, whether text, count, place of the first, characters outside links, path above, label]; token 0 stands for the page itself.
+
+    Of a text, both paths are that of its element."""
+    out: dict[int, list] = {0: [0, False, 1, -1, 0, 0, ""]}
     free = weights(page)[0]
     for place, e in enumerate(page.elements[1:]):
         key = tag_token(e.path)
@@ -226,7 +235,7 @@ def tokens_of(page: Page) -> dict[int, list]:
             out[key][2] += 1
             out[key][4] += free[place + 1]
         else:
-            out[key] = [e.path, False, 1, place, free[place + 1]]
+            out[key] = [e.path, False, 1, place, free[place + 1], page.elements[e.above].path, e.label]
     for k, b in enumerate(page.blocks):
         path = page.elements[b.element].path
         key = text_token(path, b.text)
@@ -235,7 +244,7 @@ def tokens_of(page: Page) -> dict[int, list]:
             out[key][2] += 1
             out[key][4] += own
         else:
-            out[key] = [path, True, 1, k, own]
+            out[key] = [path, True, 1, k, own, path, page.elements[b.element].label]
     return out
 
 
@@ -251,29 +260,30 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     base = pages.select(F.col(url).alias("__url"), F.col(html).alias("__html"))
 
     def f(cols):
-        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "free", "mark")}
+        out = {n: [] for n in ("host", "token", "path", "is_text", "n", "place", "free", "above", "label", "mark")}
         for host, x in dict.fromkeys((host_of(u), x or "") for u, x in zip(cols["__url"], cols["__html"], strict=True)):
             mark = _hash(x)
-            for token, (path, is_text, n, place, free) in tokens_of(parse(x)).items():
-                for name, v in zip(out, (host, token, path, is_text, n, place, free, mark), strict=True):
+            for token, row in tokens_of(parse(x)).items():
+                for name, v in zip(out, (host, token, *row, mark), strict=True):
                     out[name].append(v)
         return out
 
-    rows = map_columns(base, lambda: f, "host string, token long, path string, is_text boolean, n long, place long, free long, mark long").distinct()
+    rows = map_columns(base, lambda: f, "host string, token long, path long, is_text boolean, n long, place long, free long, above long, label string, mark long").distinct()
     h = F.xxhash64("mark", "n")
     rows = rows.withColumns({"h1": F.shiftrightunsigned(h, 33), "h2": h.bitwiseAND(F.lit(0x7FFFFFFF))})
-    tokens = rows.groupBy("host", "token", "path", "is_text").agg(
+    tokens = rows.groupBy("host", "token", "path", "is_text", "above", "label").agg(
         F.count("*").alias("pages"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), F.sum("n").alias("times"), F.max("n").alias("most"), F.sum("free").alias("free"), F.avg("place").alias("place")
     )
     frequent = checkpoint(tokens.filter(F.col("pages") >= SUPPORT))
     whole = frequent.filter("token = 0").select(F.col("host").alias("__host"), F.col("pages").alias("all_pages"))
     x = frequent.filter("token != 0").join(whole, F.col("host").eqNullSafe(F.col("__host"))).filter(F.col("pages") >= SHARE * F.col("all_pages")).drop("__host")
     by = Window.partitionBy("host", "pages", "h1", "h2")
-    x = x.withColumn("size", F.count("*").over(by)).filter(F.col("size") >= LEAST)
+    # elements of small classes only tell what is above what
+    x = x.withColumn("large", F.count("*").over(by) >= LEAST).filter(F.col("large") | ~F.col("is_text"))
     x = x.withColumn("everywhere", (F.col("pages") == F.col("all_pages")) & (F.col("most") == 1))
-    entry = F.struct("is_text", "place", "token", "path", "pages", "h1", "h2", "times", "free", "everywhere")
+    entry = F.struct("is_text", "place", "token", "path", "pages", "h1", "h2", "times", "free", "everywhere", "above", "label", "large")
     grouped = x.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("__t"))
-    schema = "template array<struct<token:long,path:string,is_text:boolean,class:int,parent:int,pages:long,everywhere:boolean,fixed:boolean,mass:double,stable:double,rest:double>>"
+    schema = "template array<struct<token:long,path:long,above:long,label:string,is_text:boolean,class:int,parent:int,pages:long,everywhere:boolean,fixed:boolean,mass:double,stable:double,rest:double>>"
 
     def make():
         return lambda cols: cols | {"template": [nested(rows) for rows in cols.pop("__t")]}
@@ -281,45 +291,90 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return map_columns(grouped, make, extended(grouped.drop("__t"), schema))
 
 
-def _above(path: str):
-    """The paths around a path, the nearest first."""
-    while path := path.rpartition("/")[0]:
-        yield path
+def _descent(rows: list, above: dict[int, int], holds: Callable[[int], bool]) -> Iterator[tuple]:
+    """The rows, an element's after those of the elements around it, each with the nearest of these that holds (0: none)."""
+    nearest = {0: 0}
+    for r in rows:
+        way, p = [], r["path"] if r["is_text"] else r["above"]
+        while p not in nearest:
+            way.append(p)
+            p = above[p]
+        for q in reversed(way):
+            nearest[q] = q if holds(q) else nearest[above[q]]
+        yield r, nearest[r["path"] if r["is_text"] else r["above"]]
 
 
 def nested(rows: list) -> list[dict]:
-    """The template of one host: its large and frequent classes' tokens, of the classes that nest."""
+    """The template of one host: its large and frequent classes' tokens, of the classes that nest.
+
+    An element that is frequent is below frequent ones only, so rows hold the way up from each. Each row is looked at a fixed number of times.
+    """
+    above = {r["path"]: r["above"] for r in rows if not r["is_text"]}
+    rows = [r for r in rows if r["large"]]
     number: dict[tuple, int] = {}
     of = [number.setdefault((r["pages"], r["h1"], r["h2"]), len(number)) for r in rows]
     holder = {r["path"]: c for r, c in zip(rows, of, strict=True) if not r["is_text"]}
-    places: dict[int, set] = {}
-    held = []
-    for r, c in zip(rows, of, strict=True):
-        around = ([r["path"]] if r["is_text"] else []) + list(_above(r["path"]))
-        held.append(any(holder.get(p) == c for p in around))
-        # the nearest element of another class that this class doesn't hold in turn
-        places.setdefault(c, set()).add(next((p for p in around if holder.get(p, c) != c and all(holder.get(q) != c for q in _above(p))), ""))
+    # by element and class: the outermost element of the class on the way to the element; told from the nearest element of the template, as ways share their beginnings
+    up = {r["path"]: near for r, near in _descent([r for r in rows if not r["is_text"]], above, holder.__contains__)}
+    below: dict[int, list[int]] = defaultdict(list)
+    for p, q in up.items():
+        below[q].append(p)
+    texts: dict[int, list[int]] = defaultdict(list)
+    for k, (_, near) in enumerate(_descent(rows, above, holder.__contains__)):
+        texts[near].append(k)
+    held, places = [False] * len(rows), {}
+    way: list[int] = []  # the elements of the template on the way, and by class where the first of its own is
+    first: dict[int, int] = {}
+    todo: list[tuple[int, bool]] = [(0, True)]
+    while todo:
+        p, enters = todo.pop()
+        if not enters:
+            if first.get(holder[p]) == len(way) - 1:
+                del first[holder[p]]
+            way.pop()
+            continue
+        if p:
+            first.setdefault(holder[p], len(way))
+            way.append(p)
+            todo.append((p, False))
+        for k in texts[p]:
+            c = of[k]
+            held[k] = c in first
+            # the nearest element of another class that this class doesn't hold in turn
+            n = first.get(c, len(way))
+            places.setdefault(c, set()).add(way[n - 1] if n else 0)
+        todo += [(q, True) for q in below[p]]
     # a class is in one place of the class around it; what lies above the outermost class is no place
     valid = {c for c, p in places.items() if len(p) == 1}
     parent = {c: holder.get(next(iter(places[c])), -1) for c in valid}
     kept = [(r, c, h) for r, c, h in zip(rows, of, held, strict=True) if c in valid]
     elements = {r["path"]: r for r, _, _ in kept if not r["is_text"]}
-    stable = dict.fromkeys(elements, 0)
-    for r, _, h in kept:
-        if r["is_text"] and h:
-            for p in [r["path"], *_above(r["path"])]:
-                if p in stable:
-                    stable[p] += r["free"]
+    around = [near for _, near in _descent([r for r, _, _ in kept], above, elements.__contains__)]
+    stable, order = dict.fromkeys(elements, 0), []
+    for (r, _, h), near in zip(kept, around, strict=True):
+        if r["is_text"] and h and near:
+            stable[near] += r["free"]
+        elif not r["is_text"]:
+            order.append((r["path"], near))
+    kids: dict[int, list[int]] = defaultdict(list)
+    for p, near in order:
+        kids[near].append(p)
+    turn = [0]
+    for p in turn:  # grows as it runs: what is around comes first
+        turn += kids[p]
+    higher = dict(order)
+    for p in reversed(turn[1:]):
+        if higher[p]:
+            stable[higher[p]] += stable[p]
     rest = {p: r["free"] - stable[p] for p, r in elements.items()}
     for p, r in elements.items():
-        if up := next((q for q in _above(p) if q in elements), None):
-            rest[up] -= r["free"] - stable[p]
+        if higher[p]:
+            rest[higher[p]] -= r["free"] - stable[p]
     out = []
     for r, c, h in kept:
-        row = {"token": r["token"], "path": r["path"], "is_text": r["is_text"], "class": c, "parent": parent[c] if parent[c] in valid else -1, "pages": r["pages"], "everywhere": r["everywhere"], "fixed": r["is_text"] and h}
-        if r["is_text"]:
-            row |= {"mass": 0.0, "stable": 0.0, "rest": 0.0}
-        else:
+        row = {n: r[n] for n in ("token", "path", "above", "label", "is_text", "pages", "everywhere")}
+        row |= {"class": c, "parent": parent[c] if parent[c] in valid else -1, "fixed": r["is_text"] and h, "mass": 0.0, "stable": 0.0, "rest": 0.0}
+        if not r["is_text"]:
             p, times = r["path"], max(1, r["times"])
             row |= {"mass": (r["free"] - stable[p]) / times, "stable": stable[p] / times, "rest": max(0, rest[p]) / times}
         out.append(row)
@@ -359,7 +414,7 @@ def _by_markup(page: Page, closed: list[bool], under: list[int]) -> list[int]:
 def _by_template(page: Page, closed: list[bool], slots: dict[int, tuple[float, float, float]]) -> tuple[list[int], int]:
     """The roots of the article's slot as the host's other pages tell, and the template's element that the descent ends in."""
     e = page.elements
-    known: dict[str, tuple | None] = {}
+    known: dict[int, tuple | None] = {}
     at, kids = [0] * len(e), {0: []}  # the nearest element of the template
     figures: dict[int, tuple] = {0: (0.0, 0.0, 0.0)}
     articles = [False] * len(e)
@@ -374,7 +429,7 @@ def _by_template(page: Page, closed: list[bool], slots: dict[int, tuple[float, f
     for k in range(len(e) - 1, 0, -1):
         articles[k] = articles[k] or (e[k].tag == "article" and not closed[k])
         articles[e[k].above] = articles[e[k].above] or articles[k]
-    top, beside = 0, []
+    top, beside, marks = 0, [], True
     while e[top].tag != "article" and (e[top].tag != "main" or articles[top]):
         times = Counter(e[k].path for k in kids[top])
         varying = sum(figures[k][0] for k in kids[top]) + figures[top][2]
@@ -383,8 +438,9 @@ def _by_template(page: Page, closed: list[bool], slots: dict[int, tuple[float, f
         largest = max(ways, key=lambda k: figures[k][0] + figures[k][1], default=None)
         clear = best is not None and varying > 0 and figures[best][0] >= HOLD * varying
         if not clear or best != largest:
-            if marked := _by_markup(page, closed, [top]):
+            if marks and (marked := _by_markup(page, closed, [top])):
                 return [*beside, *marked], top
+            marks = False  # nor is any further down
             if not clear:
                 break
         beside += [k for k in kids[top] if e[k].tag not in CONTAINERS and figures[k][0] > 0]

@@ -1,5 +1,8 @@
+import time
+import tracemalloc
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -157,7 +160,9 @@ def test_classes_are_those_of_real_vectors(spark):
             assert len(paths) > 1
     assert some > 5
     odd = got["odd.example"]
-    assert {t["path"].rsplit("/", 1)[1] for t in odd if t["fixed"]} == {"nav", "h3", "p"} and all("div.w" in t["path"] or "/nav" in t["path"] for t in odd if t["fixed"])
+    e = H.parse(next(x for u, x in rows if "Most read" in x)).elements
+    around = {x.path: e[x.above].label for x in e[1:]}
+    assert {t["label"] for t in odd if t["fixed"]} == {"nav", "h3", "p"} and all(t["label"] == "nav" or around[t["path"]] == "div.w" for t in odd if t["fixed"])
     assert any(t["is_text"] and not t["fixed"] for t in odd)  # the passage has a class, but no element of its own
 
 
@@ -190,3 +195,38 @@ def test_very_long_page_and_clashing_columns(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string, template string, __host string").write.parquet(f"{tmp_path}/pages.parquet")
     got = H.op8_html_extraction(spark, str(tmp_path)).collect()
     assert Counter(r["n_chars"] for r in got) == {60_000 * len('word & word') + 59_999 * 2: 2, 0: 1}
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "deep", "<ul><li>x" * 100_000, "<b></i>" * 150_000 + "deep", "<p><table>" + "<div>x" * 150_000, "<article>" + "<header>x" * 120_000, "</p>" * 250_000 + "<p>deep"])
+def test_deep_pages_are_linear(source):
+    t = time.process_time()
+    page = H.parse(source)
+    H.tokens_of(page)
+    assert H.main_text(page) or "<header>" in source
+    assert time.process_time() - t < 30  # a second or two; by the square it would be hours
+
+
+def test_paths_take_no_room():
+    tracemalloc.start()
+    page = H.parse("<div>" * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(page.elements) == 20_001 and peak < 20e6  # their strings would be 800 MB
+
+
+def test_deep_template():
+    """A template nested as deep as it is long, by what deduces it, against the definition on paths."""
+    def page(k):
+        return "<div>" * 30 + f"<p>own {k}</p>" + "<i>s</i>" + "<ul>" * 20 + "<li>foot</li>"
+    rows, seen = [], {}
+    for k in range(12):
+        for token, row in H.tokens_of(H.parse(page(k))).items():
+            seen.setdefault(token, []).append(row)
+    for token, got in seen.items():
+        if token and len(got) >= 10:
+            path, is_text, n, place, free, above, label = got[0]
+            rows.append({"token": token, "path": path, "is_text": is_text, "place": place, "pages": len(got), "h1": 1, "h2": n, "times": sum(x[2] for x in got), "free": sum(x[4] for x in got), "everywhere": True, "above": above, "label": label, "large": True})
+    out = H.nested(rows)
+    assert len(out) == len(rows) and {t["label"] for t in out if t["fixed"]} == {"div", "li"} and {t["parent"] for t in out} == {-1}
+    tops = [t for t in out if t["above"] == 0]
+    assert len(tops) == 1 and tops[0]["mass"] == sum(len(f"own {k}") for k in range(12)) / 12 and tops[0]["stable"] == len("s" + "foot")
