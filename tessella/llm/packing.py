@@ -7,15 +7,17 @@ grow fewer round by round, as a tree, until one is left or a round brings no mor
 Bounds: a local packing holds at most BLOCK pieces, a node about NODE bins, a bin at most limit items.
 
 Defined results: a null text is an empty one, whose only id is the end mark; only documents longer than the limit are cut;
-repeated rows are packed each; an empty table gives an empty result. Columns other than those named are ignored.
-Sequence ids are arbitrary but distinct; a sequence's offsets have no gaps.
+repeated rows are packed each; an empty table gives an empty result. Columns other than those named are ignored, whatever their names.
+A very long text is one row's work: beside its ids (4 bytes each) it needs its distinct words. Sequence ids are arbitrary but distinct; a sequence's offsets have no gaps.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +41,12 @@ GAIN = 0.9
 REMEMBERED = 1_000_000
 
 
+@functools.lru_cache(maxsize=65_536)
+def parted(c: str) -> bool:
+    """Whether the tokenizer always parts letter c from a mark after it: its lower case in normal form ends in a letter, not in a sign of one's own."""
+    return unicodedata.normalize("NFC", c.lower())[-1].isalpha()
+
+
 class Ids:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -76,8 +84,7 @@ class Ids:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set(parts))
-            # a letter run and one mark after it are always parted
-            stems = [p[:-1] if p[-1:] in (".", ",") and p[:-1].isalpha() else p for p in new]
+            stems = [p[:-1] if p[-1:] in (".", ",") and p[:-1].isalpha() and parted(p[-2]) else p for p in new]
             rest = {x for x in ".," if x not in known}
             for s in stems:
                 if s not in known:
@@ -195,6 +202,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents packed into sequences of at most LIMIT ids; a null text is its end mark alone."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

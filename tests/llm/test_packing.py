@@ -38,6 +38,23 @@ def test_any_ids(text):
     assert np.frombuffer(test_any_ids.ids.of(text), "<u4").tolist() == plain(test_any_ids.t, text)
 
 
+def test_every_letter_before_a_mark(tokenizer):
+    ids, texts = P.Ids(PATH), []
+    for c in filter(str.isalpha, map(chr, range(0x110000))):
+        texts += [f"{c}.", f"ab{c},", f"{c}{c}. {c}"]
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert not [x for x, e in zip(texts, want) if np.frombuffer(ids.of(x), "<u4").tolist() != e.ids]
+
+
+def test_mixed_scripts(tokenizer):
+    rng, ids = random.Random(9), P.Ids(PATH)
+    letters = [*"aZéİΣςжЇßﬁǅ日本가각ㅏ", *map(chr, (0x958, 0x9DF, 0xA33, 0xB5C, 0xFB1D, 0x5D0, 0x627, 0x64E, 0x93C, 0x307, 0x301, 0x1100, 0x1161, 0x11A8, 0x1F88))]
+    texts = ["".join(rng.choice([*letters, *letters, *".,. '-\n1"]) for _ in range(rng.randrange(1, 12))) for _ in range(100_000)]
+    for a in range(0, len(texts), 20_000):
+        for x, e in zip(texts[a:], tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)):
+            assert np.frombuffer(ids.of(x), "<u4").tolist() == e.ids, x
+
+
 def test_forgetting(monkeypatch, tokenizer):
     monkeypatch.setattr(P, "REMEMBERED", 5)
     ids = P.Ids(PATH)
