@@ -33,6 +33,8 @@ from tessella.llm.common import extended, slices, table
 #: Characters of a window and of a block; pieces that a task remembers, and the longest of these in characters.
 WINDOW, BLOCK = 1 << 21, 256
 REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+#: Bytes up to which a piece's pairs are searched one by one; longer ones keep them in a heap. Both ways give the same.
+SHORT = 100
 
 #: Kinds of characters in the table of code points.
 OTHER, LETTER, NUMBER, SPACE, BLANK, APOSTROPHE = range(6)
@@ -168,6 +170,26 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    return list(map(ranks.__getitem__, _joined(piece, ranks) if n <= SHORT else _joined_by_heap(piece, ranks)))
+
+
+def _joined(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    none = 1 << 62
+    pair = [ranks.get(a + b, none) for a, b in itertools.pairwise(parts)]
+    while pair and (low := min(pair)) < none:
+        k = pair.index(low)
+        parts[k] += parts.pop(k + 1)
+        del pair[k]
+        if k:
+            pair[k - 1] = ranks.get(parts[k - 1] + parts[k], none)
+        if k < len(pair):
+            pair[k] = ranks.get(parts[k] + parts[k + 1], none)
+    return parts
+
+
+def _joined_by_heap(piece: bytes, ranks: dict[bytes, int]) -> Iterator[bytes]:
+    n = len(piece)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     pair = [ranks.get(piece[k : k + 2]) for k in range(n - 1)] + [None]
     heap = [(r, k) for k, r in enumerate(pair) if r is not None]
@@ -186,11 +208,10 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pair[a] = new = ranks.get(piece[a : end[b]]) if b < n else None
                 if new is not None:
                     heapq.heappush(heap, (new, a))
-    out, k = [], 0
+    k = 0
     while k < n:
-        out.append(ranks[piece[k : end[k]]])
+        yield piece[k : end[k]]
         k = after[k]
-    return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -213,7 +234,7 @@ class Vocabulary:
         """The tokens' bytes, each put where it starts, counted from the first one's start."""
         if not len(ids):
             return b""
-        length = self.length[ids]
+        length, at = self.length[ids], at.astype(np.int64)
         if not (length.all() and (at[1:] - at[:-1] == length[:-1]).all()):
             raise ValueError("ids and offsets are not of one text")
         source = np.repeat(self.start[ids] - (at - at[0]), length)
@@ -222,9 +243,9 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text") -> DataFrame:
-    """keep's columns, ids (array<int>) and offsets (array<long>): the tokens of each text by the ranks in path, and the bytes of the text before each."""
+    """keep's columns, ids and offsets (array<int>): the tokens of each text by the ranks in path, and the bytes of the text before each (a row holds less than 2 GB)."""
     base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = extended(base.drop("__text"), "ids array<int>, offsets array<long>")
+    schema = extended(base.drop("__text"), "ids array<int>, offsets array<int>")
     arrow, runs = to_arrow_schema(schema), packed_kinds()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +275,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text") -> D
             values = np.frombuffer(b"".join(joined), "<i4")
             before = np.concatenate([[0], np.cumsum(length[values])])
             offsets = before[:-1] - np.repeat(before[bound[:-1]], np.diff(bound))
-            lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(x, kind)) for x, kind in ((values, pa.int32()), (offsets, pa.int64()))]
+            lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(x, kind)) for x, kind in ((values, pa.int32()), (offsets.astype(np.int32), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[x.cast(arrow.field(n).type) for x, n in zip(lists, ("ids", "offsets"), strict=True)]], schema=arrow)
 
     return base.mapInArrow(run, schema)
