@@ -242,15 +242,18 @@ class Vocabulary:
         return self.bytes[source].tobytes()
 
 
-def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text") -> DataFrame:
-    """keep's columns, ids and offsets (array<int>): the tokens of each text by the ranks in path, and the bytes of the text before each (a row holds less than 2 GB)."""
+def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """keep's columns, ids and offsets (array<int>): the tokens of each text by the ranks in path, and the bytes of the text before each (a row holds less than 2 GB).
+
+    decoded adds what the ids and offsets are read back as, as by decode() but in the same pass."""
     base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = extended(base.drop("__text"), "ids array<int>, offsets array<int>")
+    schema = extended(base.drop("__text"), "ids array<int>, offsets array<int>" + ", decoded binary" * decoded)
     arrow, runs = to_arrow_schema(schema), packed_kinds()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table_, known = read_ranks(path), unpacked(runs), {}
-        length = Vocabulary(ranks).length
+        words = Vocabulary(ranks)
+        length = words.length
         for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             sizes = np.asarray([len(x) for x in texts], np.int64)
@@ -276,7 +279,8 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text") -> D
             before = np.concatenate([[0], np.cumsum(length[values])])
             offsets = before[:-1] - np.repeat(before[bound[:-1]], np.diff(bound))
             lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(x, kind)) for x, kind in ((values, pa.int32()), (offsets.astype(np.int32), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[x.cast(arrow.field(n).type) for x, n in zip(lists, ("ids", "offsets"), strict=True)]], schema=arrow)
+            made = [pa.array([words.decoded(values[a:b], offsets[a:b]) for a, b in itertools.pairwise(bound.tolist())], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[x.cast(arrow.field(n).type) for x, n in zip(lists, ("ids", "offsets"), strict=True)], *made], schema=arrow)
 
     return base.mapInArrow(run, schema)
 
@@ -304,7 +308,6 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents"), ["doc_id"], path)
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids", "offsets")
-    out = decode(digests, ["doc_id", "n_tokens", "ids_sha256"], path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), ["doc_id"], path, decoded=True)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

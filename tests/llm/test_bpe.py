@@ -104,6 +104,8 @@ def test_offsets_and_parts(spark, folder):
     for r in encoded.collect():
         raw, ends = (r["text"] or "").encode(), [*r["offsets"][1:], len((r["text"] or "").encode())]
         assert [PLAIN.decode_single_token_bytes(k) for k in r["ids"]] == [raw[a:b] for a, b in zip(r["offsets"], ends)]
+    whole = B.decode(encoded, ["text"], PATH).collect()
+    assert len(whole) == docs.count() and all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in whole)
     part = encoded.filter(F.size("ids") > 4).select("text", F.slice("ids", 3, 2).alias("i"), F.slice("offsets", 3, 3).alias("o"))
     for r in B.decode(part.withColumn("o2", F.slice("o", 1, 2)), ["text", "o"], PATH, "i", "o2").collect():
         assert bytes(r["decoded"]) == r["text"].encode()[r["o"][0] : r["o"][2]]
