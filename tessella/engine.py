@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessella.functions.text import byte_chunks, document_chunks, preview, route
 from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
+from tessella.operators.index import VectorIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
 from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
@@ -75,7 +76,7 @@ class Engine:
         self.cache, self.vectors = Cache(SPEC_VERSION), VectorCache()
         self.generation, self.paused, self.waiting, self.changes = 0, False, [], 0
         self.calls: list[tuple[int, bool]] = []
-        self._root = root
+        self._root, self._store, self._index_ = root, None, None
 
     # --- queries
 
@@ -134,7 +135,8 @@ class Engine:
             if self.model:
                 left = stored.select("file_id", "embedding_model").join(allowed.select("file_id"), "file_id", "left_semi")
                 vectors.check_model(left, vectors.current_model(left, self.model))
-            near = vectors.nearest_files(allowed, self.chunks, self.vector(text), None, k, self.model, bool(spec.must or spec.must_not))
+            near, plan = self._near(allowed, spec, self.vector(text), k)
+            how |= plan
             near = ranking.ranked(ranking.rerank(near, spec), F.desc("final_score"), "path")
         if kind == "content":
             return ranking.blend("content", near, near, k), how
@@ -142,6 +144,29 @@ class Engine:
         names = ranking.ranked(filenames.search(pool, stripped, k), F.desc("fuzzy_score"), F.desc("modified_at"), "path")
         return ranking.blend(kind, near if near is not None else names, names, k), how
 
+    #: Candidates of a search for each wanted file, and vectors that cells are read for in the place of one candidate of a graph.
+    OVER_FETCH, SPREAD = 10, 20
+
+    def _near(self, allowed: DataFrame, spec: Spec, vector: list[float], k: int) -> tuple[DataFrame, dict]:
+        """The k nearest of the allowed files, and how they were found.
+
+        Few files are compared exactly. Beyond exact_threshold files, the stored index is asked, where there is one of this model, with the
+        filter inside its scan; else all are compared.
+        """
+        filtered = bool(spec.must or spec.must_not)
+        index, matching = self.vector_index(), None
+        how = {"strategy": "brute_force"}
+        if index is not None:
+            total = self.files.count()
+            matching = allowed.count() if filtered else total
+            how = {"strategy": vectors.strategy(matching, self.exact_threshold()), "matching": matching}
+        if how["strategy"] != "post_filter":
+            return vectors.nearest_files(allowed, self.chunks, vector, None, k, self.model, filtered), how
+        width = self.SPREAD * vectors.search_width(k, 2 * self.OVER_FETCH, total, matching)
+        found, read = index.nearest_files(vector, k, allowed if filtered else None, width, matching)
+        scan = vectors.current_model(self.chunks, self.model).filter(F.col("embedding").isNotNull())
+        return vectors.hydrated(allowed, scan, vector, [f for _, _, f in found], k), how | read | {"strategy": "post_filter" if filtered else "semantic"}
+
     def file_preview(self, path: str) -> str | None:
         """The beginning of a file as text; None if it is no text."""
         row = folders.read(self.spark, path).select(preview(F.col("content")).alias("p")).first()
@@ -151,18 +176,46 @@ class Engine:
 
     @property
     def store(self) -> tables.Store:
-        if self._root is None:
-            self._root = tables.scratch(self.spark, "engine")
-        return tables.Store(self.spark, self._root)
+        if self._store is None:
+            self._root = self._root or tables.scratch(self.spark, "engine")
+            self._store = tables.Store(self.spark, self._root)
+        return self._store
 
     def _commit(self, generation: int, **new: DataFrame) -> None:
-        """Writes tables and takes them up, unless the index was reset meanwhile."""
+        """Writes tables and takes them up, unless the index was reset meanwhile or another engine wrote them first (tables.LostUpdate)."""
         if generation != self.generation:
             raise StaleGeneration
         for name, df in new.items():
             setattr(self, name, self.store.write(name, df))
         self.changes += 1
 
+    # --- the vector index
+
+    def build_index(self, cells: int | None = None) -> None:
+        """A stored index of the current model's vectors, kept up to date from here on."""
+        own = vectors.current_model(self.chunks, self.model).filter(F.col("embedding").isNotNull())
+        self._index_ = VectorIndex(self.spark, self.store.root, store=self.store)
+        self._index_.build(own, cells)
+        self._index_state()
+
+    def vector_index(self) -> VectorIndex | None:
+        """The stored index, if it is of the current model."""
+        return self._index_ if self._index_ is not None and self._indexed == self.model else None
+
+    def _index_state(self, version: str = "") -> None:
+        """Notes the model that the index is of, and the stored version of the chunks that it holds."""
+        self._indexed = self.model
+        self.store.write("index_state", self.spark.createDataFrame([(self.model, version)], "model string, version string"))
+
+    def _indexed_too(self, gone: DataFrame | None, new: DataFrame | None = None) -> None:
+        """The chunks of the files in gone (file_id) leave the index, new chunks enter it."""
+        if (index := self.vector_index()) is None:
+            return
+        if gone is not None:
+            index.delete(self.chunks.join(gone.select("file_id").distinct(), "file_id", "left_semi").select("vector_id"))
+        if new is not None:
+            index.add(vectors.current_model(new, self.model).filter(F.col("embedding").isNotNull()))
+
     def reset(self) -> None:
         """Forgets failures, and lets work under way end without result."""
         self.generation += 1
@@ -207,6 +260,9 @@ class Engine:
         done = staged.filter(F.size(F.coalesce("pieces", F.array().cast("array<struct<chunk_index:int,text:string>>"))) > 0)
         columns = [c for c in self.files.columns if c in staged.columns]
         pending = done.select(*columns).withColumns({"content_hash": F.lit(""), "indexed_at": F.current_timestamp(), "thumbnail_path": F.lit(""), "seq": F.lit(0)})
+        if generation != self.generation:
+            raise StaleGeneration
+        self._indexed_too(done)
         self._commit(generation, files=tables.upsert_files(self.files, pending), chunks=tables.replace_chunks(self.chunks, done))
         if embed_chunks:
             texts = done.select("file_id", F.explode("pieces").alias("c")).select("file_id", "c.chunk_index", "c.text")
@@ -216,6 +272,7 @@ class Engine:
             })
             embedded = store.write("embedded", new.select(*self.chunks.columns))  # the only call of the provider
             self._commit(generation, chunks=tables.replace_chunks(self.chunks, done, embedded))
+            self._indexed_too(None, embedded)
         self._commit(generation, files=tables.set_hashes(self.files, done))
         failures = staged.filter("error is not null").select("path", F.col("error").alias("code"))
         seq = (self.failed.agg(F.max("seq")).first()[0] or 0) + 1
@@ -249,12 +306,14 @@ class Engine:
         return diff
 
     def remove_paths(self, gone: DataFrame) -> None:
+        self._indexed_too(self.files.join(gone.select("path"), "path", "left_semi"))
         files, chunks, _ = tables.delete_files(self.files, self.chunks, gone)
         self._commit(self.generation, files=files, chunks=chunks)
 
     def remove_folder(self, folder: str, delete: bool = True) -> None:
         self.folders = [f for f in self.folders if f != folder]
         if delete:
+            self._indexed_too(self.files.filter(tables.inside(F.col("path"), folder.removeprefix("file://"))))
             files, chunks = tables.delete_folder(self.files, self.chunks, folder.removeprefix("file://"))
             self._commit(self.generation, files=files, chunks=chunks)
 
@@ -319,22 +378,31 @@ class Engine:
         return {k.removeprefix("indexing."): int(saved[k]) if ok(k) else d for k, (_, _, d) in self.BOUNDS.items()}
 
     def exact_threshold(self, default: int = 5000) -> int:
-        """Files up to which a search would compare all vectors."""
+        """Files up to which a search compares all vectors."""
         v = tables.setting(self.settings, "brute_force_threshold", "")
         return int(v) if v.strip().isdigit() and int(v) > 0 else default
 
     # --- storage
 
     def save(self, root: str) -> None:
-        store = tables.Store(self.spark, root)
+        """Writes the engine's tables to root. An index lies where the engine indexes, and is found again by an engine that loads from there."""
+        store = self.store if root.rstrip("/") == (self._root or "").rstrip("/") else tables.Store(self.spark, root)
         for name in ("files", "chunks", "failed", "settings"):
             store.write(name, getattr(self, name))
+        if store is self._store and self.vector_index() is not None:
+            self._index_state(store.version("chunks"))
         migrations.stamp(store)
 
     def load(self, root: str) -> None:
-        """Takes up a store, brought to the current version first."""
+        """Takes up a store, brought to the current version first, with its index if that holds the stored chunks."""
         store = tables.Store(self.spark, root)
         migrations.migrate(store)
         for name in ("files", "chunks", "failed", "settings"):
             if store.exists(name):
                 setattr(self, name, store.read(name))
+        self._index_ = None
+        if self._root is None or root.rstrip("/") == self._root.rstrip("/"):
+            self._root, self._store = root, store
+            state = store.read("index_state").first() if store.exists("index_state") and store.exists("chunks") else None
+            if state and state["version"] == store.version("chunks"):
+                self._index_, self._indexed = VectorIndex(self.spark, root, store=store), state["model"]

@@ -17,11 +17,11 @@ SEPARATORS = " /\\._-"
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine similarity, in [0, 2]; 1 if a vector is null, empty or zero, or their sizes differ. In double."""
+    """1 - cosine similarity, in [0, 2]; 1 if a vector is null, empty, zero or holds NaN, or their sizes differ. In double."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     similarity = F.greatest(F.least(dot(a, b) / norms, F.lit(1.0)), F.lit(-1.0))
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0)
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0) & ~F.isnan(norms)
     return F.when(F.coalesce(usable, F.lit(False)), 1.0 - similarity).otherwise(1.0)
 
 
@@ -36,7 +36,7 @@ def cosine_distance_to(a: Column, vector: list[float]) -> Column:
     dot = F.aggregate(F.zip_with(a, other, lambda x, y: x.cast("double") * y), F.lit(0.0), add)
     own = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), add))
     similarity = F.greatest(F.least(dot / (own * norm), F.lit(1.0)), F.lit(-1.0))
-    return F.when(F.coalesce((F.size(a) == len(v)) & (own > 0), F.lit(False)), 1.0 - similarity).otherwise(1.0)
+    return F.when(F.coalesce((F.size(a) == len(v)) & (own > 0) & ~F.isnan(own), F.lit(False)), 1.0 - similarity).otherwise(1.0)
 
 
 def starts_word(before: str, c: str) -> bool:

@@ -158,15 +158,22 @@ def setting(settings: DataFrame, key: str, default: str) -> str:
     return default if row is None or row[0] is None else row[0]
 
 
+class LostUpdate(RuntimeError):
+    """Another writer published a version of the table since this store read it."""
+
+
 class Store:
     """Tables as Parquet folders: a table's versions lie side by side, and a small pointer names the current one.
 
     A write becomes visible when the pointer is replaced, in one step, so that readers see the old version or the new one and a lost
-    job leaves the old one. The version before the current one stays for readers that began with it; older ones go.
+    job leaves the old one. A version has one successor: whoever first creates the file that names it. A store that has read or written a table
+    succeeds to the version that it saw; where another one came first, LostUpdate is raised and that one's version stays. A writer that is lost
+    after naming its successor is finished by the next. The version before the current one stays for readers that began with it; older ones go.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.seen: dict[str, str | None] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -175,6 +182,20 @@ class Store:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
+    def _put(self, path: str, text: str, replace: bool = True) -> None:
+        fs, p = self._fs(path)
+        out = fs.create(p, replace)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
     def _replace(self, fresh, p) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -187,33 +208,84 @@ class Store:
         return fs.exists(p)
 
     def version(self, name: str) -> str:
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        return self._text(self._pointer(name))
 
     def versions(self, name: str) -> list[str]:
         """The stored versions, oldest first."""
         fs, p = self._fs(f"{self.root}/{name}")
         return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory())
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.version(name)}")
+    def folder(self, name: str, version: str | None = None) -> str:
+        """Where a version lies: the current one if none is given, and then a later write succeeds to it."""
+        if version is None:
+            version = self.seen[name] = self.version(name)
+        return f"{self.root}/{name}/{version}"
+
+    def read(self, name: str, version: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.folder(name, version))
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Stores df as the table's new version, and returns it as stored."""
+    def write(self, name: str, df: DataFrame, by: list[str] | None = None, most: int = 0) -> DataFrame:
+        """Stores df as the table's new version, partitioned by some columns and with at most most rows in a file (0: any), and returns it as stored."""
+        before = self.seen[name] if name in self.seen else (self.version(name) if self.exists(name) else None)
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        _, p = self._fs(self._pointer(name))
-        fs, fresh = self._fs(f"{self.root}/{name}/.{version}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._replace(fresh, p)
+        df.write.option("maxRecordsPerFile", most).partitionBy(*by or []).parquet(f"{self.root}/{name}/{version}")
+        self._succeed(name, before, version)
+        self.seen[name] = version
+        fs, _ = self._fs(self.root)
         for old in self.versions(name)[:-2]:
-            fs.delete(self._fs(f"{self.root}/{name}/{old}")[1], True)
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+            for gone in (old, f".after-{old}"):
+                fs.delete(self._fs(f"{self.root}/{name}/{gone}")[1], True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}")
+
+    def _succeed(self, name: str, before: str | None, version: str) -> None:
+        mark = f"{self.root}/{name}/.after-{before or 'none'}"
+        fs, p = self._fs(mark)
+        try:
+            if (self.version(name) if self.exists(name) else None) != before:
+                raise LostUpdate(name)
+            try:
+                self._put(mark, version, False)
+            except Exception as e:
+                if not fs.exists(p):
+                    raise
+                self._point(name, self._text(mark))
+                raise LostUpdate(name) from e
+        except LostUpdate:
+            fs.delete(self._fs(f"{self.root}/{name}/{version}")[1], True)
+            raise
+        self._point(name, version)
+
+    def _point(self, name: str, version: str) -> None:
+        fresh = f"{self.root}/{name}/.{version}"
+        self._put(fresh, version)
+        self._replace(self._fs(fresh)[1], self._fs(self._pointer(name))[1])
+
+    def append(self, name: str, df: DataFrame, version: str | None = None) -> int:
+        """Adds a batch of rows to a version (the current one), under a number of its own (column batch), and returns the number. Readers see all of it or nothing."""
+        home = self.folder(name, version)
+        fs, p = self._fs(home)
+        # where two writers choose one number, the rename of the second fails, and it takes the next
+        fresh = f"{home}/.{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
+        while True:
+            batch = 1 + max([int(n.removeprefix("batch=")) for x in fs.listStatus(p) if (n := x.getPath().getName()).startswith("batch=")], default=0)
+            to = self._fs(f"{home}/batch={batch}")[1]
+            if not fs.exists(to) and fs.rename(self._fs(fresh)[1], to):
+                return batch
+
+    def appended(self, name: str, schema: str, version: str | None = None) -> DataFrame:
+        """The batches of a version (the current one); schema is that of their rows."""
+        home = self.folder(name, version)
+        fs, p = self._fs(home)
+        batches = [x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("batch=")]
+        if not batches:
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        return self.spark.read.option("basePath", home).schema(f"{schema}, batch int").parquet(*batches)
 
     def drop(self, name: str) -> None:
         fs, p = self._fs(f"{self.root}/{name}")
         fs.delete(p, True)
+        self.seen.pop(name, None)
 
 
 def local_path(uri: str) -> str:

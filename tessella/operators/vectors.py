@@ -61,8 +61,12 @@ def nearest_files(files: DataFrame, chunks: DataFrame, vector: list[float], spec
             near = scan.join(F.broadcast(ids), "file_id", "left_semi")
     best = near.select("file_id", cosine_distance_to(F.col("embedding"), vector).alias("distance")).groupBy("file_id").agg(F.min("distance").alias("distance"))
     top = best.join(allowed.select("file_id", "path"), "file_id").orderBy("distance", "path").limit(k)
-    found = [r["file_id"] for r in top.collect()]  # at most k
-    chosen = best_chunks(distances(scan.filter(F.col("file_id").isin(found)), vector))
+    return hydrated(allowed, scan, vector, [r["file_id"] for r in top.collect()], k)  # at most k
+
+
+def hydrated(allowed: DataFrame, chunks: DataFrame, vector: list[float], found: list[int], k: int) -> DataFrame:
+    """The rows of some files, at most k, with their nearest chunks, in order."""
+    chosen = best_chunks(distances(chunks.filter(F.col("file_id").isin(found)), vector))
     return chosen.join(allowed.filter(F.col("file_id").isin(found)), "file_id").orderBy("distance", "path").limit(k)
 
 
@@ -117,7 +121,7 @@ def _scan(queries: pd.DataFrame, chunks: DataFrame, k: int, block: int) -> DataF
 
 
 def strategy(matching: int, threshold: int = 5000) -> str:
-    """How a planner would answer: empty, exact over few files, or an index with a filter after it."""
+    """How to answer: empty, exact over few files, or an index with a filter inside its scan."""
     return "empty" if matching == 0 else "brute_force" if matching < threshold else "post_filter"
 
 

@@ -239,6 +239,27 @@ def engine_search(s, d):
     return hits.select("path", "match_kind", F.lit(how["kind"]).alias("kind"))
 
 
+def _indexed(s, d) -> Engine:
+    e = _engine(s, d, "model-b")
+    e.settings = tables.put_setting(e.settings, "brute_force_threshold", "2")
+    e.build_index(8)
+    return e
+
+
+@query(f"""{_BEST_OF} SELECT path, 'content' AS match_kind, 'semantic' AS strategy FROM best JOIN files USING (file_id) ORDER BY round(best.distance, 9), path LIMIT 20""")
+def engine_search_indexed(s, d):
+    """A search without filters, by the stored index."""
+    hits, how = _indexed(s, d).search("where is the report about rivers", 20, now=NOW)
+    return hits.select("path", "match_kind", F.lit(how["strategy"]).alias("strategy"))
+
+
+@query(f"""{_BEST_OF} SELECT path, 'content' AS match_kind, 'post_filter' AS strategy FROM best JOIN files USING (file_id) WHERE extension IN ('.md', '.py') ORDER BY round(best.distance, 9), path LIMIT 20""")
+def engine_search_post_filter(s, d):
+    """A search by the stored index with a filter that leaves more files than are compared exactly."""
+    hits, how = _indexed(s, d).search("ext:md,py where is the report about rivers", 20, now=NOW)
+    return hits.select("path", "match_kind", F.lit(how["strategy"]).alias("strategy"))
+
+
 @query("SELECT CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE embedding_model IN ('', 'model-x')) = 0 THEN 'ERR_MODEL_MISMATCH' ELSE 'OK' END AS outcome FROM chunks")
 def engine_model_mismatch(s, d):
     try:
