@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +20,8 @@ from tessella.operators.index import VectorIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
 from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
-from tessella.sources import documents, folders
-from tessella.streaming import watch
+from tessella.sources import documents, folders, watching
+from tessella.streaming import timers, watch
 
 Embed = Callable[[str], list[float]]
 EmbedChunks = Callable[[DataFrame], DataFrame]
@@ -219,6 +222,8 @@ class Engine:
     def reset(self) -> None:
         """Forgets failures, and lets work under way end without result."""
         self.generation += 1
+        if self.store.exists("retry_events"):
+            self._tell(self.spark.createDataFrame([("reset", self.generation)], "kind string, generation long"))
         self.failed = self.spark.createDataFrame([], FAILURES)
 
     def add_folder(self, folder: str, embed_chunks: EmbedChunks | None = None, force: bool = False) -> DataFrame:
@@ -233,8 +238,13 @@ class Engine:
             return self.spark.createDataFrame([], "path string, code string")
         return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force)
 
-    def index_paths(self, paths: list[str], embed_chunks: EmbedChunks | None = None) -> DataFrame:
-        """Index some files; those that went meanwhile are passed by. Excluded names count below the folder that is indexed."""
+    def index_paths(self, paths: list[str], embed_chunks: EmbedChunks | None = None, tries: DataFrame | None = None) -> DataFrame:
+        """Index some files; those that went meanwhile are passed by. Excluded names count below the folder that is indexed.
+
+        tries (path, attempts) tells which attempt this is for a path; without it, it is the first, and retries that wait for the paths are dropped.
+        """
+        if tries is None and self.store.exists("retry_events"):
+            self._tell(self.spark.createDataFrame([(p,) for p in paths], "path string").withColumn("kind", F.lit("cancel")))
         within: dict[str, list[str]] = {}
         for p in folders.existing(self.spark, paths):
             known = [f.removeprefix("file://").rstrip("/") for f in self.folders]
@@ -242,11 +252,15 @@ class Engine:
         if not within:
             return self.spark.createDataFrame([], "path string, code string")
         found = [folders.walk(self.spark, f, self.ignored, ps) for f, ps in within.items()]
-        return self._index(reduce(DataFrame.unionByName, found), embed_chunks, False)
+        return self._index(reduce(DataFrame.unionByName, found), embed_chunks, False, tries)
 
-    def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool) -> DataFrame:
+    def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None = None) -> DataFrame:
         """In two phases: file rows without a hash, and no chunks; then chunks, and the hash last. What a lost job leaves
-        counts as incomplete, and is indexed again. Every step is written before the next uses it."""
+        counts as incomplete, and is indexed again. Every step is written before the next uses it.
+
+        Where embed_chunks adds a column error (a code, null for none), files with such a chunk have failed and stay incomplete; the others are
+        committed. Failures go to the retry coordinator; what that doesn't take (permanent ones, and the last attempt) is recorded.
+        """
         generation, store, known = self.generation, self.store, self.files.select("path", F.col("file_id").alias("__known"))
         stale = tables.stale(found, self.files, force).filter("stale").drop("stale").join(known, "path", "left")
         stale = stale.withColumn("file_id", F.coalesce("__known", "file_id")).drop("__known")
@@ -270,15 +284,66 @@ class Engine:
                 "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
                 "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
             })
-            embedded = store.write("embedded", new.select(*self.chunks.columns))  # the only call of the provider
+            codes = [F.col("error")] if "error" in new.columns else [F.lit(None).cast("string").alias("error")]
+            embedded = store.write("embedded", new.select(*self.chunks.columns, *codes))  # the only call of the provider
+            bad = embedded.filter("error is not null").groupBy("file_id").agg(F.min("error").alias("code"))
+            embedded = embedded.drop("error").join(bad, "file_id", "left_anti")
             self._commit(generation, chunks=tables.replace_chunks(self.chunks, done, embedded))
             self._indexed_too(None, embedded)
-        self._commit(generation, files=tables.set_hashes(self.files, done))
-        failures = staged.filter("error is not null").select("path", F.col("error").alias("code"))
+        else:
+            bad = self.spark.createDataFrame([], "file_id long, code string")
+        self._commit(generation, files=tables.set_hashes(self.files, done.join(bad, "file_id", "left_anti")))
+        failures = staged.filter("error is not null").select("path", F.col("error").alias("code")).unionByName(done.join(bad, "file_id").select("path", "code"))
+        tried = failures.withColumn("attempts", F.lit(1)) if tries is None else failures.join(tries.select("path", "attempts"), "path", "left").withColumn("attempts", F.coalesce("attempts", F.lit(1)))
+        failures = store.write("failures", tried)
+        self._take(failures.filter((reports.retry_class(F.col("code")) == "Permanent") | (F.col("attempts") >= self.MOST_ATTEMPTS)), generation)
+        waiting = failures.filter((reports.retry_class(F.col("code")) != "Permanent") & (F.col("attempts") < self.MOST_ATTEMPTS))
+        if not waiting.isEmpty():
+            self._tell(waiting.withColumns({"kind": F.lit("failed"), "generation": F.lit(generation).cast("long")}))
+        return failures.drop("attempts")
+
+    #: Attempts after which a failed file is recorded.
+    MOST_ATTEMPTS = 3
+
+    def _take(self, failures: DataFrame, generation: int) -> None:
+        """Records failures (path, code, attempts)."""
         seq = (self.failed.agg(F.max("seq")).first()[0] or 0) + 1
-        rows = failures.withColumns({"seq": F.lit(seq).cast("long") + F.monotonically_increasing_id(), "message": reports.label(F.col("code")), "attempts": F.lit(1), "last_failed_at": F.current_timestamp()})
+        rows = failures.withColumns({"seq": F.lit(seq).cast("long") + F.monotonically_increasing_id(), "message": reports.label(F.col("code")), "last_failed_at": F.current_timestamp()})
         self._commit(generation, failed=self.failed.unionByName(rows.select(*self.failed.columns)))
-        return failures
+
+    def _tell(self, events: DataFrame) -> None:
+        """Adds events for the retry coordinator; columns they lack are null."""
+        if not self.store.exists("retry_events"):
+            self.store.write("retry_events", self.spark.createDataFrame([], f"seq long, {timers.RETRY_EVENT}"))
+        have = set(events.columns)
+        fields = [tuple(f.split()) for f in timers.RETRY_EVENT.split(", ")]
+        rows = events.select(F.lit(time.time_ns()).alias("seq"), *[F.col(n).cast(t) if n in have else F.lit(None).cast(t).alias(n) for n, t in fields])
+        self.store.append("retry_events", rows)
+
+    def rate_limited(self, until: datetime) -> None:
+        """The provider asks for a pause: what waits for it is retried from then on, or when limit_lifted() is called."""
+        self._tell(self.spark.createDataFrame([("pause", until)], "kind string, until timestamp"))
+
+    def limit_lifted(self) -> None:
+        self._tell(self.spark.createDataFrame([("unpause",)], "kind string"))
+
+    def retries(self, checkpoint: str, embed_chunks: EmbedChunks | None = None, backoff: float = 1.0) -> StreamingQuery:
+        """Tries failed files again, each when its time has come; runs until it is stopped, and goes on from its checkpoint.
+
+        A retry of another generation than the engine's is dropped.
+        """
+        if not self.store.exists("retry_events"):
+            self._tell(self.spark.createDataFrame([], "kind string"))
+        home = self.store.folder("retry_events")
+        events = self.spark.readStream.schema(f"seq long, {timers.RETRY_EVENT}").option("recursiveFileLookup", True).parquet(home)
+
+        def step(jobs: DataFrame, _: int) -> None:
+            rows = [r for r in jobs.collect() if r["generation"] == self.generation]  # what came due in one batch
+            again = [(r["path"], r["attempts"]) for r in rows if r["action"] == "retry"]
+            if again:
+                self.index_paths([p for p, _ in again], embed_chunks, self.spark.createDataFrame(again, "path string, attempts int"))
+
+        return timers.coordinated(events, self.MOST_ATTEMPTS, backoff).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
 
     def pause(self) -> None:
         self.paused = True
@@ -301,10 +366,20 @@ class Engine:
         there = folders.stats(self.spark, folder, self.ignored)
         sure = there.filter("kind != ''").select("path", "modified_at").unionByName(there.filter("kind = ''").join(here.select("path"), "path", "left_semi").select("path", "modified_at"))
         diff = self.store.write("rescan", tables.rescan(sure, here))
-        self.add_folder(folder, embed_chunks)
+        if folder not in self.folders:
+            self.folders.append(folder)
+        # only what is new, changed or incomplete is opened; its names come to the driver in groups of a bounded size
+        sound = here.filter("content_hash <> ''").select("path", "modified_at")
+        fresh = self.store.write("rescan_paths", there.select("path", "modified_at").join(sound, ["path", "modified_at"], "left_anti").select("path"))
+        paths = (r["path"] for r in fresh.toLocalIterator())
+        while group := list(islice(paths, self.GROUP)):
+            self._index(folders.walk(self.spark, folder, self.ignored, group), embed_chunks, False)
         self.remove_paths(diff.filter("action = 'gone'").select("path"))
         return diff
 
+    #: Files that a rescan opens by one job.
+    GROUP = 10_000
+
     def remove_paths(self, gone: DataFrame) -> None:
         self._indexed_too(self.files.join(gone.select("path"), "path", "left_semi"))
         files, chunks, _ = tables.delete_files(self.files, self.chunks, gone)
@@ -322,6 +397,14 @@ class Engine:
         index = lambda paths: self.index_paths([r["path"] for r in paths.collect()], embed_chunks)  # noqa: E731 - the paths of one batch
         return watch.apply_events(events, index, self.remove_paths, checkpoint)
 
+    def watch_folder(self, folder: str, checkpoint: str, embed_chunks: EmbedChunks | None = None, delay: float = 0.5) -> StreamingQuery:
+        """Applies a folder's changes as they come, each path's last one delay seconds after it; runs until it is stopped, and goes on from its checkpoint."""
+        if folder not in self.folders:
+            self.folders.append(folder)
+        events = watch.file_events(watching.changes(self.spark, folder, f"{self.store.root}/snapshots-{zlib.crc32(folder.encode()):08x}", ignored=self.ignored))
+        index = lambda paths: self.index_paths([r["path"] for r in paths.collect()], embed_chunks)  # noqa: E731 - the paths of one batch
+        return watch.apply_events(timers.debounced(events, delay), index, self.remove_paths, checkpoint, every="0 seconds")
+
     def tick(self, report: Callable[[dict], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
         """Reports the status every so often."""
         return watch.ticker(self.spark, every, lambda: report(self.status().first().asDict()), checkpoint)

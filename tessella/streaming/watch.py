@@ -28,15 +28,18 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", lateness: str =
     return sessions.select("path", "type", "ts", "n")
 
 
-def apply_events(events: DataFrame, index: Callable[[DataFrame], None], remove: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Each batch's last event of a path: created and modified paths go to index, deleted ones to remove."""
+def apply_events(events: DataFrame, index: Callable[[DataFrame], None], remove: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Each batch's last event of a path: created and modified paths go to index, deleted ones to remove. Once over what there is, or every so often until stopped."""
 
     def step(batch: DataFrame, _: int) -> None:
+        if every and batch.isEmpty():
+            return
         last = batch.groupBy("path").agg(F.max_by("type", "ts").alias("type"))
         index(last.filter(F.col("type") != "deleted").select("path"))
         remove(last.filter(F.col("type") == "deleted").select("path"))
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def ticker(spark: SparkSession, every: str, act: Callable[[], None], checkpoint: str) -> StreamingQuery:

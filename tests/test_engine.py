@@ -160,6 +160,65 @@ def test_streams_and_rescans_feed_the_index(engine, corpus, tmp_path, spark):
     assert "long.txt" not in names(engine.files)
 
 
+def eventually(check, seconds=90):
+    end = time.monotonic() + seconds
+    while not check():
+        assert time.monotonic() < end
+        time.sleep(0.2)
+
+
+def test_failed_files_are_tried_again(engine, corpus, tmp_path, spark):
+    corpus("bad.docx", b"no archive")
+    seen = spark.sparkContext.accumulator(0)
+
+    def flaky(pieces):
+        def run(frames):
+            for rows in frames:
+                seen.add(1)
+                boats = rows["text"].str.contains("boats")
+                yield rows.assign(embedding=[vec(t) for t in rows["text"]], error=boats.map({True: "ERR_EMBED_FAILED", False: None}).astype(object))
+
+        return pieces.mapInPandas(run, "file_id long, chunk_index int, text string, embedding array<float>, error string")
+
+    got = engine.add_folder(f"file://{tmp_path}/corpus", flaky)
+    assert {(r["path"].rpartition("/")[2], r["code"]) for r in got.collect()} == {("b.txt", "ERR_EMBED_FAILED"), ("bad.docx", "ERR_EXTRACTION_FAILED")}
+    assert names(engine.failures()) == ["bad.docx"] and names(engine.files.filter("content_hash = ''")) == ["b.txt"]  # the others are committed
+    q = engine.retries(f"{tmp_path}/retries", flaky, 0.2)
+    eventually(lambda: engine.failures().count() == 2)
+    q.stop()
+    assert {r["path"].rpartition("/")[2]: r["attempts"] for r in engine.failures().collect()} == {"bad.docx": 1, "b.txt": 3}
+    engine.reset()
+    engine.index_paths([f"{tmp_path}/corpus/boats/b.txt"], flaky)
+    q = engine.retries(f"{tmp_path}/retries", engine.embed_chunks, 0.2)
+    eventually(lambda: engine.files.filter("content_hash = ''").count() == 0)
+    q.stop()
+    assert engine.failures().count() == 0 and "b.txt" in names(engine.files)
+
+
+def test_a_watched_folder(engine, corpus, tmp_path):
+    q = engine.watch_folder(f"file://{tmp_path}/corpus", f"{tmp_path}/watching", engine.embed_chunks, 0.2)
+    try:
+        eventually(lambda: q.lastProgress is not None)
+        corpus("later/new.txt", b"cats again")
+        eventually(lambda: "new.txt" in names(engine.files))
+        os.remove(f"{tmp_path}/corpus/later/new.txt")
+        eventually(lambda: "new.txt" not in names(engine.files))
+    finally:
+        q.stop()
+
+
+def test_a_rescan_opens_what_changed(engine, corpus, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/corpus"
+    engine.add_folder(root, engine.embed_chunks)
+    opened, real = [], folders.walk
+    monkeypatch.setattr(folders, "walk", lambda spark, folder, patterns, paths=None: opened.append(sorted(p.rpartition("/")[2] for p in paths)) or real(spark, folder, patterns, paths))
+    corpus("cats/a.txt", b"cats wake", at=1_700_000_000)
+    corpus("boats/c.txt", b"boats")
+    engine.rescan(root, engine.embed_chunks)
+    assert opened == [["a.txt", "c.txt"]] and engine.files.filter("content_hash = ''").count() == 0
+    assert names(engine.files) == ["a.txt", "b.txt", "c.txt", "long.txt"]
+
+
 def test_large_files_are_not_opened(spark, corpus, tmp_path, monkeypatch):
     monkeypatch.setattr(folders, "MOST_BYTES", 1000)
     corpus("big.pdf", b"x" * 2000)
