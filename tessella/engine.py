@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tessella.functions.text import byte_chunks, document_chunks, preview, route
 from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
 from tessella.operators.index import VectorIndex
+from tessella.operators.postings import NameIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
 from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
@@ -80,6 +81,7 @@ class Engine:
         self.generation, self.paused, self.waiting, self.changes = 0, False, [], 0
         self.calls: list[tuple[int, bool]] = []
         self._root, self._store, self._index_ = root, None, None
+        self.names: NameIndex | None = None
 
     # --- queries
 
@@ -144,7 +146,7 @@ class Engine:
         if kind == "content":
             return ranking.blend("content", near, near, k), how
         pool = self.files.filter(where(spec)) if filter_names else self.files
-        names = ranking.ranked(filenames.search(pool, stripped, k), F.desc("fuzzy_score"), F.desc("modified_at"), "path")
+        names = ranking.ranked(filenames.search(pool, stripped, k, index=self.names), F.desc("fuzzy_score"), F.desc("modified_at"), "path")
         return ranking.blend(kind, near if near is not None else names, names, k), how
 
     #: Candidates of a search for each wanted file, and vectors that cells are read for in the place of one candidate of a graph.
@@ -188,8 +190,11 @@ class Engine:
         """Writes tables and takes them up, unless the index was reset meanwhile or another engine wrote them first (tables.LostUpdate)."""
         if generation != self.generation:
             raise StaleGeneration
+        before = self.files
         for name, df in new.items():
             setattr(self, name, self.store.write(name, df))
+        if "files" in new:
+            self._renamed_too(before, self.files)
         self.changes += 1
 
     # --- the vector index
@@ -210,6 +215,19 @@ class Engine:
         self._indexed = self.model
         self.store.write("index_state", self.spark.createDataFrame([(self.model, version)], "model string, version string"))
 
+    def build_names(self) -> None:
+        """Stored postings of the file names, kept up to date from here on, which searches by name read in the place of all files."""
+        self.names = NameIndex(self.spark, self.store.root, store=self.store)
+        self.names.build(self.files)
+
+    def _renamed_too(self, before: DataFrame, now: DataFrame) -> None:
+        """The name index after a commit: files that were (before) and are there now; only what differs in a name counts."""
+        if self.names is None:
+            return
+        key = ["file_id", *filenames.WEIGHTS]
+        same = before.select(*key).join(now.select(*key), key, "left_semi").select("file_id")
+        self.names.update(now.join(same, "file_id", "left_anti"), before.join(same, "file_id", "left_anti"))
+
     def _indexed_too(self, gone: DataFrame | None, new: DataFrame | None = None) -> None:
         """The chunks of the files in gone (file_id) leave the index, new chunks enter it."""
         if (index := self.vector_index()) is None:
@@ -483,7 +501,7 @@ class Engine:
         for name in ("files", "chunks", "failed", "settings"):
             if store.exists(name):
                 setattr(self, name, store.read(name))
-        self._index_ = None
+        self._index_, self.names = None, None
         if self._root is None or root.rstrip("/") == self._root.rstrip("/"):
             self._root, self._store = root, store
             state = store.read("index_state").first() if store.exists("index_state") and store.exists("chunks") else None
