@@ -238,8 +238,9 @@ class Engine:
             index.add(vectors.current_model(new, self.model).filter(F.col("embedding").isNotNull()))
 
     def reset(self) -> None:
-        """Forgets failures, and lets work under way end without result."""
+        """Forgets failures and retries, and stops work under way, which ends without result."""
         self.generation += 1
+        self.spark.sparkContext.cancelJobsWithTag(self._tag(self.generation - 1))
         if self.store.exists("retry_events"):
             self._tell(self.spark.createDataFrame([("reset", self.generation)], "kind string, generation long"))
         self.failed = self.spark.createDataFrame([], FAILURES)
@@ -273,13 +274,29 @@ class Engine:
         return self._index(reduce(DataFrame.unionByName, found), embed_chunks, False, tries)
 
     def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None = None) -> DataFrame:
+        """_indexed_in under the generation's tag: a reset in another thread stops the job that runs, and StaleGeneration is raised here."""
+        generation = self.generation
+        self.spark.sparkContext.addJobTag(self._tag(generation))
+        try:
+            return self._indexed_in(generation, found, embed_chunks, force, tries)
+        except Exception as e:
+            if generation != self.generation and not isinstance(e, StaleGeneration):
+                raise StaleGeneration from e
+            raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self._tag(generation))
+
+    def _tag(self, generation: int) -> str:
+        return f"index-{id(self):x}-{generation}"
+
+    def _indexed_in(self, generation: int, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None) -> DataFrame:
         """In two phases: file rows without a hash, and no chunks; then chunks, and the hash last. What a lost job leaves
         counts as incomplete, and is indexed again. Every step is written before the next uses it.
 
         Where embed_chunks adds a column error (a code, null for none), files with such a chunk have failed and stay incomplete; the others are
         committed. Failures go to the retry coordinator; what that doesn't take (permanent ones, and the last attempt) is recorded.
         """
-        generation, store, known = self.generation, self.store, self.files.select("path", F.col("file_id").alias("__known"))
+        store, known = self.store, self.files.select("path", F.col("file_id").alias("__known"))
         stale = tables.stale(found, self.files, force).filter("stale").drop("stale").join(known, "path", "left")
         stale = stale.withColumn("file_id", F.coalesce("__known", "file_id")).drop("__known")
         is_document = (F.col("file_type") == "document") & F.col("error").isNull()
@@ -297,6 +314,8 @@ class Engine:
         self._indexed_too(done)
         self._commit(generation, files=tables.upsert_files(self.files, pending), chunks=tables.replace_chunks(self.chunks, done))
         if embed_chunks:
+            if generation != self.generation:  # before what costs most
+                raise StaleGeneration
             texts = done.select("file_id", F.explode("pieces").alias("c")).select("file_id", "c.chunk_index", "c.text")
             new = embed_chunks(texts).withColumns({
                 "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from datetime import datetime
 
@@ -14,13 +15,15 @@ from tessella.engine import Engine
 from tessella.functions import scores, text
 from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
 from tessella.operators.index import VectorIndex
+from tessella.operators.postings import NameIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
 from tessella.plans.dates import resolve
-from tessella.queries import NOW, query
+from tessella.queries import NOW, _bm25, query
+from tessella.schema import RETRY
 from tessella.sources import documents, folders
 from tessella.sources import tables as src
-from tessella.streaming import watch
+from tessella.streaming import timers, watch
 
 
 def _values(rows: list[tuple]) -> str:
@@ -188,6 +191,19 @@ def filename_figures(s, d):
     return filenames.adjusted(filenames.figures(part(0, 1, 2)), part(3, 4), part(0))
 
 
+@query(f"{_bm25('doc_12')} SELECT file_id, round(raw, 6) AS raw, round(1 / (1 + greatest(0, -raw)), 6) AS score FROM b")
+def filename_bm25_postings(s, d):
+    """The scores of a phrase by stored postings, built of some files, with others added, replaced and taken out."""
+    f = src.files(s, d)
+    index = NameIndex(s, tables.scratch(s, "names"))
+    wrong = f.filter("file_id % 5 < 2").withColumn("basename", F.when(F.col("file_id") % 5 == 0, F.lit("doc_12 doc_12")).otherwise(F.col("basename")))
+    extra = f.filter("file_id % 7 = 0").withColumn("file_id", -1 - F.col("file_id"))
+    index.build(wrong.unionByName(extra))
+    index.update(added=f.filter("file_id % 5 >= 2"), removed=extra)
+    index.update(added=f.filter("file_id % 5 = 0"), removed=wrong.filter("file_id % 5 = 0"))
+    return filenames.bm25(f, "doc_12", index).select("file_id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
+
+
 # --- the stored index
 
 _KEPT = """
@@ -325,6 +341,80 @@ def retries_due(s, d):
     return watch.due_retries(queue, "2024-01-15 00:00:00", 1, f.filter(F.col("path").endswith("7")), True).select("seq")
 
 
+def _ran(df: DataFrame, root: str, schema: str, done=None) -> DataFrame:
+    """What a stream gives: over all there is, or until done(query)."""
+    out = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append")
+    stream = (out.trigger(processingTime="0 seconds") if done else out.trigger(availableNow=True)).start()
+    try:
+        if done:
+            done(stream)
+        else:
+            stream.awaitTermination()
+    finally:
+        stream.stop()
+    return df.sparkSession.read.schema(schema).parquet(f"{root}/out")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, (ts, event_type)) AS type, epoch_us(max(ts)) AS us, count(*) AS n FROM events GROUP BY user_id""", relations=False)
+def debounce_timers(s, d):
+    """The events as one burst: each path's last one leaves by its timer, with no later event in the stream."""
+    events = _stream(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("type"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _ran(timers.debounced(events, 1.0), tables.scratch(s, "debounce"), "path string, type string, ts timestamp, n long", lambda q: timers.settled(q, 300))
+    return out.select("path", "type", F.unix_micros("ts").alias("us"), "n")
+
+
+@query("""+ f AS (SELECT seq, path, code, 1 + seq % 4 AS attempts, code IN ('ERR_EMBED_FAILED', 'ERR_HNSW_ADD', 'ERR_STORE_WRITE', 'ERR_RATE_LIMITED') AND 1 + seq % 4 < 3 AS again FROM failures)
+SELECT path, code, CAST(attempts AS INTEGER) AS attempts, 'record' AS action FROM f WHERE NOT again
+UNION ALL SELECT path, code, CAST(attempts + 1 AS INTEGER), 'retry' FROM (SELECT path, max_by(code, seq) AS code, max_by(attempts, seq) AS attempts, max_by(again, seq) AS again FROM f GROUP BY path) WHERE again""")
+def retries_coordinated(s, d):
+    """All failures at once through the retry coordinator: what is recorded, and the path's last one where that is tried again."""
+    e = _stream(s, d, "events").filter("event_id is not null")
+    codes = F.array(*map(F.lit, sorted(RETRY)))
+    failed = e.select(
+        F.col("event_id").alias("seq"), F.lit("failed").alias("kind"), F.concat(F.lit("/corpus/user_"), F.col("user_id").cast("string")).alias("path"), F.element_at(codes, (F.col("event_id") % 9 + 1).cast("int")).alias("code"),
+        (1 + F.col("event_id") % 4).cast("int").alias("attempts"), F.lit(1).cast("long").alias("generation"), F.lit(None).cast("timestamp").alias("until"),
+    )
+    root = tables.scratch(s, "retries")
+    marks = []
+
+    def quiet(q) -> None:  # its state holds the generation, so it is never empty
+        until = time.monotonic() + 300
+        while time.monotonic() < until and len(marks) < 20:
+            p = q.lastProgress
+            marks.extend([p["batchId"]] if p and p["batchId"] > 0 and not p["numInputRows"] and p["batchId"] not in marks else [])
+            if p and time.monotonic() > until - 300 + 8 and len(marks) >= 3:
+                break
+            time.sleep(0.1)
+
+    return _ran(timers.coordinated(failed, backoff=0.1, parts=4), root, timers.JOB, quiet).select("path", "code", "attempts", "action")
+
+
+_KEEP = 20
+
+
+@query(f"""WITH RECURSIVE failures AS (SELECT event_id AS seq, '/corpus/user_' || user_id AS path,
+    ['ERR_EMBED_COUNT_MISMATCH', 'ERR_EMBED_FAILED', 'ERR_EXTRACTION_FAILED', 'ERR_FILE_TOO_LARGE', 'ERR_FILE_UNREADABLE', 'ERR_HNSW_ADD', 'ERR_RATE_LIMITED', 'ERR_STORE_WRITE', 'ERR_UNSUPPORTED_FORMAT'][event_id % 9 + 1] AS code FROM events),
+f AS (SELECT path, row_number() OVER (ORDER BY seq) AS k FROM failures),
+r AS (
+  SELECT k, [{{'path': path, 'place': 0::BIGINT}}] AS kept, 1::BIGINT AS next FROM f WHERE k = 1
+  UNION ALL
+  SELECT f.k, CASE WHEN len(list_filter(r.kept, lambda x: x.path = f.path)) > 0 THEN r.kept
+    ELSE list_append(CASE WHEN len(r.kept) = {_KEEP} THEN r.kept[2:] ELSE r.kept END, {{'path': f.path, 'place': r.next}}) END,
+    r.next + CASE WHEN len(list_filter(r.kept, lambda x: x.path = f.path)) > 0 THEN 0 ELSE 1 END
+  FROM r JOIN f ON f.k = r.k + 1
+), l AS (SELECT unnest(kept) AS e FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))
+SELECT e.path AS path, e.place AS place, c.code AS code FROM l JOIN (SELECT path, max_by(code, seq) AS code FROM failures GROUP BY path) c ON c.path = e.path""", relations=False)
+def failure_registry_stream(s, d):
+    """The failures as a stream through the registry, first in, first out at {_KEEP} paths; what stands at its end."""
+    codes = F.array(*map(F.lit, sorted(RETRY)))
+    failed = _stream(s, d, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("/corpus/user_"), F.col("user_id").cast("string")).alias("path"), F.element_at(codes, (F.col("event_id") % 9 + 1).cast("int")).alias("code"),
+        F.lit("").alias("message"), F.lit(1).alias("attempts"), F.col("ts").cast("timestamp").alias("last_failed_at"),
+    )
+    changes = _ran(timers.registry_changes(failed, _KEEP), tables.scratch(s, "registry"), timers.CHANGE)
+    return timers.standing(changes).select("path", "place", "code")
+
+
 # --- the query language: golden tables, dealt over the turns of the conversations
 
 _DAY = lambda *ymd: int((datetime(*ymd) - datetime(1970, 1, 1)).total_seconds())

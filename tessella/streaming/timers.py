@@ -154,6 +154,62 @@ def coordinated(events: DataFrame, most: int = 3, backoff: float = 1.0, parts: i
     return given.groupBy("part").transformWithState(Retries(most, backoff), JOB, "append", "ProcessingTime")
 
 
+# --- admission
+
+class Leases(StatefulProcessor):
+    """The calls that a provider's clients may make: at most most in any window of so many milliseconds, in order of request."""
+
+    def __init__(self, most: int, window: int):
+        self.most, self.window = most, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.queue = handle.getMapState("queue", "place long", "id string")
+        self.state = handle.getValueState("state", "first long, next long, paused long, loose long, held array<bigint>")
+
+    def _admit(self, provider: str, now: int) -> Iterator[Row]:
+        first, next_, paused, loose, held = self.state.get() if self.state.exists() else (0, 0, 0, 0, [])
+        # what was let go before was called since; now is the latest that can have been
+        held = [t for t in held if t > now - self.window] + [now] * loose
+        free = max(0, self.most - len(held)) if now >= paused else 0
+        loose = min(free, next_ - first)
+        for place in range(first, first + loose):
+            yield Row(provider=provider, id=self.queue.getValue((place,))[0])
+            self.queue.removeKey((place,))
+        first += loose
+        if not (first < next_ or loose or held or now < paused):
+            self.state.clear()
+            return
+        self.state.update((first, next_, paused, loose, held))
+        self.handle.registerTimer(now + 1 if loose else max(now + 1, paused, min(held, default=now) + self.window if held else now + 1))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        first, next_, paused, loose, held = self.state.get() if self.state.exists() else (0, 0, 0, 0, [])
+        for r in sorted(rows, key=lambda r: (r["seq"], r["id"] or "")):
+            if r["until"] is not None:
+                paused = max(paused, r["until"])
+            if r["id"] is not None:
+                self.queue.updateValue((next_,), (r["id"],))
+                next_ += 1
+        self.state.update((first, next_, paused, loose, list(held)))
+        yield from self._admit(key[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        yield from self._admit(key[0], timerValues.getCurrentProcessingTimeInMs())
+
+
+def leased(requests: DataFrame, most: int = 55, seconds: float = 60.0) -> DataFrame:
+    """A stream of requests (provider, id, seq, until) as those that may be sent now (provider, id), in order of seq, each once.
+
+    A provider's requests are one key, as its limit is one; the key holds ids alone, waiting ones in the state store and not in memory. A row with until (timestamp) is the
+    provider's own wish: no request leaves before that time, the latest counts; its id may be null. The sink must have sent a batch's requests when it
+    returns, as foreachBatch does: a batch's calls count as made when the next one begins, so that in no window of so many seconds more than most are made, by however many tasks.
+    """
+    with_timers(requests.sparkSession)
+    given = requests.select("provider", "id", "seq", F.unix_millis(F.col("until").cast("timestamp")).alias("until"))
+    return given.groupBy("provider").transformWithState(Leases(most, int(seconds * 1000)), "provider string, id string", "append", "ProcessingTime")
+
+
 # --- the registry of failures
 
 class Registry(StatefulProcessor):

@@ -2,6 +2,7 @@
 
 import os
 import random
+import threading
 import time
 
 import numpy as np
@@ -195,6 +196,33 @@ def test_failed_files_are_tried_again(engine, corpus, tmp_path, spark):
     assert engine.failures().count() == 0 and "b.txt" in names(engine.files)
 
 
+def test_a_reset_stops_a_running_job(engine, corpus, tmp_path):
+    outcome, mark = [], tmp_path / "began"
+
+    def slow(pieces):
+        def run(frames):
+            for rows in frames:
+                mark.touch()
+                time.sleep(300)
+                yield rows.assign(embedding=[[1.0]] * len(rows))
+
+        return pieces.mapInPandas(run, "file_id long, chunk_index int, text string, embedding array<float>")
+
+    def work():
+        try:
+            engine.add_folder(f"file://{tmp_path}/corpus", slow)
+        except Exception as e:
+            outcome.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    eventually(mark.exists)
+    engine.reset()
+    t.join(60)
+    assert not t.is_alive() and isinstance(outcome[0], StaleGeneration)
+    assert engine.chunks.count() == 0 and engine.files.filter("content_hash = ''").count() == 3
+
+
 def test_a_watched_folder(engine, corpus, tmp_path):
     q = engine.watch_folder(f"file://{tmp_path}/corpus", f"{tmp_path}/watching", engine.embed_chunks, 0.2)
     try:

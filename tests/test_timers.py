@@ -146,3 +146,34 @@ def test_existing_files_and_a_null_folder(spark, tmp_path):
     assert reader.latestOffset() == reader.latestOffset() == {"snapshot": 1}
     with pytest.raises(KeyError):
         watching.FolderReader({"path": "x"})
+
+
+def test_a_shared_limit_holds_over_all_tasks(spark, tmp_path):
+    """A provider that counts: never more than six calls in two seconds, whatever the number of tasks; and none in its own pause."""
+    feed = Feed(spark, tmp_path / "in", "provider string, id string, seq long, until timestamp")
+    feed.add(*[("p", f"r{k}", k, None) for k in range(20)])
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def call(frames):
+        for rows in frames:
+            for name in rows["id"]:
+                (calls / f"{time.time():.6f} {name}").touch()
+            yield rows
+
+    def send(batch, _):
+        batch.repartition(8).mapInPandas(call, "provider string, id string").write.format("noop").mode("overwrite").save()
+
+    q = timers.leased(feed.stream(), 6, 2.0).writeStream.foreachBatch(send).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+    end = time.monotonic() + 120
+    while len(os.listdir(calls)) < 20 and time.monotonic() < end:
+        time.sleep(0.2)
+    until = time.time() + 4
+    feed.add(("p", None, 100, __import__("datetime").datetime.fromtimestamp(until)), *[("p", f"later{k}", 101 + k, None) for k in range(3)])
+    while len(os.listdir(calls)) < 23 and time.monotonic() < end:
+        time.sleep(0.2)
+    q.stop()
+    made = sorted((float(n.partition(" ")[0]), n.partition(" ")[2]) for n in os.listdir(calls))
+    assert sorted(n for _, n in made) == sorted([f"r{k}" for k in range(20)] + [f"later{k}" for k in range(3)])
+    assert all(sum(t <= u < t + 2 for u, _ in made) <= 6 for t, _ in made)
+    assert all(t >= until - 0.01 for t, n in made if n.startswith("later"))
