@@ -257,6 +257,19 @@ class Engine:
             return self.spark.createDataFrame([], "path string, code string")
         return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force)
 
+    def ignored_folders(self) -> list[str]:
+        """The names of folders that indexing leaves out."""
+        return sorted(self.ignored)
+
+    def ignore_folder(self, name: str) -> None:
+        """Leaves folders of that name (a pattern with * and ?) out from now on; what is indexed of them stays until it is removed or rescanned."""
+        if not name.strip() or "/" in name:
+            raise ConfigInvalid("a folder's name, without its path")
+        self.ignored = tuple(dict.fromkeys((*self.ignored, name.strip())))
+
+    def unignore_folder(self, name: str) -> None:
+        self.ignored = tuple(n for n in self.ignored if n != name)
+
     def index_paths(self, paths: list[str], embed_chunks: EmbedChunks | None = None, tries: DataFrame | None = None) -> DataFrame:
         """Index some files; those that went meanwhile are passed by. Excluded names count below the folder that is indexed.
 
@@ -509,6 +522,8 @@ class Engine:
         store = self.store if root.rstrip("/") == (self._root or "").rstrip("/") else tables.Store(self.spark, root)
         for name in ("files", "chunks", "failed", "settings"):
             store.write(name, getattr(self, name))
+        names = [("folder", n) for n in self.folders] + [("ignored", n) for n in self.ignored]
+        store.write("folder_names", self.spark.createDataFrame(names, "kind string, name string"))
         if store is self._store and self.vector_index() is not None:
             self._index_state(store.version("chunks"))
         migrations.stamp(store)
@@ -520,6 +535,10 @@ class Engine:
         for name in ("files", "chunks", "failed", "settings"):
             if store.exists(name):
                 setattr(self, name, store.read(name))
+        if store.exists("folder_names"):
+            names = store.read("folder_names").collect()
+            self.folders = [r["name"] for r in names if r["kind"] == "folder"]
+            self.ignored = tuple(r["name"] for r in names if r["kind"] == "ignored")
         self._index_, self.names = None, None
         if self._root is None or root.rstrip("/") == self._root.rstrip("/"):
             self._root, self._store = root, store

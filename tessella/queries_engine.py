@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import time
 import zipfile
 from datetime import datetime
@@ -16,7 +17,7 @@ from tessella.functions import scores, text
 from tessella.operators import filenames, migrations, ranking, reports, tables, vectors
 from tessella.operators.index import VectorIndex
 from tessella.operators.postings import NameIndex
-from tessella.plans import parser
+from tessella.plans import parser, understanding
 from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
 from tessella.plans.dates import resolve
 from tessella.queries import NOW, _bm25, query
@@ -581,8 +582,30 @@ def highlight_split(s, d):
     return src.table(s, d, "part").select("p_partkey", shown.alias("shown"))
 
 
-@query(f"SELECT * FROM (VALUES {_values([('image', 'image', 0), ('imgae', 'image', 1), ('vidoe', 'video', 1), ('documnet', 'document', 1), ('', 'pdf', 3), ('ca', 'abc', 3), ('text', 'code', 4)])}) AS v(a, b, distance)", relations=False)
+@query("SELECT p_partkey, damerau_levenshtein(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) AS distance FROM part", relations=False)
 def typo_osa(s, d):
-    words = [("image", "image"), ("imgae", "image"), ("vidoe", "video"), ("documnet", "document"), ("", "pdf"), ("ca", "abc"), ("text", "code")]
-    return s.createDataFrame(words, "a string, b string").withColumn("distance", scores.edits("a", "b"))
+    """The distance of each name's first two words."""
+    w = F.split("p_name", " ")
+    return src.table(s, d, "part").select("p_partkey", scores.edits(F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))).cast("long").alias("distance"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 23 = 5 THEN 'plain words' ELSE 'find me all the notes on topic ' || (conv_id * 7 + turn) % 23 END AS q, (conv_id * 7 + turn) % 23 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 5 THEN 'plain words' WHEN k = 11 THEN q ELSE 'topic ' || k END AS semantic, CASE WHEN k = 5 THEN 'Grammar' WHEN k = 11 THEN 'RateLimited' ELSE 'OK' END AS outcome,
+  CASE WHEN k IN (5, 11) THEN 'grammar' WHEN k < 9 THEN 'cache' ELSE 'llm' END AS source FROM t""", relations=False)
+def queries_understood(s, d):
+    """Every turn as a query to a model, after some were asked before: what was answered, and what came from the cache."""
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(23))
+    q = F.when(k == 5, "plain words").otherwise(F.concat(F.lit("find me all the notes on topic "), k.cast("string")))
+    asked = src.table(s, d, "conversations").select("conv_id", "turn", q.alias("q"))
+
+    def model(prompt: str, schema: dict, temperature: float, left: float) -> str:
+        topic = prompt.partition("topic ")[2].split("\n")[0]
+        if topic == "11":
+            raise ConnectionRefusedError
+        return json.dumps({n: [] for n in schema["required"]} | {"semantic_query": f"topic {topic}"})
+
+    store = tables.Store(s, tables.scratch(s, "understood"))
+    understanding.understand(asked.filter(k < 9), "q", model, store, NOW, budget=60.0)
+    out = understanding.understand(asked, "q", model, store, NOW, budget=60.0)
+    return out.select("conv_id", "turn", F.get_json_object("spec", "$.semantic_query").alias("semantic"), "outcome", "source")
 

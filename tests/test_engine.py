@@ -223,6 +223,23 @@ def test_a_reset_stops_a_running_job(engine, corpus, tmp_path):
     assert engine.chunks.count() == 0 and engine.files.filter("content_hash = ''").count() == 3
 
 
+def test_ignored_folders(engine, corpus, tmp_path, spark):
+    engine.ignore_folder("boats")
+    engine.ignore_folder("boats")
+    assert engine.ignored_folders().count("boats") == 1
+    with pytest.raises(ConfigInvalid):
+        engine.ignore_folder("a/b")
+    engine.add_folder(f"file://{tmp_path}/corpus")
+    assert names(engine.files) == ["a.txt", "long.txt"]
+    engine.save(f"file://{tmp_path}/saved")
+    again = Engine(spark, root=f"file://{tmp_path}/other")
+    again.load(f"file://{tmp_path}/saved")
+    assert "boats" in again.ignored_folders() and again.folders == [f"file://{tmp_path}/corpus"]
+    again.unignore_folder("boats")
+    again.add_folder(f"file://{tmp_path}/corpus")
+    assert names(again.files) == ["a.txt", "b.txt", "long.txt"]
+
+
 def test_a_watched_folder(engine, corpus, tmp_path):
     q = engine.watch_folder(f"file://{tmp_path}/corpus", f"{tmp_path}/watching", engine.embed_chunks, 0.2)
     try:
