@@ -22,7 +22,7 @@ from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
 from tessella.plans.dates import resolve
 from tessella.queries import NOW, _bm25, query
 from tessella.schema import RETRY
-from tessella.sources import documents, folders
+from tessella.sources import documents, folders, stored
 from tessella.sources import tables as src
 from tessella.streaming import timers, watch
 
@@ -287,6 +287,16 @@ def engine_model_mismatch(s, d):
     return s.createDataFrame([(outcome,)], "outcome string")
 
 
+@query("SELECT file_id, path FROM files WHERE size_bytes > 500 AND starts_with(path, '/corpus/src1') AND extension IN ('.md', '.py')")
+def stored_source(s, d):
+    """A stored table read as a data source, by a view in SQL whose filters are pushed."""
+    store = tables.Store(s, tables.scratch(s, "stored"))
+    store.write("files", src.files(s, d).repartitionByRange(4, "path").sortWithinPartitions("path"))
+    stored.register(s)
+    s.sql(f"CREATE OR REPLACE TEMPORARY VIEW stored_files USING tessella OPTIONS (root '{store.root}', table 'files')")
+    return s.sql("SELECT file_id, path FROM stored_files WHERE size_bytes > 500 AND path LIKE '/corpus/src1%' AND extension IN ('.md', '.py')")
+
+
 # --- streams
 
 
