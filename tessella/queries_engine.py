@@ -22,7 +22,7 @@ from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
 from tessella.plans.dates import resolve
 from tessella.queries import NOW, _bm25, query
 from tessella.schema import RETRY
-from tessella.sources import documents, folders, stored
+from tessella.sources import documents, folders, pdf, stored
 from tessella.sources import tables as src
 from tessella.streaming import timers, watch
 
@@ -81,20 +81,45 @@ def file_preview(s, d):
     return src.table(s, d, "pages").select("page_id", F.substring(text.preview(F.col("html").cast("binary")), 1, 2000).alias("preview"))
 
 
-_PLAIN = "trim(regexp_replace(substr(coalesce(text, ''), 1, 300), '[^A-Za-z]+', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
 
 
 def _plain(s, d) -> DataFrame:
-    return src.table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 300), "[^A-Za-z]+", " ")).alias("x"))
+    return src.table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")).alias("x"))
 
 
-@query(f"SELECT doc_id, CASE WHEN x = '' THEN '' ELSE x || chr(10) || 'ABC' END AS text, 1 + doc_id % 3 AS pages FROM (SELECT doc_id, {_PLAIN} AS x FROM documents)", relations=False)
+@query(f"SELECT doc_id, CASE WHEN x = '' THEN '' WHEN length(x) + 1 >= 8000 THEN substr(x, 1, 8000) ELSE substr(x || chr(10) || 'ABC', 1, 8000) END AS text, 1 + doc_id % 3 AS pages FROM (SELECT doc_id, {_PLAIN} AS x FROM documents)", relations=False)
 def pdf_text(s, d):
     shown = F.concat(F.lit("%PDF-1.4\n"), F.repeat(F.lit("/Type /Page \n"), (1 + F.col("doc_id") % 3).cast("int")), F.lit("/Type /Pages\n("), "x", F.lit(") Tj\n"), F.when(F.col("x") == "", "").otherwise("<414 243> Tj"))
     files = _plain(s, d).select(F.col("doc_id").alias("file_id"), F.lit(".pdf").alias("extension"), shown.cast("binary").alias("content"))
     return documents.extract(files).select(F.col("file_id").alias("doc_id"), "text", F.col("pages").cast("long").alias("pages"))
 
 
+@query("""WITH n AS (SELECT doc_id, coalesce(lang, '-') AS lang, 1 + doc_id % 17 AS pages FROM documents),
+w AS (SELECT *, unnest(range(0, CASE WHEN pages > 6 THEN 1 + CAST(ceil((pages - 6) / 5.0) AS BIGINT) ELSE 1 END)) AS i FROM n)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 5 + 1 AS INTEGER) AS page_start, CAST(least(i * 5 + 6, pages) AS INTEGER) AS page_end, least(i * 5 + 6, pages) - i * 5 AS pages,
+  array_to_string(list_transform(range(i * 5 + 1, least(i * 5 + 6, pages) + 1), lambda p: 'page ' || p || ' of ' || doc_id || ' in ' || lang), chr(10)) AS text FROM w""", relations=False)
+def pdf_parts(s, d):
+    """Files of up to 17 pages taken apart, and the parts read again."""
+    def written(doc_id: int, lang: str) -> bytes:
+        n = 1 + doc_id % 17
+        kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(n))
+        out = f"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count {n} /Kids [{kids}] /MediaBox [0 0 9 9] >>\nendobj\n"
+        for k in range(n):
+            shown = f"(page {k + 1} of {doc_id} in {lang}) Tj\n"
+            out += f"{10 + 2 * k} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>\nendobj\n{11 + 2 * k} 0 obj\n<< /Length {len(shown)} >>\nstream\n{shown}endstream\nendobj\n"
+        return (out + "trailer\n<< /Root 1 0 R >>\n").encode()
+
+    def write(frames):
+        for rows in frames:
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "content": [written(n, x) for n, x in zip(rows["doc_id"], rows["lang"], strict=True)]})
+
+    files = src.table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("-")).alias("lang")).mapInPandas(write, "doc_id long, content binary")
+    made = pdf.parts(files, ["doc_id"]).withColumns({"file_id": F.col("doc_id") * 8 + F.col("chunk_index"), "extension": F.lit(".pdf")})
+    read = documents.extract(made.select("file_id", "extension", "content")).select("file_id", "text", F.col("pages").cast("long").alias("pages"))
+    return made.drop("content", "extension").join(read, "file_id").select("doc_id", "chunk_index", "page_start", "page_end", "pages", "text")
+
+
 @query(f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN x = '' THEN 'last' ELSE x || chr(10) || 'last' END WHEN 1 THEN CASE WHEN x = '' THEN 'ten' ELSE x || chr(10) || 'ten' END WHEN 2 THEN x || chr(9) || '7' END AS text,
   CASE WHEN doc_id % 5 > 2 THEN 'ERR_EXTRACTION_FAILED' END AS error FROM (SELECT doc_id, {_PLAIN} AS x FROM documents)""", relations=False)
 def office_text(s, d):
@@ -600,7 +625,7 @@ def typo_osa(s, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 23 = 5 THEN 'plain words' ELSE 'find me all the notes on topic ' || (conv_id * 7 + turn) % 23 END AS q, (conv_id * 7 + turn) % 23 AS k FROM conversations)
-SELECT conv_id, turn, CASE WHEN k = 5 THEN 'plain words' WHEN k = 11 THEN q ELSE 'topic ' || k END AS semantic, CASE WHEN k = 5 THEN 'Grammar' WHEN k = 11 THEN 'RateLimited' ELSE 'OK' END AS outcome,
+SELECT conv_id, turn, q AS semantic, CASE WHEN k NOT IN (5, 11) THEN 'topic ' || k END AS path, CASE WHEN k = 5 THEN 'Grammar' WHEN k = 11 THEN 'RateLimited' ELSE 'OK' END AS outcome,
   CASE WHEN k IN (5, 11) THEN 'grammar' WHEN k < 9 THEN 'cache' ELSE 'llm' END AS source FROM t""", relations=False)
 def queries_understood(s, d):
     """Every turn as a query to a model, after some were asked before: what was answered, and what came from the cache."""
@@ -612,10 +637,10 @@ def queries_understood(s, d):
         topic = prompt.partition("topic ")[2].split("\n")[0]
         if topic == "11":
             raise ConnectionRefusedError
-        return json.dumps({n: [] for n in schema["required"]} | {"semantic_query": f"topic {topic}"})
+        return json.dumps({n: [] for n in schema["required"]} | {"must": [{"field": "path", "op": "contains", "value": f"topic {topic}"}]})
 
     store = tables.Store(s, tables.scratch(s, "understood"))
     understanding.understand(asked.filter(k < 9), "q", model, store, NOW, budget=60.0)
     out = understanding.understand(asked, "q", model, store, NOW, budget=60.0)
-    return out.select("conv_id", "turn", F.get_json_object("spec", "$.semantic_query").alias("semantic"), "outcome", "source")
+    return out.select("conv_id", "turn", F.get_json_object("spec", "$.semantic_query").alias("semantic"), F.get_json_object("spec", "$.must[0].value.v").alias("path"), "outcome", "source")
 
