@@ -18,9 +18,9 @@ def unit(x):
 
 @pytest.fixture(scope="module")
 def data(spark):
-    """6,000 vectors of 3,000 files, around 60 centers."""
+    """3,000 vectors of 1,500 files, around 60 centers."""
     rng = np.random.default_rng(3)
-    x = unit(unit(rng.normal(size=(60, 32)))[rng.integers(60, size=6000)] + 0.2 * rng.normal(size=(6000, 32))).astype(np.float32)
+    x = unit(unit(rng.normal(size=(60, 32)))[rng.integers(60, size=3000)] + 0.2 * rng.normal(size=(3000, 32))).astype(np.float32)
     df = spark.createDataFrame([(f"v{i}", i // 2, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4).cache()
     return x.astype(np.float64), df
 
@@ -28,7 +28,7 @@ def data(spark):
 @pytest.fixture(scope="module")
 def index(spark, data, tmp_path_factory):
     i = VectorIndex(spark, f"file://{tmp_path_factory.mktemp('index')}/i")
-    i.build(data[1], 24, cell_rows=150)
+    i.build(data[1], 12, cell_rows=150)
     return i
 
 
@@ -42,9 +42,9 @@ def exact(x, q, k, allowed=lambda f: True):
 
 
 def test_cells_grow_with_the_vectors(index):
-    assert len(index.cells.coarse) == 24 and index.cells.parts
-    assert sum(n for n, _ in index.figures.values()) == 6000
-    assert max(n for n, _ in index.figures.values()) < 600 and len(index.figures) > 30
+    assert len(index.cells.coarse) == 12 and index.cells.parts
+    assert sum(n for n, _ in index.figures.values()) == 3000
+    assert max(n for n, _ in index.figures.values()) < 600 and len(index.figures) > 15
     again = VectorIndex(index.spark, index.store.root)
     assert again.figures == index.figures and np.array_equal(again.cells.coarse, index.cells.coarse) and again.cells.parts.keys() == index.cells.parts.keys()
 
@@ -52,10 +52,10 @@ def test_cells_grow_with_the_vectors(index):
 @pytest.mark.parametrize("share", [1, 5, 50])
 def test_recall_at_three_selectivities(spark, data, index, share):
     x, _ = data
-    files = spark.range(3000).select(F.col("id").alias("file_id")).filter(F.col("file_id") % share == 0) if share > 1 else None
+    files = spark.range(1500).select(F.col("id").alias("file_id")).filter(F.col("file_id") % share == 0) if share > 1 else None
     found, read = 0, []
-    for q in x[::1500] + 0.05:
-        got, how = index.nearest_files(q.tolist(), 20, files, width=1500)
+    for q in x[::750] + 0.05:
+        got, how = index.nearest_files(q.tolist(), 20, files, width=1200)
         found += len({f for _, _, f in got} & {f for _, _, f in exact(x, q, 20, lambda f: f % share == 0)})
         read.append(how["cells"])
         if how["certain"]:
@@ -150,12 +150,12 @@ def test_the_engine_searches_by_its_index(spark, data, tmp_path):
     plain, how = e.search(text, 10)
     assert how["strategy"] == "brute_force"
     want = [r["path"] for r in plain.collect()]
-    e.build_index(24)
+    e.build_index(12)
     e.settings = tables.put_setting(e.settings, "brute_force_threshold", "100")
     got, how = e.search(text, 10)
     assert how["strategy"] == "semantic" and how["cells"] <= how["of"] and len(set(want) & {r["path"] for r in got.collect()}) >= 9
     got, how = e.search(f"ext:md {text}", 10)
-    assert how["strategy"] == "post_filter" and how["matching"] == 600
+    assert how["strategy"] == "post_filter" and how["matching"] == 300
     want = [f"/d/{f}.md" for _, _, f in exact(x, q, 10, lambda f: f % 5 == 0)]
     assert len(set(want) & {r["path"] for r in got.collect()}) >= 9
     assert e.search(f"ext:md in:/d/1 {text}", 10)[1]["strategy"] in ("brute_force", "post_filter")
