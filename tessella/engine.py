@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from functools import reduce
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +23,7 @@ from tessella.plans import parser
 from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
 from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
 from tessella.sources import documents, folders, watching
+from tessella.sources.embedding import EmbedBatch
 from tessella.streaming import timers, watch
 
 Embed = Callable[[str], list[float]]
@@ -245,17 +247,17 @@ class Engine:
             self._tell(self.spark.createDataFrame([("reset", self.generation)], "kind string, generation long"))
         self.failed = self.spark.createDataFrame([], FAILURES)
 
-    def add_folder(self, folder: str, embed_chunks: EmbedChunks | None = None, force: bool = False) -> DataFrame:
+    def add_folder(self, folder: str, embed_chunks: EmbedChunks | None = None, force: bool = False, queued: bool = False) -> DataFrame:
         """Index a folder's stale files (all of them if forced); returns the failures (path, code).
 
-        embed_chunks adds embedding to (file_id, chunk_index, text). A paused engine keeps the folder for resume().
+        embed_chunks adds embedding to (file_id, chunk_index, text); queued leaves the texts to embedder() instead, within the provider's limit. A paused engine keeps the folder for resume().
         """
         if folder not in self.folders:
             self.folders.append(folder)
         if self.paused:
             self.waiting.append((folder, embed_chunks, force))
             return self.spark.createDataFrame([], "path string, code string")
-        return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force)
+        return self._index(folders.walk(self.spark, folder, self.ignored), embed_chunks, force, queued=queued)
 
     def ignored_folders(self) -> list[str]:
         """The names of folders that indexing leaves out."""
@@ -286,12 +288,12 @@ class Engine:
         found = [folders.walk(self.spark, f, self.ignored, ps) for f, ps in within.items()]
         return self._index(reduce(DataFrame.unionByName, found), embed_chunks, False, tries)
 
-    def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None = None) -> DataFrame:
+    def _index(self, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None = None, queued: bool = False) -> DataFrame:
         """_indexed_in under the generation's tag: a reset in another thread stops the job that runs, and StaleGeneration is raised here."""
         generation = self.generation
         self.spark.sparkContext.addJobTag(self._tag(generation))
         try:
-            return self._indexed_in(generation, found, embed_chunks, force, tries)
+            return self._indexed_in(generation, found, embed_chunks, force, tries, queued)
         except Exception as e:
             if generation != self.generation and not isinstance(e, StaleGeneration):
                 raise StaleGeneration from e
@@ -302,7 +304,7 @@ class Engine:
     def _tag(self, generation: int) -> str:
         return f"index-{id(self):x}-{generation}"
 
-    def _indexed_in(self, generation: int, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None) -> DataFrame:
+    def _indexed_in(self, generation: int, found: DataFrame, embed_chunks: EmbedChunks | None, force: bool, tries: DataFrame | None, queued: bool) -> DataFrame:
         """In two phases: file rows without a hash, and no chunks; then chunks, and the hash last. What a lost job leaves
         counts as incomplete, and is indexed again. Every step is written before the next uses it.
 
@@ -326,7 +328,9 @@ class Engine:
             raise StaleGeneration
         self._indexed_too(done)
         self._commit(generation, files=tables.upsert_files(self.files, pending), chunks=tables.replace_chunks(self.chunks, done))
-        if embed_chunks:
+        if queued:
+            self._queue(done, generation)
+        elif embed_chunks:
             if generation != self.generation:  # before what costs most
                 raise StaleGeneration
             texts = done.select("file_id", F.explode("pieces").alias("c")).select("file_id", "c.chunk_index", "c.text")
@@ -340,9 +344,10 @@ class Engine:
             embedded = embedded.drop("error").join(bad, "file_id", "left_anti")
             self._commit(generation, chunks=tables.replace_chunks(self.chunks, done, embedded))
             self._indexed_too(None, embedded)
-        else:
+        if queued or not embed_chunks:
             bad = self.spark.createDataFrame([], "file_id long, code string")
-        self._commit(generation, files=tables.set_hashes(self.files, done.join(bad, "file_id", "left_anti")))
+        if not queued:  # else the hash follows the vectors
+            self._commit(generation, files=tables.set_hashes(self.files, done.join(bad, "file_id", "left_anti")))
         failures = staged.filter("error is not null").select("path", F.col("error").alias("code")).unionByName(done.join(bad, "file_id").select("path", "code"))
         tried = failures.withColumn("attempts", F.lit(1)) if tries is None else failures.join(tries.select("path", "attempts"), "path", "left").withColumn("attempts", F.coalesce("attempts", F.lit(1)))
         failures = store.write("failures", tried)
@@ -352,6 +357,80 @@ class Engine:
             self._tell(waiting.withColumns({"kind": F.lit("failed"), "generation": F.lit(generation).cast("long")}))
         return failures.drop("attempts")
 
+    #: Texts of a call, and what the queue and the answers hold.
+    CALL = 100
+    REQUESTS = "provider string, id string, seq long, until timestamp"
+    QUEUE = "id string, stamp long, file_id long, path string, content_hash string, calls int, generation long, chunk_index int, text string"
+    ANSWERS = "id string, stamp long, file_id long, path string, content_hash string, calls int, generation long, chunk_index int, embedding array<float>, error string, wait double"
+
+    def _queue(self, done: DataFrame, generation: int) -> None:
+        """Queues the files' texts by calls, and a request for each call."""
+        for name, schema in (("embed_requests", self.REQUESTS), ("embed_queue", self.QUEUE), ("embed_answers", self.ANSWERS)):
+            if not self.store.exists(name):
+                self.store.write(name, self.spark.createDataFrame([], schema))
+        stamp = time.time_ns()
+        each = done.select("file_id", "path", "content_hash", F.ceil(F.size("pieces") / self.CALL).cast("int").alias("calls"), "pieces")
+        id_ = lambda part: F.concat_ws("-", F.col("file_id").cast("string"), F.lit(str(stamp)), part.cast("string"))
+        texts = each.withColumn("c", F.explode("pieces")).withColumn("part", F.floor(F.col("c.chunk_index") / self.CALL))
+        self.store.append("embed_queue", texts.select(id_(F.col("part")).alias("id"), F.lit(stamp).alias("stamp"), "file_id", "path", "content_hash", "calls", F.lit(generation).cast("long").alias("generation"), "c.chunk_index", "c.text"))
+        calls = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("calls") - 1)))
+        self.store.append("embed_requests", calls.select(F.lit("embedding").alias("provider"), id_(F.col("part")).alias("id"), F.lit(stamp).alias("seq"), F.lit(None).cast("timestamp").alias("until")))
+
+    def embedder(self, checkpoint: str, call: EmbedBatch, most: int | None = None, seconds: float = 60.0) -> StreamingQuery:
+        """Embeds what was queued, at most most calls (the setting's rate) in any window of so many seconds by all tasks together; runs until it is stopped, and goes on from its checkpoint.
+
+        A call has at most CALL texts of one file. A ConnectionError with retry_after is the provider's own limit: nothing is sent for so long, and the call is made again. A file is
+        committed when all its calls were answered; other errors go to the retry coordinator. A call may be made twice where the stream is lost between call and checkpoint.
+        """
+        self._queue(self.spark.createDataFrame([], "file_id long, path string, content_hash string, pieces array<struct<chunk_index:int,text:string>>"), self.generation)
+        requests = self.spark.readStream.schema(self.REQUESTS).option("recursiveFileLookup", True).parquet(self.store.folder("embed_requests"))
+
+        def step(batch: DataFrame, _: int) -> None:
+            if ids := [r["id"] for r in batch.collect()]:  # no more than the limit
+                self._embed_now(ids, call)
+
+        limit = most or self.indexing()["rate_limit_per_minute"]
+        return timers.leased(requests, limit, seconds).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+
+    def _embed_now(self, ids: list[str], call: EmbedBatch) -> None:
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("chunk_index")
+            vectors, error, wait = [None] * len(part), None, 0.0
+            try:
+                vectors = call(part["text"].fillna("").tolist())
+                error = None if len(vectors) == len(part) else "ERR_EMBED_COUNT_MISMATCH"
+            except ConnectionError as e:
+                error, wait = ("ERR_RATE_LIMITED", float(e.retry_after)) if hasattr(e, "retry_after") else ("ERR_EMBED_FAILED", 0.0)
+            return part.drop(columns=["text"]).assign(embedding=vectors if error is None else [None] * len(part), error=pd.Series([error] * len(part), index=part.index, dtype=object), wait=wait)
+
+        store, generation = self.store, self.generation
+        rows = store.appended("embed_queue", self.QUEUE).drop("batch").filter(F.col("id").isin(ids) & (F.col("generation") == generation)).dropDuplicates(["id", "chunk_index"])
+        n = store.append("embed_answers", rows.groupBy("id").applyInPandas(one, self.ANSWERS))
+        answers = store.appended("embed_answers", self.ANSWERS)
+        states = answers.filter(F.col("batch") == n).groupBy("id", "file_id", "path").agg(F.max("error").alias("code"), F.max("wait").alias("wait")).collect()  # a row a call
+        if limited := [r for r in states if r["code"] == "ERR_RATE_LIMITED"]:
+            until = datetime.fromtimestamp(time.time() + max(r["wait"] for r in limited), UTC)
+            store.append("embed_requests", self.spark.createDataFrame([("embedding", r["id"], time.time_ns(), until) for r in limited], self.REQUESTS))
+        if failed := list({r["path"]: r["code"] for r in states if r["code"] not in (None, "ERR_RATE_LIMITED")}.items()):
+            found = self.spark.createDataFrame([(p, c, 1) for p, c in failed], "path string, code string, attempts int")
+            permanent = reports.retry_class(F.col("code")) == "Permanent"
+            self._take(found.filter(permanent), generation)
+            self._tell(found.filter(~permanent).withColumns({"kind": F.lit("failed"), "generation": F.lit(generation).cast("long")}))
+        of = [r["file_id"] for r in states if r["code"] is None]
+        whole = answers.filter(F.col("file_id").isin(of) & F.col("error").isNull() & (F.col("generation") == generation))
+        complete = whole.groupBy("file_id", "stamp").agg(F.count_distinct("id").alias("n"), F.max("calls").alias("calls"), F.max("content_hash").alias("content_hash")).filter("n = calls")
+        complete = store.write("embed_complete", complete.groupBy("file_id").agg(F.max("stamp").alias("stamp"), F.max_by("content_hash", "stamp").alias("content_hash")))
+        if complete.isEmpty():
+            return
+        new = whole.join(complete.select("file_id", "stamp"), ["file_id", "stamp"], "left_semi").withColumns({
+            "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
+            "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
+        })
+        embedded = store.write("embedded", new.select(*self.chunks.columns).dropDuplicates(["vector_id"]))
+        self._commit(generation, chunks=tables.replace_chunks(self.chunks, complete, embedded))
+        self._indexed_too(None, embedded)
+        self._commit(generation, files=tables.set_hashes(self.files, complete))
+
     #: Attempts after which a failed file is recorded.
     MOST_ATTEMPTS = 3
 

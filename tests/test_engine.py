@@ -223,6 +223,34 @@ def test_a_reset_stops_a_running_job(engine, corpus, tmp_path):
     assert engine.chunks.count() == 0 and engine.files.filter("content_hash = ''").count() == 3
 
 
+def test_queued_texts_are_embedded_within_the_limit(engine, corpus, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Limited(ConnectionError):
+        retry_after = 1.5
+
+    def call(texts):
+        n = len(os.listdir(log))
+        (log / f"{time.time():.6f}-{len(texts)}-{random.random()}").touch()
+        if n == 0:
+            raise Limited
+        return [vec(t) for t in texts]
+
+    engine.CALL = 2
+    engine.add_folder(f"file://{tmp_path}/corpus", queued=True)
+    assert engine.chunks.count() == 0 and engine.files.filter("content_hash = ''").count() == 3
+    q = engine.embedder(f"{tmp_path}/embedder", call, 2, 2.0)
+    eventually(lambda: engine.files.filter("content_hash <> ''").count() == 3 or not q.isActive, 200)
+    q.stop()
+    assert q.exception() is None and engine.chunks.count() == 7 and engine.failures().count() == 0
+    made = sorted((float(at), int(n)) for at, n, _ in (x.split("-", 2) for x in os.listdir(log)))
+    assert len(made) >= 6 and max(n for _, n in made) == 2
+    assert all(sum(t <= u < t + 2 for u, _ in made) <= 2 for t, _ in made)
+    found = engine.search("all about cats please", 3)[0].collect()
+    assert len(found) == 3
+
+
 def test_ignored_folders(engine, corpus, tmp_path, spark):
     engine.ignore_folder("boats")
     engine.ignore_folder("boats")
