@@ -22,7 +22,7 @@ from tessella.operators.postings import NameIndex
 from tessella.plans import parser
 from tessella.plans.clauses import Cache, Spec, chips, deny_list, merge, where
 from tessella.schema import CHUNKS, DEFAULT_IGNORED, FAILURES, FILES, SPEC_VERSION
-from tessella.sources import documents, folders, watching
+from tessella.sources import documents, folders, media, watching
 from tessella.sources.embedding import EmbedBatch
 from tessella.streaming import timers, watch
 
@@ -64,6 +64,9 @@ class VectorCache:
 class Engine:
     """files and chunks as DataFrames, an embedding function for queries, and optionally a language model.
 
+    embed_media adds embedding (and error, a code) to (file_id, chunk_index, media_type, page_start, page_end, content), for providers that read images, audio and
+    PDF pages as they are. A PDF's page parts come before the chunks of its text. Without it images and audio are failures, and PDF files have their text alone.
+
     What indexing changes is written to a store at root before it is used, so that no later action reads a folder or embeds a
     chunk again. Without a root, a folder under spark.checkpoint.dir holds it (under a temporary folder on a local master).
     """
@@ -71,8 +74,8 @@ class Engine:
     #: Bounds of the settings that users may change, and their defaults.
     BOUNDS = {"indexing.workers": (1, 32, 4), "indexing.rate_limit_per_minute": (1, 10_000, 55)}
 
-    def __init__(self, spark: SparkSession, files: DataFrame | None = None, chunks: DataFrame | None = None, embed: Embed | None = None, model: str | None = None, provider: parser.Provider | None = None, root: str | None = None):
-        self.spark, self.embed, self.model, self.provider = spark, embed, model, provider
+    def __init__(self, spark: SparkSession, files: DataFrame | None = None, chunks: DataFrame | None = None, embed: Embed | None = None, model: str | None = None, provider: parser.Provider | None = None, root: str | None = None, embed_media: EmbedChunks | None = None):
+        self.spark, self.embed, self.model, self.provider, self.embed_media = spark, embed, model, provider, embed_media
         self.files = files if files is not None else spark.createDataFrame([], FILES)
         self.chunks = chunks if chunks is not None else spark.createDataFrame([], CHUNKS)
         self.failed = spark.createDataFrame([], FAILURES)
@@ -250,7 +253,7 @@ class Engine:
     def add_folder(self, folder: str, embed_chunks: EmbedChunks | None = None, force: bool = False, queued: bool = False) -> DataFrame:
         """Index a folder's stale files (all of them if forced); returns the failures (path, code).
 
-        embed_chunks adds embedding to (file_id, chunk_index, text); queued leaves the texts to embedder() instead, within the provider's limit. A paused engine keeps the folder for resume().
+        embed_chunks adds embedding to (file_id, chunk_index, text); queued leaves the texts to embedder() instead, within the provider's limit, and calls no embed_media. A paused engine keeps the folder for resume().
         """
         if folder not in self.folders:
             self.folders.append(folder)
@@ -318,10 +321,14 @@ class Engine:
         read = documents.text_of(F.when(is_document, F.col("extension")), F.when(is_document, F.col("content")))
         pieces = F.when(F.col("file_type") == "text", byte_chunks(F.col("content"))).when(is_document & F.col("read.text").isNotNull(), document_chunks(F.col("read.text")))
         text = F.transform(pieces, lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), F.make_valid_utf8(c["content"].cast("string")).alias("text")))
-        media = F.when(F.col("file_type").isin("image", "video", "audio"), "ERR_UNSUPPORTED_FORMAT")  # no transcoder here
-        staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"), media)}).drop("content", "read")
+        as_is = media.embedded(F.col("file_type"), F.col("extension")) if self.embed_media and not queued else F.lit(False)
+        bad_media = F.when(F.col("file_type").isin("image", "video", "audio") & ~as_is, "ERR_UNSUPPORTED_FORMAT")  # no transcoder here
+        staged = stale.withColumn("read", read).withColumns({"pieces": text, "error": F.coalesce("error", F.col("read.error"), bad_media)})
+        staged = staged.withColumn("content", F.when(as_is & F.col("error").isNull(), F.col("content"))).drop("read")
         staged = store.write("staged", staged)  # the only scan of the folder
-        done = staged.filter(F.size(F.coalesce("pieces", F.array().cast("array<struct<chunk_index:int,text:string>>"))) > 0)
+        parts = store.write("parts", media.parts(staged.filter("content is not null"))) if self.embed_media and not queued else None
+        staged = self._after_parts(staged.drop("content"), parts)
+        done = staged.filter(F.size(F.coalesce("pieces", F.array().cast("array<struct<chunk_index:int,text:string>>"))) + F.col("n_parts") > 0)
         columns = [c for c in self.files.columns if c in staged.columns]
         pending = done.select(*columns).withColumns({"content_hash": F.lit(""), "indexed_at": F.current_timestamp(), "thumbnail_path": F.lit(""), "seq": F.lit(0)})
         if generation != self.generation:
@@ -330,21 +337,19 @@ class Engine:
         self._commit(generation, files=tables.upsert_files(self.files, pending), chunks=tables.replace_chunks(self.chunks, done))
         if queued:
             self._queue(done, generation)
-        elif embed_chunks:
+        elif embed_chunks or parts is not None:
             if generation != self.generation:  # before what costs most
                 raise StaleGeneration
             texts = done.select("file_id", F.explode("pieces").alias("c")).select("file_id", "c.chunk_index", "c.text")
-            new = embed_chunks(texts).withColumns({
-                "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
-                "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
-            })
-            codes = [F.col("error")] if "error" in new.columns else [F.lit(None).cast("string").alias("error")]
-            embedded = store.write("embedded", new.select(*self.chunks.columns, *codes))  # the only call of the provider
+            made = [embed_chunks(texts)] if embed_chunks else []
+            made += [self.embed_media(parts)] if parts is not None else []
+            new = reduce(DataFrame.unionByName, [self._as_chunks(x) for x in made])
+            embedded = store.write("embedded", new)  # the only call of the provider
             bad = embedded.filter("error is not null").groupBy("file_id").agg(F.min("error").alias("code"))
             embedded = embedded.drop("error").join(bad, "file_id", "left_anti")
             self._commit(generation, chunks=tables.replace_chunks(self.chunks, done, embedded))
             self._indexed_too(None, embedded)
-        if queued or not embed_chunks:
+        if queued or not (embed_chunks or parts is not None):
             bad = self.spark.createDataFrame([], "file_id long, code string")
         if not queued:  # else the hash follows the vectors
             self._commit(generation, files=tables.set_hashes(self.files, done.join(bad, "file_id", "left_anti")))
@@ -357,6 +362,23 @@ class Engine:
             self._tell(waiting.withColumns({"kind": F.lit("failed"), "generation": F.lit(generation).cast("long")}))
         return failures.drop("attempts")
 
+    @staticmethod
+    def _after_parts(staged: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """staged with n_parts, its file's parts, and pieces numbered after them."""
+        if parts is None:
+            return staged.withColumn("n_parts", F.lit(0))
+        x = staged.join(parts.groupBy("file_id").agg(F.count("*").cast("int").alias("n_parts")), "file_id", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(0)))
+        later = F.transform("pieces", lambda c: F.struct((c["chunk_index"] + F.col("n_parts")).alias("chunk_index"), c["text"].alias("text")))
+        return x.withColumn("pieces", later)
+
+    def _as_chunks(self, answered: DataFrame) -> DataFrame:
+        """What a provider answered as the chunks relation's rows, and error."""
+        x = answered.withColumns({
+            "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
+            "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
+        })
+        return x.select(*self.chunks.columns, F.col("error") if "error" in x.columns else F.lit(None).cast("string").alias("error"))
+
     #: Texts of a call, and what the queue and the answers hold.
     CALL = 100
     REQUESTS = "provider string, id string, seq long, until timestamp"
@@ -422,11 +444,8 @@ class Engine:
         complete = store.write("embed_complete", complete.groupBy("file_id").agg(F.max("stamp").alias("stamp"), F.max_by("content_hash", "stamp").alias("content_hash")))
         if complete.isEmpty():
             return
-        new = whole.join(complete.select("file_id", "stamp"), ["file_id", "stamp"], "left_semi").withColumns({
-            "vector_id": F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-c"), F.col("chunk_index").cast("string")),
-            "start_time": F.lit(0.0), "end_time": F.lit(0.0), "embedding_model": F.lit(self.model or ""), "embedding_dims": F.size("embedding"),
-        })
-        embedded = store.write("embedded", new.select(*self.chunks.columns).dropDuplicates(["vector_id"]))
+        new = self._as_chunks(whole.join(complete.select("file_id", "stamp"), ["file_id", "stamp"], "left_semi")).drop("error")
+        embedded = store.write("embedded", new.dropDuplicates(["vector_id"]))
         self._commit(generation, chunks=tables.replace_chunks(self.chunks, complete, embedded))
         self._indexed_too(None, embedded)
         self._commit(generation, files=tables.set_hashes(self.files, complete))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tessella.engine import ConfigInvalid, Engine, StaleGeneration, VectorCache
 from tessella.operators import migrations, tables, vectors
 from tessella.operators.index import VectorIndex
-from tessella.sources import folders
+from tessella.sources import folders, media
 from tessella.sources import tables as src
+from tests.test_pdf import made as pdf_of
 
 
 def vec(text):
@@ -415,3 +416,51 @@ def test_ticks_and_periodic_saves(engine, corpus, tmp_path):
     again = Engine(engine.spark, embed=vec, model="m")
     again.load(f"file://{tmp_path}/saved")
     assert again.files.count() == 3 and len(tables.Store(engine.spark, f"file://{tmp_path}/saved").versions("files")) == 1
+
+
+def test_images_audio_and_pages_are_embedded_as_they_are(engine, corpus, tmp_path, spark):
+    corpus("cats/nine.pdf", pdf_of(9))
+    corpus("cats/one.pdf", pdf_of(1))
+    corpus("cats/cat.PNG", b"\x89PNG cats cats")
+    corpus("cats/purr.mp3", b"ID3 \xff\xfe boats")
+    corpus("cats/empty.gif", b"")  # empty files are passed by
+    corpus("cats/new.heic", b"heic")
+    corpus("cats/clip.mp4", b"video")
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed_media(parts):
+        def run(frames):
+            for rows in frames:
+                seen.add(len(rows))
+                bad = ["ERR_EMBED_FAILED" if m == "audio/mpeg" and c.startswith(b"broken") else None for m, c in zip(rows["media_type"], rows["content"], strict=True)]
+                out = rows[["file_id", "chunk_index"]].assign(embedding=[[float(c.count(b"cats")), float(c.count(b"/Type /Page ")), 0.2] for c in rows["content"]])
+                yield out.assign(error=pd.Series(bad, index=rows.index, dtype=object))
+
+        return parts.mapInPandas(run, "file_id long, chunk_index int, embedding array<float>, error string")
+
+    folder = f"file://{tmp_path}/corpus"
+    failed = {r["path"].rpartition("/")[2]: r["code"] for r in engine.add_folder(folder, engine.embed_chunks).collect()}
+    assert failed == dict.fromkeys(["cat.PNG", "purr.mp3", "new.heic", "clip.mp4"], "ERR_UNSUPPORTED_FORMAT") and seen.value == 0
+
+    engine.embed_media = embed_media
+    failed = {r["path"].rpartition("/")[2]: r["code"] for r in engine.add_folder(folder, engine.embed_chunks, force=True).collect()}
+    assert failed == {"new.heic": "ERR_UNSUPPORTED_FORMAT", "clip.mp4": "ERR_UNSUPPORTED_FORMAT"}
+    assert seen.value == 2 + 1 + 1 + 1  # nine pages in two parts of six with one in common, one page, the image, the sound
+    rows = engine.chunks.join(engine.files.select("file_id", "basename"), "file_id").orderBy("basename", "chunk_index").collect()
+    of = lambda n: [(r["chunk_index"], [round(x, 1) for x in r["embedding"]]) for r in rows if r["basename"] == n]
+    assert of("cat.PNG") == [(0, [2.0, 0.0, 0.2])] and of("purr.mp3") == [(0, [0.0, 0.0, 0.2])]
+    assert of("nine.pdf")[:2] == [(0, [0.0, 6.0, 0.2]), (1, [0.0, 4.0, 0.2])] and [k for k, _ in of("nine.pdf")] == list(range(len(of("nine.pdf"))))
+    assert len(of("nine.pdf")) > 2 and of("nine.pdf")[2][1][2] == 0.1  # its text follows
+    assert all(r["content_hash"] for r in engine.files.filter("basename in ('nine.pdf', 'cat.PNG', 'purr.mp3')").collect())
+    assert names(engine.search("ext:png cats")[0]) == ["cat.PNG"]
+
+    corpus("cats/purr.mp3", b"broken sound")  # its other files stay as they are
+    failed = {r["path"].rpartition("/")[2]: r["code"] for r in engine.add_folder(folder).collect()}
+    assert failed["purr.mp3"] == "ERR_EMBED_FAILED" and engine.files.filter("basename = 'purr.mp3'").first()["content_hash"] == "" and engine.chunks.filter("embedding_dims = 3").count() == len(rows) - 1
+
+
+def test_media_parts(spark):
+    files = spark.createDataFrame([(1, ".pdf", "application/pdf", bytearray(pdf_of(13)), 5), (2, ".png", "image/png", bytearray(b"x"), 5), (3, None, None, None, 5), (4, ".gif", None, bytearray(), 5), (2, ".png", "image/png", bytearray(b"x"), 5)], "file_id long, extension string, media_type string, body binary, page_start int")
+    got = sorted((r["file_id"], r["chunk_index"], r["page_start"] or 0, r["page_end"] or 0) for r in media.parts(files, "body").collect())
+    assert got == [(1, 0, 1, 6), (1, 1, 6, 11), (1, 2, 11, 13), (2, 0, 0, 0), (2, 0, 0, 0)]
+    assert media.parts(files.limit(0), "body").count() == 0
