@@ -22,7 +22,7 @@ from tessella.plans.clauses import Clause, Spec, chips, deny_list, merge
 from tessella.plans.dates import resolve
 from tessella.queries import NOW, _bm25, query
 from tessella.schema import RETRY
-from tessella.sources import documents, folders, pdf, stored
+from tessella.sources import documents, folders, media, pdf, stored
 from tessella.sources import tables as src
 from tessella.streaming import timers, watch
 
@@ -95,12 +95,8 @@ def pdf_text(s, d):
     return documents.extract(files).select(F.col("file_id").alias("doc_id"), "text", F.col("pages").cast("long").alias("pages"))
 
 
-@query("""WITH n AS (SELECT doc_id, coalesce(lang, '-') AS lang, 1 + doc_id % 17 AS pages FROM documents),
-w AS (SELECT *, unnest(range(0, CASE WHEN pages > 6 THEN 1 + CAST(ceil((pages - 6) / 5.0) AS BIGINT) ELSE 1 END)) AS i FROM n)
-SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 5 + 1 AS INTEGER) AS page_start, CAST(least(i * 5 + 6, pages) AS INTEGER) AS page_end, least(i * 5 + 6, pages) - i * 5 AS pages,
-  array_to_string(list_transform(range(i * 5 + 1, least(i * 5 + 6, pages) + 1), lambda p: 'page ' || p || ' of ' || doc_id || ' in ' || lang), chr(10)) AS text FROM w""", relations=False)
-def pdf_parts(s, d):
-    """Files of up to 17 pages taken apart, and the parts read again."""
+def _pdf_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, content): a PDF file of up to 17 pages for each of docs."""
     def written(doc_id: int, lang: str) -> bytes:
         n = 1 + doc_id % 17
         kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(n))
@@ -114,12 +110,35 @@ def pdf_parts(s, d):
         for rows in frames:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "content": [written(n, x) for n, x in zip(rows["doc_id"], rows["lang"], strict=True)]})
 
-    files = src.table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("-")).alias("lang")).mapInPandas(write, "doc_id long, content binary")
-    made = pdf.parts(files, ["doc_id"]).withColumns({"file_id": F.col("doc_id") * 8 + F.col("chunk_index"), "extension": F.lit(".pdf")})
+    return docs.select("doc_id", F.coalesce("lang", F.lit("-")).alias("lang")).mapInPandas(write, "doc_id long, content binary")
+
+
+@query("""WITH n AS (SELECT doc_id, coalesce(lang, '-') AS lang, 1 + doc_id % 17 AS pages FROM documents),
+w AS (SELECT *, unnest(range(0, CASE WHEN pages > 6 THEN 1 + CAST(ceil((pages - 6) / 5.0) AS BIGINT) ELSE 1 END)) AS i FROM n)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 5 + 1 AS INTEGER) AS page_start, CAST(least(i * 5 + 6, pages) AS INTEGER) AS page_end, least(i * 5 + 6, pages) - i * 5 AS pages,
+  array_to_string(list_transform(range(i * 5 + 1, least(i * 5 + 6, pages) + 1), lambda p: 'page ' || p || ' of ' || doc_id || ' in ' || lang), chr(10)) AS text FROM w""", relations=False)
+def pdf_parts(s, d):
+    """Files of up to 17 pages taken apart, and the parts read again."""
+    made = pdf.parts(_pdf_files(src.table(s, d, "documents")), ["doc_id"]).withColumns({"file_id": F.col("doc_id") * 8 + F.col("chunk_index"), "extension": F.lit(".pdf")})
     read = documents.extract(made.select("file_id", "extension", "content")).select("file_id", "text", F.col("pages").cast("long").alias("pages"))
     return made.drop("content", "extension").join(read, "file_id").select("doc_id", "chunk_index", "page_start", "page_end", "pages", "text")
 
 
+@query("""WITH n AS (SELECT doc_id, text, doc_id % 4 AS kind, CASE WHEN doc_id % 4 = 0 THEN 1 + doc_id % 17 ELSE 1 END AS pages FROM documents WHERE doc_id % 4 = 0 OR (doc_id % 4 <> 2 AND text <> '')),
+w AS (SELECT *, unnest(range(0, CASE WHEN pages > 6 THEN 1 + CAST(ceil((pages - 6) / 5.0) AS BIGINT) ELSE 1 END)) AS i FROM n)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CASE kind WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE 'audio/mpeg' END AS media_type,
+  CASE WHEN kind = 0 THEN CAST(i * 5 + 1 AS INTEGER) END AS page_start, CASE WHEN kind = 0 THEN CAST(least(i * 5 + 6, pages) AS INTEGER) END AS page_end, CASE WHEN kind <> 0 THEN sha256(text) END AS sha256 FROM w""", relations=False)
+def media_parts(s, d):
+    """What a provider would be sent of documents taken as PDF files, images, images that need a converter, and sounds by turns."""
+    docs = src.table(s, d, "documents").withColumn("kind", F.element_at(F.array(*map(F.lit, (".pdf", ".png", ".heic", ".mp3"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    other = docs.filter("kind <> '.pdf'").select("doc_id", F.col("text").cast("binary").alias("content"), "kind")
+    files = other.unionByName(_pdf_files(docs.filter("kind = '.pdf'")).withColumn("kind", F.lit(".pdf"))).withColumn("path", F.concat(F.lit("/f"), "kind"))
+    files = files.select(F.col("doc_id").alias("file_id"), text.extension(F.col("path")).alias("extension"), text.media_type(F.col("path")).alias("media_type"), text.file_kind(F.col("path")).alias("file_type"), "content")
+    made = media.parts(files.filter(media.embedded(F.col("file_type"), F.col("extension"))))
+    sha = F.when(F.col("media_type") != "application/pdf", F.sha2("content", 256)).alias("sha256")
+    return made.select(F.col("file_id").alias("doc_id"), "chunk_index", "media_type", "page_start", "page_end", sha)
+
+
 @query(f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN x = '' THEN 'last' ELSE x || chr(10) || 'last' END WHEN 1 THEN CASE WHEN x = '' THEN 'ten' ELSE x || chr(10) || 'ten' END WHEN 2 THEN substr(x || chr(9) || '7', 1, 8000) END AS text,
   CASE WHEN doc_id % 5 > 2 THEN 'ERR_EXTRACTION_FAILED' END AS error FROM (SELECT doc_id, {_PLAIN} AS x FROM documents)""", relations=False)
 def office_text(s, d):
