@@ -40,22 +40,22 @@ def _clean(x: Column) -> Column:
     return F.replace(x, F.lit("<|"), F.lit("< |"))
 
 
-def parts(turns: DataFrame) -> DataFrame:
+def parts(turns: DataFrame, most: int = PART) -> DataFrame:
     """(conv_id, part, messages) with messages (turn, role, text) in order."""
     x = turns.select("conv_id", "turn", "role", _clean(F.coalesce("text", F.lit(""))).alias("text"))
     size = (F.length("text") + F.length(F.coalesce("role", F.lit(""))) + SIZE).cast("long")
     x = x.withColumn("size", size)
-    long_ = checkpoint(x.groupBy("conv_id").agg(F.sum("size").alias("total")).filter(F.col("total") > PART).select(F.col("conv_id").alias("__c")))
+    long_ = checkpoint(x.groupBy("conv_id").agg(F.sum("size").alias("total")).filter(F.col("total") > most).select(F.col("conv_id").alias("__c")))
     gathered = lambda rows: rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(*ORDER))).alias("messages")).select("conv_id", F.lit(0).cast("long").alias("part"), "messages")
     held = long_.agg(F.sum(32 + F.coalesce(F.octet_length(F.col("__c").cast("string")), F.lit(0)))).first()[0]
     if not held:
         return gathered(x)
     long_ = F.broadcast(long_) if held <= BROADCAST else long_
     same = F.col("conv_id").eqNullSafe(F.col("__c"))
-    return gathered(x.join(long_, same, "left_anti")).unionByName(_runs(x.join(long_, same, "left_semi")))
+    return gathered(x.join(long_, same, "left_anti")).unionByName(_runs(x.join(long_, same, "left_semi"), most))
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, most: int) -> DataFrame:
     """(conv_id, part, messages) of long conversations.
 
     Equal rows are counted first; the others are dealt out in ranges of their order, and a row's place is the sum of its
@@ -72,9 +72,9 @@ def _runs(rows: DataFrame) -> DataFrame:
     x = x.withColumn("at", upto(Window.partitionBy("conv_id", "range").orderBy(*ORDER), size))
     x = x.join(ranges, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("range") == F.col("__r"))).withColumn("at", F.col("at") + F.col("__before"))
     # copies of a row start at at, at + size, ...; each part takes those that start in it
-    x = x.withColumn("part", F.explode(F.expr(f"sequence(at div {PART}, (at + (n - 1) * size) div {PART})")))
-    first = F.expr(f"(greatest(part * {PART} - at, 0) + size - 1) div size")
-    last = F.least(F.col("n"), F.expr(f"((part + 1) * {PART} - at + size - 1) div size"))
+    x = x.withColumn("part", F.explode(F.expr(f"sequence(at div {most}, (at + (n - 1) * size) div {most})")))
+    first = F.expr(f"(greatest(part * {most} - at, 0) + size - 1) div size")
+    last = F.least(F.col("n"), F.expr(f"((part + 1) * {most} - at + size - 1) div size"))
     x = x.withColumn("times", (last - first).cast("int")).filter("times > 0")
     grouped = x.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct(F.struct(*ORDER).alias("message"), "times"))).alias("__m"))
     return grouped.select("conv_id", "part", F.flatten(F.transform("__m", lambda m: F.array_repeat(m["message"], m["times"]))).alias("messages"))
@@ -90,10 +90,10 @@ def _head(m: Column, speaker: Column) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit("\n"))
 
 
-def rotate(turns: DataFrame) -> DataFrame:
+def rotate(turns: DataFrame, most: int = PART) -> DataFrame:
     """(conv_id, part, speaker, n_turns, text, spans, system): spans are (start, end) in text of what the assistant says,
-    system the first system turn where an earlier part holds it."""
-    p = parts(turns)
+    system the first system turn where an earlier part holds it. most: characters of a part; the parts of a longer rendering, joined in order, are all of it."""
+    p = parts(turns, most)
     speakers = turns.select(F.col("conv_id").alias("__c"), F.col("role").alias("speaker")).distinct()
     speakers = speakers.filter(F.col("speaker").isNotNull() & (F.col("speaker") != SYSTEM))
     x = p.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")

@@ -66,6 +66,20 @@ def test_chat(spark, folder):
         assert said == [f"turn {k}" for k in range(150) if (k % 2 == 1) == (r["speaker"] == "left")] and r["part"] == 0
 
 
+@pytest.mark.parametrize("most", [1, 300, 5000])
+def test_chat_parts_join_to_the_whole(spark, folder, most):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").filter("conv_id in (1, 5)")
+    whole = {(r["conv_id"], r["speaker"]): r for r in C.rotate(turns).collect()}
+    split = {}
+    for r in sorted(C.rotate(turns, most).collect(), key=lambda r: r["part"]):
+        split.setdefault((r["conv_id"], r["speaker"]), []).append(r)
+    assert split.keys() == whole.keys() and max(map(len, split.values())) > 1
+    for k, rows in split.items():
+        assert "".join(r["text"] for r in rows) == whole[k]["text"] and sum(r["n_turns"] for r in rows) == whole[k]["n_turns"]
+        said = lambda r: [r["text"][s["start"] : s["end"]] for s in r["spans"]]
+        assert [x for r in rows for x in said(r)] == said(whole[k])
+
+
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
     assert C.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
