@@ -212,6 +212,13 @@ def whole_size(n: Column) -> Column:
 
 
 def shown_size(n: Column) -> Column:
-    """Sizes as result lists show them."""
-    unit = lambda p, f, u: F.format_string(f"%.{f}f {u}", n / F.lit(float(1 << p)))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, 0, "KB")).when(n < 1 << 30, unit(20, 1, "MB")).otherwise(unit(30, 1, "GB"))
+    """Sizes as result lists show them: whole KB, tenths of MB and GB, halves to the even digit as C's printf rounds a double; null for null."""
+    near = n.cast("double").cast("long")
+
+    def unit(power: int, tens: int, name: str) -> Column:
+        rest = near.bitwiseAND((1 << power) - 1) * tens
+        down, over, half = F.shiftright(near, power) * tens + F.shiftright(rest, power), rest.bitwiseAND((1 << power) - 1), 1 << (power - 1)
+        steps = (down + ((over > half) | ((over == half) & (down % 2 == 1))).cast("long")).cast("string")
+        return F.concat(steps if tens == 1 else F.regexp_replace(steps, "(.)$", ".$1"), F.lit(f" {name}"))
+
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, 1, "KB")).when(n < 1 << 30, unit(20, 10, "MB")).otherwise(unit(30, 10, "GB"))

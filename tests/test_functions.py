@@ -149,6 +149,19 @@ def test_embedding(spark):
     assert len(by) == 3 and all(len(v) == 1 for v in by.values())
 
 
+def test_shown_sizes(spark):
+    import duckdb
+
+    shown = "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.0f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END"
+    sizes = [None, -5, 0, 1023, (1 << 63) - 1, (1 << 53) + 1]
+    for power, step in ((10, 512), (20, 1 << 18), (30, 1 << 28)):  # halves, and their neighbours
+        sizes += [(1 << power) + k * step + x for k in range(40) for x in (-1, 0, 1)] + [(1 << power + 10) - step + x for x in (-1, 0, 1)]
+    con = duckdb.connect()
+    expected = [con.execute(f"SELECT {shown} FROM (SELECT ?::BIGINT AS n)", [n]).fetchone()[0] for n in sizes]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(sizes)), "k long, n long").orderBy("k").select(X.shown_size(F.col("n"))).collect()]
+    assert [x for x in zip(sizes, expected, got, strict=True) if x[1] != x[2]] == []
+
+
 def test_settings(spark):
     from tessella.operators import tables as T
 
