@@ -24,7 +24,7 @@ from tessella.queries import NOW, _bm25, query
 from tessella.schema import RETRY
 from tessella.sources import documents, folders, media, pdf, stored
 from tessella.sources import tables as src
-from tessella.streaming import timers, watch
+from tessella.streaming import registry, timers, watch
 
 
 def _values(rows: list[tuple]) -> str:
@@ -466,8 +466,9 @@ def failure_registry_stream(s, d):
         F.col("event_id").alias("seq"), F.concat(F.lit("/corpus/user_"), F.col("user_id").cast("string")).alias("path"), F.element_at(codes, (F.col("event_id") % 9 + 1).cast("int")).alias("code"),
         F.lit("").alias("message"), F.lit(1).alias("attempts"), F.col("ts").cast("timestamp").alias("last_failed_at"),
     )
-    changes = _ran(timers.registry_changes(failed, _KEEP), tables.scratch(s, "registry"), timers.CHANGE)
-    return timers.standing(changes).select("path", "place", "code")
+    root = tables.scratch(s, "registry")
+    failed.writeStream.foreachBatch(registry.keep(root, _KEEP)).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return timers.standing(registry.changes(s, root)).filter("path is not null").select("path", "place", "code")
 
 
 # --- the query language: golden tables, dealt over the turns of the conversations

@@ -248,8 +248,8 @@ CHANGE = "path string, place long, gone boolean, seq long, code string, message
 def registry_changes(failures: DataFrame, cap: int = 10_000) -> DataFrame:
     """A stream of failures (seq, path, code, message, attempts, last_failed_at) as changes of the registry: each record's entry with its place, and entries that were put out (gone).
 
-    Records count in the order of seq within a batch of the stream, and batches in their order. One key holds the registry, as each record's effect depends on all before it: its state is bounded by cap, and
-    a batch's rows pass through it one by one, from disk where they are many.
+    Records count in the order of seq within a batch of the stream, and batches in their order. One key holds the registry: its state is bounded by cap, and
+    a batch's rows pass through it one by one. That is for a stream's small batches; registry.keep walks large ones by blocks, in many tasks.
     """
     with_timers(failures.sparkSession)
     given = failures.select(F.lit(0).alias("all"), "seq", "path", "code", "message", "attempts", "last_failed_at")
@@ -257,6 +257,8 @@ def registry_changes(failures: DataFrame, cap: int = 10_000) -> DataFrame:
 
 
 def standing(changes: DataFrame) -> DataFrame:
-    """The registry after some changes: (path, place, code, message, attempts, last_failed_at) in no order; last the number that were put out is max(dropped) of the changes."""
-    last = changes.groupBy("path").agg(F.max(F.struct("seq", ~F.col("gone"), "place", "gone", "code", "message", "attempts", "last_failed_at")).alias("l"))
-    return last.filter(~F.col("l.gone")).select("path", "l.place", "l.code", "l.message", "l.attempts", "l.last_failed_at")
+    """The registry after some changes: (path, place, code, message, attempts, last_failed_at) in no order; the number that were put out is max(dropped) of the changes, which is the first place that stands."""
+    first = changes.agg(F.coalesce(F.max("dropped"), F.lit(0)).alias("first"))
+    live = changes.join(F.broadcast(first), ~F.col("gone") & (F.col("place") >= F.col("first")))
+    last = live.groupBy("place").agg(F.max(F.struct("seq", "code", "message", "attempts", "last_failed_at", "path")).alias("l"))
+    return last.select("l.path", "place", "l.code", "l.message", "l.attempts", "l.last_failed_at")
