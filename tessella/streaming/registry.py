@@ -28,8 +28,8 @@ def _walked(rows: pa.Table, starts: pa.Table, cap: int) -> tuple[pa.Table, np.nd
     """
     rows = rows.sort_by("at")
     start = pa.concat_arrays(starts["start"].chunks).flatten()
-    paths = rows["path"].combine_chunks()
-    coded = pa.concat_arrays([start.cast(paths.type), *(paths.chunks if isinstance(paths, pa.ChunkedArray) else [paths])]).dictionary_encode()
+    paths = rows["path"]
+    coded = pa.concat_arrays([start.cast(paths.type), *paths.chunks]).dictionary_encode()
     codes = coded.indices.fill_null(-1).to_pylist()
     had = len(start)
     order, first = codes[:had], 0
@@ -72,11 +72,11 @@ def _changes(rows: DataFrame, starts: DataFrame, cap: int) -> DataFrame:
         gone = places[out] - cap
         parts = []
         for at, place, is_gone in ((out, gone, True), (np.arange(len(places)), places, False)):
-            own = rows.take(pa.array(at))
+            own = rows.select(["seq"]).take(pa.array(at)) if is_gone else rows
             cols = {"block": pa.repeat(pa.scalar(key[0].as_py(), "int32"), len(at)), "place": pa.array(place), "gone": pa.repeat(is_gone, len(at)), "entered": pa.array(count[at])}
-            cols |= {n: own[n] if n == "seq" or not is_gone else pa.nulls(len(at), own[n].type) for n in _NAMES}
+            cols |= {n: own[n] if n == "seq" or not is_gone else pa.nulls(len(at), rows[n].type) for n in _NAMES}
             if is_gone:
-                cols["path"] = entered.take(pa.array(gone + len(start))).cast(own["path"].type)
+                cols["path"] = entered.take(pa.array(gone + len(start))).cast(rows["path"].type)
             parts.append(pa.table(cols))
         return pa.concat_tables(parts)
 
